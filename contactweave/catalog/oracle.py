@@ -254,6 +254,20 @@ ORACLE["icgw_5_iters"] = _matrix_sql(
     MASK_RES,
 )
 
+# Balanced marginals are one for every bin left after masking.
+ORACLE["icgw_converged_marginals"] = _matrix_sql(
+    "select bin_id, 1.0::double as marginal from masked where not few_nnz and not low_mad"
+    " and bin_id in (select bin1_id from kept union select bin2_id from kept)",
+    _masks(RES)
+    + [
+        (
+            "kept",
+            "select far.* from far join masked x on x.bin_id = bin1_id join masked y on y.bin_id = bin2_id"
+            " where not (x.few_nnz or x.low_mad or y.few_nnz or y.low_mad)",
+        )
+    ],
+)
+
 _SYM = (
     "sym",
     f"select bin1_id as i, bin2_id as j, count from px{RES} union all"

@@ -17,6 +17,7 @@ from ..operators import (
     region as rg,
     scaffold as sc,
 )
+from ..plans.storage import materialize
 from ..plans.zoom_order import checked_zoom_plan
 from ..sources.sample_tables import SampleTables, sample_tables
 
@@ -42,10 +43,6 @@ def _pixels(d: SampleTables, res: int = RES, boundary: str = "clamp") -> DataFra
     return ct.contact_pixels(d.pairs(), d.genome, res, boundary)
 
 
-def _len_weights(d: SampleTables, res: int = RES) -> DataFrame:
-    return bal.length_weights(d.genome.bins(res), res)
-
-
 # Contigs and bins
 
 
@@ -89,25 +86,24 @@ def pixels_10k_strict(d):
 
 @query
 def bin_offsets(d):
-    return gn.bin_index(_pixels(d), d.genome.bins(RES), d.genome.n_bins(RES))
+    m = d.matrix(RES)
+    return gn.bin_index(m.pixels(RES), m.bins(RES), m.n_bins(RES))
 
 
 @query
 def pixel_slice(d):
-    pixels = _pixels(d)
-    index = gn.bin_index(pixels, d.genome.bins(RES), d.genome.n_bins(RES))
-    n_pixels = pixels.count()
-    return rg.pixel_slice(pixels, index, n_pixels // 4, n_pixels // 2)
+    m = d.matrix(RES)
+    return m.pixel_slice(RES, m.n_pixels(RES) // 4, m.n_pixels(RES) // 2)
 
 
 @query
 def zoom_20k_from_10k(d):
-    return ct.zoom_pixels(_pixels(d), d.genome, RES, 20_000)
+    return ct.zoom_pixels(d.matrix(RES).pixels(RES), d.genome, RES, 20_000)
 
 
 @query
 def zoom_chain(d):
-    levels = {RES: _pixels(d)}
+    levels = {RES: d.matrix(RES).pixels(RES)}
     for source, target in checked_zoom_plan([RES], ZOOM_RES):
         levels[target] = ct.zoom_pixels(levels[source], d.genome, source, target)
     parts = [levels[r].withColumn("res", F.lit(r).cast("bigint")) for r in ZOOM_RES]
@@ -117,52 +113,58 @@ def zoom_chain(d):
 # Balancing
 
 
+def _marginals(d):
+    m = d.matrix(RES)
+    return bal.marginals(m.pixels(RES), m.bins(RES))
+
+
 @query
 def nnz_marginal(d):
-    return bal.marginals(_pixels(d), d.genome.bins(RES)).select("bin_id", "nnz")
+    return _marginals(d).select("bin_id", "nnz")
 
 
 @query
 def count_marginal(d):
-    return bal.marginals(_pixels(d), d.genome.bins(RES)).select("bin_id", "total")
+    return _marginals(d).select("bin_id", "total")
+
+
+def _masks(d):
+    return bal.bin_masks(d.matrix(MASK_RES).pixels(MASK_RES), d.genome, MASK_RES)
 
 
 @query
 def mask_min_nnz(d):
-    return bal.bin_masks(_pixels(d, MASK_RES), d.genome, MASK_RES).select("bin_id", "nnz", "few_nnz")
+    return _masks(d).select("bin_id", "nnz", "few_nnz")
 
 
 @query
 def mask_mad(d):
-    return bal.bin_masks(_pixels(d, MASK_RES), d.genome, MASK_RES).select(
-        "bin_id", F.round("scaled", 9).alias("scaled"), "low_mad"
-    )
+    return _masks(d).select("bin_id", F.round("scaled", 9).alias("scaled"), "low_mad")
 
 
 @query
 def weights_len(d):
-    return _len_weights(d)
+    return d.matrix(RES).weights(RES)
 
 
 @query
 def balanced_pixels_len(d):
-    balanced = ct.balanced_pixels(_pixels(d), _len_weights(d), d.genome.n_bins(RES))
-    return balanced.withColumn("value", F.round("value", 14))
+    return d.matrix(RES).balanced_pixels(RES).withColumn("value", F.round("value", 14))
 
 
 @query
 def icgw_5_iters(d):
-    weights = bal.iterative_weights(_pixels(d, MASK_RES), d.genome, MASK_RES, n_iters=5)
+    pixels = d.matrix(MASK_RES).pixels(MASK_RES)
+    weights = bal.iterative_weights(pixels, d.genome, MASK_RES, n_iters=5)
     return weights.select("bin_id", F.round(_null_nan("weight"), 6).alias("weight"))
 
 
 @query
 def icgw_converged_marginals(d):
     """Marginals of the balanced matrix: one for every bin that takes part."""
-    pixels = _pixels(d)
+    pixels = d.matrix(RES).pixels(RES)
     weights = bal.iterative_weights(pixels, d.genome, RES)
-    n_bins = d.genome.n_bins(RES)
-    value = ct.balanced_pixels(bal.off_diagonal(pixels), weights, n_bins)
+    value = ct.balanced_pixels(bal.off_diagonal(pixels), weights, d.genome.n_bins(RES))
     seen = value.where(rg.finite("value")).select(
         F.explode(F.array("bin1_id", "bin2_id")).alias("bin_id"), "value"
     )
@@ -174,9 +176,9 @@ def icgw_converged_marginals(d):
 
 def _rect(d, i0, i1, j0, j1):
     """Bounds are eighths of the matrix."""
-    n = d.genome.n_bins(RES)
-    at = lambda eighths: n * eighths // 8
-    return rg.rectangle(_pixels(d), n, at(i0), at(i1), at(j0), at(j1))
+    m = d.matrix(RES)
+    at = lambda eighths: m.n_bins(RES) * eighths // 8
+    return m.rectangle(RES, at(i0), at(i1), at(j0), at(j1))
 
 
 @query
@@ -206,51 +208,54 @@ def rect_transposed(d):
 
 @query
 def rect_balanced(d):
-    n = d.genome.n_bins(RES)
-    cells = rg.balanced_rectangle(_pixels(d), _len_weights(d), n, n // 8, n // 2, n // 4, n * 6 // 8)
+    m = d.matrix(RES)
+    n = m.n_bins(RES)
+    cells = m.balanced_rectangle(RES, n // 8, n // 2, n // 4, n * 6 // 8)
     return cells.withColumn("value", F.round("value", 14))
 
 
 @query
 def rect_upper(d):
-    n = d.genome.n_bins(RES)
-    return rg.upper_rectangle(_pixels(d), n // 8, n // 2, n // 4, n * 6 // 8)
+    m = d.matrix(RES)
+    n = m.n_bins(RES)
+    return rg.upper_rectangle(m.pixels(RES), n // 8, n // 2, n // 4, n * 6 // 8)
 
 
 @query
 def matrix_symmetric(d):
-    return rg.symmetric(_pixels(d))
+    return rg.symmetric(d.matrix(RES).pixels(RES))
 
 
 @query
 def row_nnz(d):
-    n = d.genome.n_bins(RES)
-    row = rg.balanced_row(_pixels(d), _len_weights(d), n, n // 2)
-    return row.withColumn("value", F.round("value", 14))
+    m = d.matrix(RES)
+    return m.balanced_row(RES, m.n_bins(RES) // 2).withColumn("value", F.round("value", 14))
 
 
 @query
 def row_dense(d):
-    n = d.genome.n_bins(RES)
-    row = rg.dense_row(_pixels(d), _len_weights(d), d.genome.bins(RES), n, n // 2)
-    return row.withColumn("value", F.round("value", 14))
+    m = d.matrix(RES)
+    return m.dense_row(RES, m.n_bins(RES) // 2).withColumn("value", F.round("value", 14))
 
 
 # Scaffolding
 
 
-def _facts(d, res=RES):
-    return sc.bin_facts(d.genome.bins(res), d.genome, _len_weights(d, res))
+def _trans_max(d, res=RES):
+    m = d.matrix(res)
+    facts = sc.bin_facts(m.bins(res), m.genome, m.weights(res))
+    return facts, sc.trans_max(m.pixels(res), facts, m.n_bins(res))
 
 
 def _neighbors(d, res=RES):
-    pixels, facts, n = _pixels(d, res), _facts(d, res), d.genome.n_bins(res)
-    return sc.best_neighbors(pixels, facts, sc.trans_max(pixels, facts, n), n)
+    facts, best = _trans_max(d, res)
+    m = d.matrix(res)
+    return sc.best_neighbors(m.pixels(res), facts, materialize(best, "trans-max"), m.n_bins(res))
 
 
 @query
 def trans_max(d):
-    best = sc.trans_max(_pixels(d), _facts(d), d.genome.n_bins(RES))
+    _, best = _trans_max(d)
     return best.select("bin_id", F.round(_null_nan("max_val"), 14).alias("max_val"))
 
 

@@ -10,9 +10,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.contacts import contact_pixels
 from ..operators.genome import Genome
+from ..operators.matrix import Matrix
 from ..plans.lookups import lookup
 from ..plans.ordering import global_rank
+from ..plans.storage import new_scratch_path
 
 _ORDER = [
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -119,6 +122,18 @@ class SampleTables:
             "ord",
         )
 
+    def matrix(self, *resolutions: int) -> Matrix:
+        """A stored matrix of all pairs with length weights at the asked resolutions."""
+        for res in resolutions:
+            if res not in self._matrix.resolutions():
+                self._matrix.add_level(res, contact_pixels(self.pairs(), self.genome, res))
+                self._matrix.balance([res], "LEN")
+        return self._matrix
+
+    @cached_property
+    def _matrix(self) -> Matrix:
+        return Matrix.create(self.spark, new_scratch_path(self.spark, "matrix"), self.genome)
+
     def segments(self) -> DataFrame:
         return self.table("supplier").selectExpr(
             "concat('s', s_suppkey) as name",
