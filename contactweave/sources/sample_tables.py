@@ -15,7 +15,7 @@ from ..operators.genome import Genome
 from ..operators.matrix import Matrix
 from ..plans.lookups import lookup
 from ..plans.ordering import global_rank
-from ..plans.storage import new_scratch_path
+from ..plans.storage import materialize, new_scratch_path
 
 _ORDER = [
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -96,7 +96,12 @@ class SampleTables:
         return lines.selectExpr(*columns)
 
     def alignments(self) -> DataFrame:
-        """Alignments named by order key; the rank within an order sets mate and kind.
+        """Alignments, stored once like the input file they stand for."""
+        return self._alignments
+
+    @cached_property
+    def _alignments(self) -> DataFrame:
+        """Named by order key; the rank within an order sets mate and kind.
 
         The global rank is sorted by order key first, so the rank within an
         order is the distance to its first row and needs no window per key.
@@ -107,7 +112,7 @@ class SampleTables:
             "rk", F.col("ord") - F.col("_first")
         )
         start = "(l_orderkey * 97) % 40000 + (rk * 911) % 2600"
-        return ranked.selectExpr(
+        shaped = ranked.selectExpr(
             "concat('q', l_orderkey) as qname",
             "case when rk % 2 = 0 then 1 else 2 end as mate",
             "case when qty = 13 then -1 else (l_orderkey + case when qty % 5 = 0 then 1 else 0 end)"
@@ -121,6 +126,7 @@ class SampleTables:
             "rk >= 2 and qty % 11 <> 0 as is_supplementary",
             "ord",
         )
+        return materialize(shaped, "alignments")
 
     def matrix(self, *resolutions: int) -> Matrix:
         """A stored matrix of all pairs with length weights at the asked resolutions."""
