@@ -18,7 +18,9 @@ def _place(local_bin: str, suffix: str, res: int, boundary: str):
     so positions can be binned before the contig length is known.
     """
     top = f"(length{suffix} - 1)" if boundary == "clamp" else f"length{suffix}"
-    return F.expr(f"offset{suffix} + least({local_bin}, {top} div {res})")
+    bin_id = F.expr(f"offset{suffix} + least({local_bin}, {top} div {res})")
+    negative = F.raise_error(F.lit("a position must not be negative")).cast("bigint")
+    return F.when(F.col(local_bin) >= 0, bin_id).otherwise(negative)
 
 
 def contact_pixels(
@@ -28,15 +30,16 @@ def contact_pixels(
 
     Pairs naming an unknown contig are left out.  ``boundary="clamp"`` puts a
     position at or past a contig's end into its last bin; ``"strict"`` keeps
-    the plain division, which can fall one bin past it.
+    the plain division, which can fall one bin past it.  A negative position on
+    a known contig is an error.
     """
     if boundary not in BOUNDARIES:
         raise ValueError(f"boundary must be one of {BOUNDARIES}")
     local = pairs.select(
         "tig1",
-        F.expr(f"pos1 div {res}").alias("_k1"),
+        F.expr(f"if(pos1 < 0, -1, pos1 div {res})").alias("_k1"),
         "tig2",
-        F.expr(f"pos2 div {res}").alias("_k2"),
+        F.expr(f"if(pos2 < 0, -1, pos2 div {res})").alias("_k2"),
     )
     if genome.names_fit(res):
         weighted = local.withColumn("_n", F.lit(1).cast("bigint"))

@@ -8,14 +8,16 @@ from ..schemas import LENGTHS, PAIR_COLUMNS, PAIRS
 from .text_order import with_file_order
 
 
+# Pruned columns would hide rows with too few or too many fields.
+STRICT_TEXT = {"sep": "\t", "header": False, "mode": "FAILFAST", "quote": "", "columnPruning": False}
+
+
 def read_pairs(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
     """Contact pairs; ``#`` lines are comments and a row without 7 fields is an error.
 
     ``ordered=True`` adds the file order as ``ord``.
     """
-    rows = spark.read.csv(
-        path, schema=PAIRS, sep="\t", comment="#", header=False, mode="FAILFAST", quote=""
-    )
+    rows = spark.read.schema(PAIRS).options(**STRICT_TEXT, comment="#").csv(path)
     return with_file_order(rows) if ordered else rows
 
 
@@ -31,5 +33,5 @@ def write_pairs(pairs: DataFrame, path: str, names_only: bool = False) -> None:
 
 def read_lengths(spark: SparkSession, path: str) -> DataFrame:
     """Contig names and lengths with their file order ``ord``; no comment lines."""
-    rows = spark.read.csv(path, schema=LENGTHS, sep="\t", header=False, mode="FAILFAST", quote="")
+    rows = spark.read.schema(LENGTHS).options(**STRICT_TEXT).csv(path)
     return with_file_order(rows)

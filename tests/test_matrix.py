@@ -67,6 +67,13 @@ def test_empty_contig_holds_no_contact(spark):
     assert triples(ct.contact_pixels(pairs, genome, 10)) == [(0, 0, 1)]
 
 
+def test_negative_positions(spark, genome):
+    placeholder = pairs_of(spark, [("", "", -1, "", -1), ("r", "A", 1, "A", 2)])
+    assert triples(ct.contact_pixels(placeholder, genome, 10)) == [(0, 0, 1)]
+    with pytest.raises(Exception, match="must not be negative"):
+        ct.contact_pixels(pairs_of(spark, [("r", "A", -1, "A", 2)]), genome, 10).collect()
+
+
 def test_long_contig_bins_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(gn, "_BIN_CHUNK", 4)
     genome = Genome.from_lengths(lengths_of(spark, [("A", 1003), ("B", 7)]))
