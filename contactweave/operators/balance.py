@@ -124,7 +124,13 @@ def iterative_weights(
     contacts = off_diagonal(pixels, ignore_diags)
     for end in ("bin1_id", "bin2_id"):
         contacts = lookup(contacts, active, {end: "bin_id"}, n_active, "left_semi")
-    edges = materialize(mirrored(contacts), "contacts")
+    # Sorted by bin, a pass adds up nearly all of a bin before its shuffle.
+    edges = materialize(
+        mirrored(contacts)
+        .repartitionByRange("bin_id", "other_id")
+        .sortWithinPartitions("bin_id", "other_id"),
+        "contacts",
+    )
 
     table = AlternatingTable(spark, "bias")
 

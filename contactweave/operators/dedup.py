@@ -12,7 +12,7 @@ MODES = ("greedy", "any_earlier")
 ORDER = ["tig1", "tig2", "pos1", "pos2", "ord"]
 
 _PLACE = ["tig1", "tig2", "strand1", "strand2", "pos1", "pos2"]
-_CELL = 32
+_CELL = 32  # least cell width; most pairs then meet one or two cells
 
 
 def sort_pairs(pairs: DataFrame) -> DataFrame:
@@ -44,9 +44,9 @@ def near_earlier(places: DataFrame, max_mismatch: int) -> DataFrame:
     each position.  Places are put on a grid and meet in cells.  After copies
     are gone a cell holds at most its number of grid points, whatever the data.
     """
-    n = max_mismatch
+    n, cell = max_mismatch, max(_CELL, max_mismatch + 1)
     keys = ["tig1", "tig2", "strand1", "strand2"]
-    cell1, cell2 = F.expr(f"floor(pos1 / {_CELL})"), F.expr(f"floor(pos2 / {_CELL})")
+    cell1, cell2 = F.expr(f"floor(pos1 / {cell})"), F.expr(f"floor(pos2 / {cell})")
     home = places.select(
         *keys,
         F.col("pos1").alias("_p1"),
@@ -57,8 +57,8 @@ def near_earlier(places: DataFrame, max_mismatch: int) -> DataFrame:
     )
     probe = (
         places.select(*keys, "pos1", "pos2", "ord")
-        .withColumn("_c1", F.explode(F.expr(f"sequence(floor((pos1 - {n}) / {_CELL}), floor(pos1 / {_CELL}))")))
-        .withColumn("_c2", F.explode(F.expr(f"sequence(floor((pos2 - {n}) / {_CELL}), floor((pos2 + {n}) / {_CELL}))")))
+        .withColumn("_c1", F.explode(F.expr(f"sequence(floor((pos1 - {n}) / {cell}), floor(pos1 / {cell}))")))
+        .withColumn("_c2", F.explode(F.expr(f"sequence(floor((pos2 - {n}) / {cell}), floor((pos2 + {n}) / {cell}))")))
     )
     d1, d2 = F.col("pos1") - F.col("_p1"), F.col("pos2") - F.col("_p2")
     sorted_before = (d1 > 0) | ((d1 == 0) & (d2 > 0))

@@ -114,7 +114,7 @@ def best_neighbors(
         renamed = top_two.select(
             F.col("i").alias("_at"), *[F.col(c).alias(f"{c}_{side}") for c in ("t1", "w1", "w2")]
         )
-        scored = scored.join(renamed, F.col(side) == F.col("_at")).drop("_at")
+        scored = lookup(scored, renamed, {side: "_at"}, n_bins)
     avoid_i = F.when(F.col("t1_i") == F.col("tig_j"), F.col("w2_i")).otherwise(F.col("w1_i"))
     avoid_j = F.when(F.col("t1_j") == F.col("tig_i"), F.col("w2_j")).otherwise(F.col("w1_j"))
     scored = (

@@ -114,17 +114,16 @@ class Header:
 
 
 def read_header(handle, size: int) -> Header:
-    data, starts = b"", []
+    data, starts = bytearray(), []
     blocks = _blocks(handle, 0, size)
 
     def need(n: int) -> None:
-        nonlocal data
         while len(data) < n:
             got = next(blocks, None)
             if got is None:
                 raise ValueError("the BAM header is cut short")
             starts.append((len(data), got[0]))
-            data += got[1]
+            data.extend(got[1])
 
     need(8)
     if data[:4] != b"BAM\x01":
@@ -145,6 +144,12 @@ def read_header(handle, size: int) -> Header:
     return Header(names, lengths, offset, at - first)
 
 
+def _header_of(path: str, size: int) -> Header:
+    system, inner = _open(path)
+    with system.open_input_file(inner) as handle:
+        return read_header(handle, size)
+
+
 def _well_formed(data: bytes, at: int, n_refs: int) -> int | None:
     """Offset after the record at ``at`` if its fields agree with each other."""
     if at + _FIXED > len(data):
@@ -174,13 +179,15 @@ def _first_record(data: bytes, n_refs: int, at_end: bool) -> int | None:
 
 @dataclass
 class BamSplit(InputPartition):
+    """A byte range of one file and what a task must know of the file's header."""
+
     path: str
     start: int
     end: int
     size: int
-
-    def __init__(self, path: str, start: int, end: int, size: int):
-        self.path, self.start, self.end, self.size = path, start, end, size
+    n_refs: int
+    first_block: int
+    first_within: int
 
 
 def _gather(data: np.ndarray, offsets: np.ndarray, dtype: str) -> np.ndarray:
@@ -229,11 +236,10 @@ def _batch(raw: bytes, offsets: np.ndarray, ords: np.ndarray) -> pa.RecordBatch:
 def _read_split(split: BamSplit) -> Iterator[pa.RecordBatch]:
     system, inner = _open(split.path)
     with system.open_input_file(inner) as handle:
-        header = read_header(handle, split.size)
-        if split.start <= header.block:
-            first, within = header.block, header.within
-            if split.end <= header.block:
-                return
+        if split.end <= split.first_block:
+            return
+        if split.start <= split.first_block:
+            first, within = split.first_block, split.first_within
         else:
             first, within = _first_block(handle, split.start, split.size), None
         if first >= min(split.end, split.size):
@@ -255,7 +261,7 @@ def _read_split(split: BamSplit) -> Iterator[pa.RecordBatch]:
             goal = len(data) + _WINDOW
             while len(data) < goal and more():
                 pass
-            within = _first_record(data, len(header.names), not open_ended)
+            within = _first_record(data, split.n_refs, not open_ended)
             if within is None and (not open_ended or starts[-1][1] >= split.end):
                 return  # the range lies inside one record that starts before it
         at = within
@@ -297,11 +303,17 @@ class _AlignmentReader(DataSourceReader):
         self.path, self.split_bytes = path, split_bytes
 
     def partitions(self):
-        return [
-            BamSplit(path, start, min(start + self.split_bytes, size), size)
-            for path, size in _files(self.path)
-            for start in range(0, size, self.split_bytes)
-        ]
+        splits = []
+        for path, size in _files(self.path):
+            header = _header_of(path, size)
+            splits += [
+                BamSplit(
+                    path, start, min(start + self.split_bytes, size), size,
+                    len(header.names), header.block, header.within,
+                )
+                for start in range(0, size, self.split_bytes)
+            ]
+        return splits
 
     def read(self, partition):
         yield from _read_split(partition)
@@ -312,10 +324,7 @@ class _ReferenceReader(DataSourceReader):
         self.path = path
 
     def read(self, partition):
-        path, size = _files(self.path)[0]
-        system, inner = _open(path)
-        with system.open_input_file(inner) as handle:
-            header = read_header(handle, size)
+        header = _header_of(*_files(self.path)[0])
         for i, (name, length) in enumerate(zip(header.names, header.lengths)):
             yield (i, name, length)
 

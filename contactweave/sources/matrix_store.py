@@ -23,7 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import NotBalancedError, ResolutionError
 
+CONTIGS = "tig_id bigint, tig_name string, length bigint"
 LEVELS = "res bigint, n_bins bigint, n_pixels bigint"
+TABLES = {
+    "pixels": "bin1_id bigint, bin2_id bigint, count bigint",
+    "bins": "bin_id bigint, tig_id bigint, start bigint, `end` bigint",
+    "tig_index": "tig_id bigint, chrom_offset bigint, n_bins bigint",
+    "bin_index": "bin_id bigint, bin1_offset bigint",
+    "weights": "bin_id bigint, weight double",
+    "max_vals": "bin_id bigint, max_val double",
+}
 
 
 class MatrixStore:
@@ -42,7 +51,7 @@ class MatrixStore:
         self.spark.createDataFrame([], LEVELS).write.mode(mode).parquet(self.path("levels"))
 
     def contigs(self) -> DataFrame:
-        return self.spark.read.parquet(self.path("chroms"))
+        return self.spark.read.schema(CONTIGS).parquet(self.path("chroms"))
 
     def levels(self) -> dict[int, tuple[int, int]]:
         """Stored resolutions with their bin and pixel counts; one short row each."""
@@ -55,19 +64,18 @@ class MatrixStore:
         ordered = pixels.select("bin1_id", "bin2_id", "count")
         ordered = ordered.repartitionByRange("bin1_id", "bin2_id").sortWithinPartitions("bin1_id", "bin2_id")
         ordered.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        return self.table(res, "pixels")
 
     def write_table(self, res: int, name: str, table: DataFrame) -> DataFrame:
-        path = self.level_path(res, name)
-        table.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        table.write.mode("overwrite").parquet(self.level_path(res, name))
+        return self.table(res, name)
 
     def finish_level(self, res: int, n_bins: int, n_pixels: int) -> None:
         row = self.spark.createDataFrame([(res, n_bins, n_pixels)], LEVELS)
         row.coalesce(1).write.mode("append").parquet(self.path("levels"))
 
     def table(self, res: int, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.level_path(res, name))
+        return self.spark.read.schema(TABLES[name]).parquet(self.level_path(res, name))
 
     def optional_table(self, res: int, name: str) -> DataFrame:
         """Weights or trans maxima, which a level may lack."""
