@@ -18,7 +18,7 @@ _ROW_BITS = 33
 
 
 def prefix_sum(
-    df: DataFrame, key: str, value: str, out: str, n_keys: int | None = None, block: int = BLOCK
+    df: DataFrame, key: str, value: str, out: str, n_keys: int | None = None
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows with a smaller ``key``.
 
@@ -26,6 +26,7 @@ def prefix_sum(
     keys are summed on their own and shifted by the total of earlier blocks.
     """
     before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    block = BLOCK
     if n_keys is not None and n_keys <= block:
         return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
 
@@ -36,7 +37,7 @@ def prefix_sum(
         F.col("_block").alias("_shift_block"),
         F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_shift"),
     )
-    if n_keys is not None and n_keys <= block * BLOCK:
+    if n_keys is not None and n_keys <= block * block:
         shifts = F.broadcast(shifts)
     inside = (
         Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)

@@ -42,10 +42,11 @@ def test_zoom_plan_rejects_bad_requests():
 
 
 @pytest.mark.parametrize("n_keys", [None, 500])
-def test_prefix_sum_by_blocks(spark, n_keys):
+def test_prefix_sum_by_blocks(spark, n_keys, monkeypatch):
+    monkeypatch.setattr(ordering, "BLOCK", 16)
     values = [random.Random(3).randint(0, 9) for _ in range(500)]
     df = spark.createDataFrame(list(enumerate(values)), "k bigint, v bigint").repartition(7)
-    got = ordering.prefix_sum(df, "k", "v", "s", n_keys, block=16).orderBy("k").collect()
+    got = ordering.prefix_sum(df, "k", "v", "s", n_keys).orderBy("k").collect()
     assert [r.s for r in got] == [sum(values[:i]) for i in range(500)]
 
 
