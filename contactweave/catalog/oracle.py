@@ -550,6 +550,9 @@ ORACLE["gfa_nodes"] = _with(
     "select concat(name, o) as node, name as segment, o as orient from segments cross join (values ('+'), ('-')) t(o)",
 )
 ORACLE["gfa_named_segments"] = _with(["segments"], [], "select name from segments where seq is not null")
+ORACLE["gfa_segment_lengths"] = _with(
+    ["segments"], [], "select name, ln as length from segments where seq is not null"
+)
 _EDGES = (
     "edges",
     "select concat(from_name, from_strand) as src, concat(to_name, to_strand) as dst from links"
@@ -618,6 +621,20 @@ ORACLE["cigar_clips"] = _with(
     [_CIGAR],
     "select name, h as hard_left, cast(0 as bigint) as hard_right, s1 as soft_left, s2 as soft_right from cig",
 )
+ORACLE["cigar_classes"] = _with(
+    [],
+    [
+        _CIGAR,
+        (
+            "ops",
+            "select 'H' as op, h as len from cig union all select 'S', s1 from cig union all select 'M', m from cig"
+            " union all select 'I', i from cig union all select 'D', d0 from cig union all select 'S', s2 from cig",
+        ),
+    ],
+    "select op, cast(strpos('MIDNSHP=X', op) - 1 as bigint) as code, case op when 'M' then 'match' when 'D' then 'deletion'"
+    " when 'H' then 'hard' else 'insertion' end as class, cast(count(*) as bigint) as n,"
+    " cast(sum(len) as bigint) as total from ops group by op",
+)
 _BASES = (
     "bases",
     "select name, k as query_pos, null::bigint as ref_pos from (select *, unnest(range(s1)) as k from cig) a union all"
@@ -644,3 +661,9 @@ ORACLE["seq_subseq"] = _with(
     [],
     f"select name, substr(seq, 3, 4) as part, {_COMP.format('substr(seq, 3, 4)')} as part_revcomp from segments",
 )
+ORACLE["seq_codes"] = _with(
+    ["segments"],
+    [],
+    "select name, case when seq is not null then array_to_string(list_transform(string_split(seq, ''),"
+    " lambda c: cast(strpos('=ACMGRSVTWYHKDBN', c) - 1 as varchar)), ',') end as codes from segments",
+)

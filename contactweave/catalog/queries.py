@@ -371,6 +371,11 @@ def gfa_named_segments(d):
     return gr.named_segments(d.segments())
 
 
+@query
+def gfa_segment_lengths(d):
+    return gr.segment_lengths(d.tagged_segments())
+
+
 @query
 def gfa_edges(d):
     return gr.edges(d.links(), d.segments())
@@ -455,6 +460,18 @@ def cigar_clips(d):
     )
 
 
+@query
+def cigar_classes(d):
+    """Operations of all overlaps by letter, with code, class and summed length."""
+    ops = _cigars(d).select(F.explode("ops").alias("o")).select("o.op", "o.len")
+    return (
+        ops.withColumn("code", cg.op_code(F.col("op")).cast("bigint"))
+        .withColumn("class", cg.op_class(F.col("op")))
+        .groupBy("op", "code", "class")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"))
+    )
+
+
 @query
 def cigar_aligned_pairs(d):
     return cg.aligned_pairs(_cigars(d).select("name", "ops"), "ops").drop("ops")
@@ -484,3 +501,9 @@ def seq_subseq(d):
         sq.subseq(seq, 2, 6).alias("part"),
         sq.reverse_complement(sq.subseq(seq, 2, 6)).alias("part_revcomp"),
     )
+
+
+@query
+def seq_codes(d):
+    codes = sq.to_codes(F.col("seq")).cast("array<string>")
+    return d.segments().select("name", F.array_join(codes, ",").alias("codes"))

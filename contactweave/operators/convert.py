@@ -124,6 +124,8 @@ def route_reads(
     max_molecule_size: int = MAX_MOLECULE_SIZE,
     adjacent: bool = False,
     n_rows: int | None = None,
+    mapq_zero_rescue: bool = False,
+    matched_rate: float = 0.8,
 ) -> DataFrame:
     """One row per read with its counts, its route and the chosen alignments.
 
@@ -131,7 +133,8 @@ def route_reads(
     against two) or null.  ``emitted`` tells whether the read gives a pair,
     whose two alignments are ref_id1, mid1, rev1 and ref_id2, mid2, rev2 in
     stored order.  ``adjacent=True`` splits a read name that comes back later
-    in the file into separate reads.
+    in the file into separate reads.  ``mapq_zero_rescue`` and ``matched_rate``
+    are settings of the method that no rule uses; any value gives the same rows.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")

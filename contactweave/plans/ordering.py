@@ -51,23 +51,33 @@ def prefix_sum(
 
 
 def global_rank(
-    df: DataFrame, order: list[Column | str], out: str, n_rows: int | None = None
+    df: DataFrame,
+    order: list[Column | str],
+    out: str,
+    n_rows: int | None = None,
+    copies: bool = False,
 ) -> DataFrame:
     """Add ``out``: the 0-based position of each row in the order of ``order``.
 
     Rows are range-partitioned and sorted once and stored in that order.  The
     position is then the row's place in its partition plus the size of the
-    partitions before it.  Rows that agree on every ordering column are spread
-    by an extra last key, so copies cannot pile up in one partition.
+    partitions before it.
+
+    The ordering columns must tell all rows apart, so that a task that runs
+    again puts every row where it was.  ``copies=True`` lifts that for a table
+    read straight from files: an extra last key, the row's place in the scan,
+    spreads equal rows over partitions and stays the same on a rerun.
     """
     if n_rows is not None and n_rows <= SMALL:
         return df.withColumn(
             out, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1
         )
-    spread = df.withColumn("_spread", F.monotonically_increasing_id())
-    keys = [*order, "_spread"]
+    keys = list(order)
+    if copies:
+        df = df.withColumn("_spread", F.monotonically_increasing_id())
+        keys.append("_spread")
     stored = materialize(
-        spread.repartitionByRange(*keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
         .drop("_spread"),

@@ -19,9 +19,9 @@ replaces one small table and leaves bins and pixels alone.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..errors import NotBalancedError, ResolutionError
+from ..errors import NotBalancedError
 
 CONTIGS = "tig_id bigint, tig_name string, length bigint"
 LEVELS = "res bigint, n_bins bigint, n_pixels bigint"
@@ -84,8 +84,7 @@ class MatrixStore:
         except AnalysisException:
             raise NotBalancedError(f"resolution {res} has no stored {name}") from None
 
-    def require(self, res: int) -> tuple[int, int]:
-        levels = self.levels()
-        if res not in levels:
-            raise ResolutionError(f"resolution {res} is not stored, only {sorted(levels)}")
-        return levels[res]
+
+def dump_weights(weights: DataFrame, path: str) -> None:
+    """Weights as text, one per line in bin order; for looking at a balancing run."""
+    weights.orderBy("bin_id").select(F.col("weight").cast("string")).write.mode("overwrite").text(path)

@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.tags import parse_tags
 from ..operators.contacts import contact_pixels
 from ..operators.genome import Genome
 from ..operators.matrix import Matrix
@@ -66,7 +67,7 @@ class SampleTables:
     @cached_property
     def _ranked(self) -> DataFrame:
         used = self.table("lineitem").select(*_ORDER, "l_quantity", "l_returnflag", "l_linestatus")
-        return global_rank(used, _ORDER, "ord", self.n_lines)
+        return global_rank(used, _ORDER, "ord", self.n_lines, copies=True)
 
     def pairs(self, named: bool = False) -> DataFrame:
         """Contact pairs; read names and ``ord`` only if ``named``, as they need a global rank."""
@@ -151,6 +152,12 @@ class SampleTables:
             f"{_LENGTH} as ln",
         )
 
+    def tagged_segments(self) -> DataFrame:
+        """Segments with their length as an LN tag, where they have a sequence."""
+        fields = F.expr("array(concat('LN:i:', ln), concat('RC:i:', ln * 2))")
+        tags = F.when(F.col("seq").isNotNull(), parse_tags(fields))
+        return self.segments().select("name", "seq", tags.alias("tags"))
+
     def links(self) -> DataFrame:
         return self.table("supplier").selectExpr(
             "concat('s', s_suppkey) as from_name",

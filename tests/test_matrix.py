@@ -13,6 +13,7 @@ from contactweave.operators.genome import Genome
 from contactweave.operators.matrix import Matrix
 from contactweave.plans import ordering
 from contactweave.schemas import PAIRS
+from contactweave.sources.matrix_store import dump_weights
 
 PAIR_ROWS = [
     ("r1", "A", 5, "A", 15),
@@ -271,3 +272,5 @@ def test_nothing_left_to_balance(spark, genome, tmp_path):
     matrix.add_level(10, pixels_of(spark, []))
     assert matrix.balance([10], "ICGW") == []
     assert matrix.balance([10], "LEN") == [10]
+    dump_weights(matrix.weights(10), str(tmp_path / "dump"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "dump")).collect()] == ["0.1"] * 7

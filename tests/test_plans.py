@@ -50,15 +50,25 @@ def test_prefix_sum_by_blocks(spark, n_keys, monkeypatch):
     assert [r.s for r in got] == [sum(values[:i]) for i in range(500)]
 
 
-def test_global_rank_large_path_with_copies(spark):
+def test_global_rank_large_path(spark):
     rng = random.Random(5)
-    rows = [(0 if rng.random() < 0.4 else rng.randint(0, 50), i) for i in range(2000)]
+    rows = [(0 if rng.random() < 0.4 else rng.randint(0, 50), i) for i in range(2000)]  # b is unique
     df = spark.createDataFrame(rows, "a bigint, b bigint").repartition(5)
     got = ordering.global_rank(df, ["a", "b"], "r").collect()
     assert [(x.a, x.b) for x in sorted(got, key=lambda x: x.r)] == sorted(rows)
     assert sorted(x.r for x in got) == list(range(2000))
-    copies = spark.range(3000).select(F.lit(7).alias("a"))
-    assert sorted(r.r for r in ordering.global_rank(copies, ["a"], "r").collect()) == list(range(3000))
+
+
+def test_copies_are_spread_over_partitions(spark):
+    copies = storage.materialize(spark.range(3000).select(F.lit(7).alias("a")), "copies")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")  # tiny partitions would be joined again
+    try:
+        ranked = ordering.global_rank(copies, ["a"], "r", copies=True)
+    finally:
+        spark.conf.unset(merging)
+    assert sorted(r.r for r in ranked.collect()) == list(range(3000))
+    assert len(ranked.inputFiles()) > 4
 
 
 @pytest.mark.parametrize("n_rows", [None, 10])
