@@ -116,9 +116,7 @@ def iterative_weights(
     before the loop.
     """
     spark = genome.spark
-    masks = materialize(
-        bin_masks(pixels, genome, res, ignore_diags, min_nnz, mad_max), "masks"
-    )
+    masks = bin_masks(pixels, genome, res, ignore_diags, min_nnz, mad_max)
     active = masks.where("not few_nnz and not low_mad").select("bin_id")
     n_active = active.count()
     contacts = off_diagonal(pixels, ignore_diags)

@@ -61,6 +61,7 @@ class Matrix:
         if res in self._levels:
             raise ResolutionError(f"resolution {res} is already stored")
         n_bins = self.genome.n_bins(res)
+        self.store.start_level(res)
         bins = self.store.write_table(res, "bins", self.genome.bins(res))
         self.store.write_table(res, "tig_index", self.genome.tig_index(res))
         stored = self.store.write_pixels(res, pixels)

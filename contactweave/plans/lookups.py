@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-BROADCAST_BYTES = 128 * 1024 * 1024
+BROADCAST_BYTES = 256 * 1024 * 1024
 _ROW_OVERHEAD = 32
 _SALTS = 16
 

@@ -3,28 +3,31 @@
 ::
 
     <root>/chroms                      tig_id, tig_name, length
-    <root>/levels                      res, n_bins, n_pixels; one row per finished resolution
-    <root>/resolutions/<res>/pixels    bin1_id, bin2_id, count, sorted
-    <root>/resolutions/<res>/bins      bin_id, tig_id, start, end
-    <root>/resolutions/<res>/tig_index tig_id, chrom_offset, n_bins
-    <root>/resolutions/<res>/bin_index bin_id, bin1_offset
-    <root>/resolutions/<res>/weights   bin_id, weight
-    <root>/resolutions/<res>/max_vals  bin_id, max_val
+    <root>/levels                      res, n_bins, n_pixels, folder; one row per finished level
+    <root>/resolutions/<folder>/pixels    bin1_id, bin2_id, count, sorted
+    <root>/resolutions/<folder>/bins      bin_id, tig_id, start, end
+    <root>/resolutions/<folder>/tig_index tig_id, chrom_offset, n_bins
+    <root>/resolutions/<folder>/bin_index bin_id, bin1_offset
+    <root>/resolutions/<folder>/weights   bin_id, weight
+    <root>/resolutions/<folder>/max_vals  bin_id, max_val
 
 A resolution counts as stored once its row is in ``levels``, which is written
-last.  Weights and trans maxima are tables of their own, so balancing again
+last.  Every level gets a folder name of its own, so what a failed or replaced
+build left behind is never read.  Weights and trans maxima are tables of their own, so balancing again
 replaces one small table and leaves bins and pixels alone.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import NotBalancedError
 
 CONTIGS = "tig_id bigint, tig_name string, length bigint"
-LEVELS = "res bigint, n_bins bigint, n_pixels bigint"
+LEVELS = "res bigint, n_bins bigint, n_pixels bigint, folder string"
 TABLES = {
     "pixels": "bin1_id bigint, bin2_id bigint, count bigint",
     "bins": "bin_id bigint, tig_id bigint, start bigint, `end` bigint",
@@ -38,12 +41,16 @@ TABLES = {
 class MatrixStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._folders: dict[int, str] = {}
 
     def path(self, *parts: object) -> str:
         return "/".join([self.root, *map(str, parts)])
 
     def level_path(self, res: int, table: str) -> str:
-        return self.path("resolutions", res, table)
+        return self.path("resolutions", self._folders[res], table)
+
+    def start_level(self, res: int) -> None:
+        self._folders[res] = f"{res}-{uuid.uuid4().hex[:12]}"
 
     def create(self, contigs: DataFrame, overwrite: bool = True) -> None:
         mode = "overwrite" if overwrite else "errorifexists"
@@ -56,6 +63,7 @@ class MatrixStore:
     def levels(self) -> dict[int, tuple[int, int]]:
         """Stored resolutions with their bin and pixel counts; one short row each."""
         rows = self.spark.read.schema(LEVELS).parquet(self.path("levels")).collect()
+        self._folders = {r.res: r.folder for r in rows}
         return {r.res: (r.n_bins, r.n_pixels) for r in sorted(rows)}
 
     def write_pixels(self, res: int, pixels: DataFrame) -> DataFrame:
@@ -71,7 +79,7 @@ class MatrixStore:
         return self.table(res, name)
 
     def finish_level(self, res: int, n_bins: int, n_pixels: int) -> None:
-        row = self.spark.createDataFrame([(res, n_bins, n_pixels)], LEVELS)
+        row = self.spark.createDataFrame([(res, n_bins, n_pixels, self._folders[res])], LEVELS)
         row.coalesce(1).write.mode("append").parquet(self.path("levels"))
 
     def table(self, res: int, name: str) -> DataFrame:

@@ -216,6 +216,19 @@ def test_build_zoom_balance(spark, tmp_path):
             Matrix.build(spark, str(tmp_path / "bad"), pairs, lengths_of(spark, tigs), bad)
 
 
+def test_a_rebuilt_matrix_forgets_old_weights(spark, genome, tmp_path):
+    root, pixels = str(tmp_path / "m"), pixels_of(spark, [(0, 6, 1)])
+    first = Matrix.create(spark, root, genome)
+    first.add_level(10, pixels)
+    first.balance([10], "LEN")
+    again = Matrix.create(spark, root, genome)
+    with pytest.raises(ResolutionError):
+        again.pixels(10)
+    again.add_level(10, pixels)
+    with pytest.raises(NotBalancedError):
+        Matrix.open(spark, root).weights(10)
+
+
 def test_stored_pixels_prune_by_row_range(stored, spark):
     matrix, _, _ = stored
     plan = matrix.rectangle(10, 2, 5, 10, 12)._jdf.queryExecution().executedPlan().toString()
