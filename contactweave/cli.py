@@ -8,11 +8,12 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import convert as cv, dedup as dd
+from .operators.contacts import unplaced_pairs
 from .operators.matrix import Matrix
 from .plans.storage import materialize
 from .sources.bam import read_bam
 from .sources.pairs import read_lengths, read_pairs, write_pairs
-from .sources.sam import read_sam
+from .sources.sam import longest_name, read_sam
 from .sources.stats_report import write_stats
 
 log = logging.getLogger("contactweave")
@@ -33,7 +34,7 @@ def convert(spark, args) -> None:
         adjacent=args.adjacent,
     )
     routed = materialize(routed, "reads")  # read twice: pairs and counters
-    pairs = cv.emitted_pairs(routed, references, n_references, longest_name=256)
+    pairs = cv.emitted_pairs(routed, references, n_references, longest_name=longest_name(references))
     write_pairs(pairs, args.pairs)
     write_stats(cv.conversion_stats(routed), args.stats)
 
@@ -48,15 +49,18 @@ def dedup(spark, args) -> None:
 
 
 def build(spark, args) -> None:
-    Matrix.build(
+    pairs = read_pairs(spark, args.pairs)
+    matrix = Matrix.build(
         spark,
         args.matrix,
-        read_pairs(spark, args.pairs),
+        pairs,
         read_lengths(spark, args.lengths),
         args.resolutions,
         args.strategy,
         args.boundary,
     )
+    for row in unplaced_pairs(pairs, matrix.genome).groupBy("reason").count().collect():
+        log.warning("pairs left out, a contig is %s: %d", row["reason"], row["count"])
 
 
 def balance(spark, args) -> None:

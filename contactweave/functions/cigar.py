@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Operations in code order, and what each consumes.
 OPS = "MIDNSHP=X"
@@ -122,35 +122,42 @@ def soft_clipping(cigar: Column, left: bool = True) -> Column:
     return _leading(cigar if left else F.reverse(cigar), HARD, INSERTION)
 
 
+_CHUNK = 1 << 16  # bases that one array holds
+
+
 def _op_starts(df: DataFrame, cigar: str, ref_start: str | None) -> DataFrame:
-    """One row per operation with the query and reference position it starts at."""
+    """One row per operation with the query and reference position it starts at.
+
+    Positions are running sums over a read's operations, so the work is
+    linear in their number.
+    """
     first_ref = F.col(ref_start).cast("bigint") if ref_start else F.lit(0).cast("bigint")
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("q"),
-        first_ref.alias("r"),
-        F.array().cast("array<struct<len:bigint,op:string,q:bigint,r:bigint>>").alias("ops"),
-    )
-    step = lambda s, e: F.struct(
-        (s["q"] + F.when(is_in(e["op"], CONSUMES_QUERY), e["len"]).otherwise(0)).alias("q"),
-        (s["r"] + F.when(is_in(e["op"], CONSUMES_REF), e["len"]).otherwise(0)).alias("r"),
-        F.concat(
-            s["ops"],
-            F.array(F.struct(e["len"].alias("len"), e["op"].alias("op"), s["q"].alias("q"), s["r"].alias("r"))),
-        ).alias("ops"),
-    )
-    placed = F.aggregate(F.col(cigar), start, step, lambda s: s["ops"])
-    return df.withColumn("_op", F.explode(placed))
+    read = Window.partitionBy("_read").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+
+    def used(letters: str):
+        return F.coalesce(F.sum(F.when(is_in(F.col("_e.op"), letters), F.col("_e.len")).otherwise(0)).over(read), F.lit(0).cast("bigint"))
+
+    each = df.withColumn("_read", F.monotonically_increasing_id()).select("*", F.posexplode(cigar).alias("_k", "_e"))
+    placed = each.withColumns({"_q": used(CONSUMES_QUERY), "_r": first_ref + used(CONSUMES_REF)})
+    op = F.struct(F.col("_e.len").alias("len"), F.col("_e.op").alias("op"), F.col("_q").alias("q"), F.col("_r").alias("r"))
+    return placed.withColumn("_op", op).drop("_read", "_k", "_e", "_q", "_r")
 
 
 def aligned_pairs(df: DataFrame, cigar: str, ref_start: str | None = None) -> DataFrame:
-    """One row per aligned base: ``query_pos`` and ``ref_pos``, null on the side not consumed."""
-    ops = _op_starts(df, cigar, ref_start).where(~is_in(F.col("_op.op"), HARD))
-    bases = ops.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_op.len") - 1)))
+    """One row per aligned base: ``query_pos`` and ``ref_pos``, null on the side not consumed.
+
+    Long operations are spread out in chunks, so no array grows with them.
+    """
+    ops = _op_starts(df, cigar, ref_start).where(~is_in(F.col("_op.op"), HARD) & (F.col("_op.len") > 0))
+    first = F.sequence(F.lit(0).cast("bigint"), F.col("_op.len") - 1, F.lit(_CHUNK).cast("bigint"))
+    chunks = ops.withColumn("_from", F.explode(first))
+    last = F.least(F.col("_from") + _CHUNK, F.col("_op.len")) - 1
+    bases = chunks.withColumn("_k", F.explode(F.sequence(F.col("_from"), last)))
     op = F.col("_op.op")
     return (
         bases.withColumn("query_pos", F.when(is_in(op, CONSUMES_QUERY), F.col("_op.q") + F.col("_k")))
         .withColumn("ref_pos", F.when(is_in(op, CONSUMES_REF), F.col("_op.r") + F.col("_k")))
-        .drop("_op", "_k")
+        .drop("_op", "_from", "_k")
     )
 
 

@@ -21,9 +21,11 @@ def available(seq: Column) -> Column:
 
 
 def base_at(seq: Column, index: int) -> Column:
-    """0-based letter; past the end is an error."""
+    """0-based letter, null of a null sequence; an index outside the sequence is an error."""
     bad = F.raise_error(F.lit("sequence index out of range"))
-    return F.when(F.length(seq) > index, F.substring(normalize(seq), index + 1, 1)).otherwise(bad)
+    if index < 0:
+        return F.when(seq.isNotNull(), bad.cast("string"))
+    return F.when(seq.isNull() | (F.length(seq) > index), normalize(F.substring(seq, index + 1, 1))).otherwise(bad)
 
 
 def to_codes(seq: Column) -> Column:

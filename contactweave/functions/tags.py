@@ -78,8 +78,18 @@ def show_tag(value: Column) -> Column:
 
 
 def _plain_double(x: Column) -> Column:
-    """Shortest decimal text without a trailing ``.0``."""
-    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+    """Shortest decimal text without an exponent and without a trailing ``.0``."""
+    text = x.cast("string")
+    parts = r"^-?([0-9]+)\.([0-9]+)E(-?[0-9]+)$"
+    whole, after = F.regexp_extract(text, parts, 1), F.regexp_extract(text, parts, 2)
+    power = F.regexp_extract(text, parts, 3).try_cast("int")
+    after = F.when(after == "0", "").otherwise(after)
+    digits = F.concat(whole, after)  # the point stands after ``whole``, one digit
+    padded = F.rpad(digits, F.greatest(F.length(digits), power + 1), F.lit("0"))
+    large = F.concat(F.substring(padded, F.lit(1), power + 1), F.lit("."), F.substring(padded, power + 2, F.length(padded)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    moved = F.concat(F.when(text.startswith("-"), "-").otherwise(""), F.when(power >= 0, large).otherwise(small))
+    return F.regexp_replace(F.when(text.contains("E"), moved).otherwise(text), r"\.0*$", "")
 
 
 def int_tag(tags: Column, name: str) -> Column:

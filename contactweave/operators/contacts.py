@@ -67,15 +67,21 @@ def contact_pixels(
 
 
 def unplaced_pairs(pairs: DataFrame, genome: Genome) -> DataFrame:
-    """Pairs left out of every matrix because a contig is unknown."""
-    known = genome.contigs.select("tig_name").distinct()
+    """Pairs left out of every clamped matrix: a contig is unknown or has no length.
+
+    ``reason`` is ``unknown`` or ``empty``; unknown comes first if both apply.
+    """
+    known = genome.contigs.groupBy("tig_name").agg((F.max("length") > 0).alias("_holds"))
     flagged = pairs
     for end in "12":
-        side = known.select(F.col("tig_name").alias("_name"), F.lit(True).alias(f"_known{end}"))
+        side = known.select(F.col("tig_name").alias("_name"), F.col("_holds").alias(f"_known{end}"))
         flagged = lookup(
             flagged, side, {f"tig{end}": "_name"}, genome.n_tigs, "left", genome.longest_name
         )
-    return flagged.where("_known1 is null or _known2 is null").drop("_known1", "_known2")
+    reason = F.when(F.col("_known1").isNull() | F.col("_known2").isNull(), "unknown").when(
+        ~F.col("_known1") | ~F.col("_known2"), "empty"
+    )
+    return flagged.withColumn("reason", reason).where("reason is not null").drop("_known1", "_known2")
 
 
 def zoom_pixels(

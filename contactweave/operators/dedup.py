@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.ordering import global_rank
-from ..plans.storage import AlternatingTable, materialize, new_scratch_path
+from ..plans.storage import AlternatingTable, materialize
 
 MAX_MISMATCH = 3
 MODES = ("greedy", "any_earlier")
 ORDER = ["tig1", "tig2", "pos1", "pos2", "ord"]
 
 _PLACE = ["tig1", "tig2", "strand1", "strand2", "pos1", "pos2"]
+_KEYS = ["tig1", "tig2", "strand1", "strand2"]
 _CELL = 32  # least cell width; most pairs then meet one or two cells
 
 
@@ -78,8 +80,10 @@ def dedup_pairs(
     on the same contigs and strands lies within the tolerance at both ends.
     ``any_earlier`` drops it if any earlier pair does.
 
-    The greedy scan is settled in rounds over the conflicts alone: a pair with
-    no undecided or kept earlier neighbour stays, a pair with a kept one goes.
+    The greedy scan runs in order over the pairs that have a conflict, one
+    range of them a task.  Where a range starts within the tolerance of the one
+    before, it is scanned again with what that one kept, until nothing
+    changes: rounds count the ranges that a chain of decisions crosses.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -93,33 +97,85 @@ def dedup_pairs(
     if mode == "any_earlier":
         dropped = conflicts.select("ord").distinct()
     else:
-        dropped = _greedy_drops(conflicts)
+        dropped = _greedy_drops(places, conflicts, max_mismatch)
     return places.join(dropped, "ord", "left_anti").select(*pairs.columns)
 
 
-def _greedy_drops(conflicts: DataFrame) -> DataFrame:
-    """``ord`` of the pairs a sorted scan drops.
+_SCAN = "part int, kind string, ord bigint, tig1 string, tig2 string, strand1 string, strand2 string, pos1 bigint, pos2 bigint"
 
-    Each round takes the pairs that no undecided pair precedes as kept, drops
-    their later neighbours, and forgets conflicts that touch a dropped pair.
-    The first undecided pair is always settled, so the loop ends.
+
+def _scan(table: pa.Table, n: int) -> pa.Table:
+    """Scan one range after the pairs kept just before it.
+
+    Returns the ``ord`` of dropped pairs, and as ``carry`` the kept pairs that
+    lie within ``n`` of the range's last place, which the next range needs.
     """
-    spark = conflicts.sparkSession
-    undecided = AlternatingTable(spark, "conflicts")
-    dropped_path = new_scratch_path(spark, "dropped")
-    edges = undecided.replace(conflicts)
-    gone_schema = edges.select("ord").schema
-    rounds = 0
-    while edges.limit(1).count():
-        waiting = edges.select(F.col("ord").alias("_waiting")).distinct()
-        settled = edges.join(waiting, F.col("earlier") == F.col("_waiting"), "left_anti")
-        here = f"{dropped_path}/round={rounds}"
-        settled.select("ord").distinct().write.parquet(here)
-        gone = spark.read.schema(gone_schema).parquet(here)
-        left = edges.join(gone, "ord", "left_anti")
-        left = left.join(gone.select(F.col("ord").alias("earlier")), "earlier", "left_anti")
-        edges = undecided.replace(left.select("ord", "earlier"))
-        rounds += 1
-    if rounds == 0:
-        return edges.select("ord")
-    return spark.read.parquet(dropped_path).select("ord")
+    rows = table.to_pylist()
+    before = [r for r in rows if r["kind"] == "carry"]
+    own = sorted((r for r in rows if r["kind"] == "own"), key=lambda r: (*(r[k] for k in _KEYS), r["pos1"], r["pos2"], r["ord"]))
+    group = None
+    size = n + 1  # of grid cells: no two kept pairs of one group share a cell
+
+    def near(r: dict):
+        a, b = r["pos1"] // size, r["pos2"] // size
+        for x in (a - 1, a):
+            for y in (b - 1, b, b + 1):
+                yield from cells.get((x, y), ())
+
+    def keep(r: dict) -> None:
+        cells.setdefault((r["pos1"] // size, r["pos2"] // size), []).append(r)
+
+    out: list[dict] = []
+    kept: list[dict] = []
+    cells: dict[tuple[int, int], list[dict]] = {}
+    for r in own:
+        key = tuple(r[k] for k in _KEYS)
+        if key != group:
+            group, cells, kept = key, {}, []
+            for c in before:
+                if tuple(c[k] for k in _KEYS) == key:
+                    keep(c)
+                    kept.append(c)
+        hit = any(0 <= r["pos1"] - k["pos1"] <= n and abs(r["pos2"] - k["pos2"]) <= n for k in near(r))
+        if hit:
+            out.append(r | {"kind": "drop"})
+        else:
+            keep(r)
+            kept.append(r)
+    if own:
+        end = own[-1]["pos1"]
+        out += [r | {"kind": "carry", "part": own[-1]["part"]} for r in kept if end - r["pos1"] <= n]
+    return pa.Table.from_pylist(out, schema=table.schema)
+
+
+def _greedy_drops(places: DataFrame, conflicts: DataFrame, n: int) -> DataFrame:
+    """``ord`` of the pairs a sorted scan drops; only pairs with a conflict are scanned."""
+    spark = places.sparkSession
+    touched = conflicts.select(F.explode(F.array("ord", "earlier")).alias("ord")).distinct()
+    order = [*_KEYS, "pos1", "pos2", "ord"]
+    ranges = materialize(
+        places.join(touched, "ord", "left_semi")
+        .select("ord", *_KEYS, "pos1", "pos2")
+        .repartitionByRange(*order)
+        .withColumn("part", F.spark_partition_id())
+        .withColumn("kind", F.lit("own")),
+        "ranges",
+    )
+    # ranges that hold rows, each with the one before it
+    previous = Window.orderBy("part")
+    follows = (
+        ranges.groupBy("part").agg(F.count(F.lit(1)).alias("_n")).select(F.col("part").alias("_next"), F.lag("part").over(previous).alias("_before"))
+    )  # one row per range
+    follows = materialize(follows, "follows")
+    names = [c.split()[0] for c in _SCAN.split(", ")]
+    state, done = AlternatingTable(spark, "scan"), None
+    result = state.replace(ranges.select(*names).groupBy("part").applyInArrow(lambda t: _scan(t, n), _SCAN))
+    while True:
+        carried = result.where("kind = 'carry'")
+        mark = carried.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*names).cast("decimal(38,0)"))).first()
+        if mark == done:
+            return result.where("kind = 'drop'").select("ord")
+        done = mark
+        moved = carried.join(F.broadcast(follows), F.col("part") == F.col("_before")).withColumn("part", F.col("_next")).select(*names)
+        again = ranges.select(*names).unionByName(moved)
+        result = state.replace(again.groupBy("part").applyInArrow(lambda t: _scan(t, n), _SCAN))

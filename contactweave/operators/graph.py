@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.lookups import lookup
-from ..plans.storage import AlternatingTable, materialize, new_scratch_path
+from ..plans.storage import AlternatingTable, materialize
 
 
 def node_name(name: str | Column, orient: str | Column) -> Column:
@@ -79,10 +79,12 @@ def bfs_distances(
 ) -> DataFrame:
     """Fewest edges from ``source`` to every node it reaches: node, distance.
 
-    One round per distance: the last frontier meets the edges, new nodes are
-    the distinct targets not seen before.  The frontier's counted size decides
-    whether it is broadcast.  With ``jump_complement_at_sink`` a node without
-    outgoing edges goes on from its other strand at distance one more.
+    Unbranched paths are contracted first: pointers along them double their
+    reach each round, so a path of a million nodes takes about twenty.  The
+    search then goes over the branching nodes with path lengths as weights,
+    one round for each branching on the way, and the paths' inner nodes get
+    their distances at the end.  With ``jump_complement_at_sink`` a node
+    without outgoing edges goes on from its other strand at distance one more.
 
     With ``include_source`` off the source is listed only if a cycle leads back
     to it, at the length of the shortest one.
@@ -95,26 +97,97 @@ def bfs_distances(
         other = F.concat(F.expr("substr(dst, 1, length(dst) - 1)"), flip(F.expr("right(dst, 1)")))
         steps = steps.unionByName(sinks.select(F.col("dst").alias("src"), other.alias("dst")))
     steps = materialize(steps, "steps")
+    inner = materialize(_unbranched(steps, source), "inner")
+    hops, placed = _contracted(steps, inner)
+    reached = _weighted_search(hops, source)
+    listed = reached if include_source else reached.where(F.col("node") != source).unionByName(
+        hops.join(reached, F.col("src") == F.col("node")).where(F.col("dst") == source)
+        .agg(F.min(F.col("distance") + F.col("weight")).alias("distance"))
+        .where("distance is not null")
+        .select(F.lit(source).alias("node"), "distance")
+    )
+    along = placed.join(reached, F.col("head") == F.col("node")).select(
+        F.col("inner").alias("node"), (F.col("distance") + F.col("place")).alias("distance")
+    )
+    return listed.unionByName(along)
 
-    base = new_scratch_path(spark, "reached")
-    schema = "node string, distance bigint"
-    frontier = spark.createDataFrame([(source, 0)], schema)
-    depth, size = 0, 1
-    if include_source:
-        frontier.write.parquet(f"{base}/round=0")
-    while True:
-        start = frontier.select(F.col("node").alias("_node"))
-        found = lookup(steps, start, {"src": "_node"}, size).select(F.col("dst").alias("node")).distinct()
-        if depth or include_source:
-            found = found.join(spark.read.schema(schema).parquet(base).select("node"), "node", "left_anti")
-        depth += 1
-        here = f"{base}/round={depth}"
-        found.withColumn("distance", F.lit(depth).cast("bigint")).write.parquet(here)
-        frontier = spark.read.schema(schema).parquet(here)
-        size = frontier.count()
-        if size == 0:
+
+def _unbranched(steps: DataFrame, source: str) -> DataFrame:
+    """Nodes other than the source with one edge in and one out: inner, before, after."""
+    into = steps.groupBy(F.col("dst").alias("inner")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("before")).where("n = 1")
+    out = steps.groupBy(F.col("src").alias("_from")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("after")).where("n = 1")
+    return (
+        into.join(out.select("_from", "after"), F.col("inner") == F.col("_from"))
+        .where((F.col("inner") != source) & (F.col("inner") != F.col("before")))
+        .select("inner", "before", "after")
+    )
+
+
+def _contracted(steps: DataFrame, inner: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weighted hops between branching nodes, and each inner node's head and place after it.
+
+    Inner nodes on a cycle without a branching have no head and are left out:
+    no other node leads to them.
+    """
+    known = inner.select(F.col("inner").alias("_known"))
+    # pointer: the node before, until that is the first inner node of its path
+    state = inner.join(known, F.col("before") == F.col("_known"), "left").select(
+        "inner",
+        F.when(F.col("_known").isNotNull(), F.col("before")).otherwise(F.col("inner")).alias("first"),
+        F.when(F.col("_known").isNotNull(), 1).otherwise(0).cast("bigint").alias("place"),
+        F.col("_known").isNull().alias("done"),
+    )
+    table = AlternatingTable(inner.sparkSession, "paths")
+    state = table.replace(state)
+    for _ in range(inner.count().bit_length() + 1):
+        if state.where("not done").isEmpty():
             break
-    return spark.read.schema(schema).parquet(base).select("node", "distance")
+        ahead = state.select(
+            F.col("inner").alias("_at"), F.col("first").alias("_first"), F.col("place").alias("_place"), F.col("done").alias("_done")
+        )
+        moved = state.where("not done").join(ahead, F.col("first") == F.col("_at")).select(
+            "inner", F.col("_first").alias("first"), (F.col("place") + F.col("_place")).alias("place"), F.col("_done").alias("done")
+        )
+        state = table.replace(state.where("done").unionByName(moved))
+    state = state.where("done").select(F.col("inner").alias("_node"), "first", "place")
+    paths = materialize(state.join(inner, F.col("_node") == F.col("inner")).select("inner", "first", "place", "before", "after"), "paths")
+    # only the first inner node of a path has a branching node before it
+    ends = paths.groupBy("first").agg(
+        F.min_by("before", "place").alias("head"), F.max_by("after", "place").alias("dst"), F.max("place").alias("_last")
+    )
+    placed = paths.join(ends.select(F.col("first").alias("_path"), "head"), F.col("first") == F.col("_path")).select(
+        "inner", "head", (F.col("place") + 1).alias("place")
+    )
+    direct = (
+        steps.join(known, F.col("src") == F.col("_known"), "left_anti")
+        .join(known, F.col("dst") == F.col("_known"), "left_anti")
+        .select("src", "dst", F.lit(1).cast("bigint").alias("weight"))
+    )
+    over = ends.select(F.col("head").alias("src"), "dst", (F.col("_last") + 2).alias("weight"))
+    hops = direct.unionByName(over).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    return materialize(hops, "hops"), materialize(placed, "placed")
+
+
+def _weighted_search(hops: DataFrame, source: str) -> DataFrame:
+    """Least distance from ``source`` over weighted hops; only improved nodes go on in a round."""
+    spark = hops.sparkSession
+    schema = "node string, distance bigint"
+    best_table, front_table = AlternatingTable(spark, "best"), AlternatingTable(spark, "front")
+    front = front_table.replace(spark.createDataFrame([(source, 0)], schema))
+    best = best_table.replace(front)
+    widest = hops.agg(F.max(F.octet_length("src"))).first()[0] or 1
+    size = 1
+    while size:
+        start = front.select(F.col("node").alias("_node"), "distance")
+        found = lookup(hops, start, {"src": "_node"}, size, string_bytes=widest)
+        found = found.groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("distance"))
+        old = best.select(F.col("node").alias("_old"), F.col("distance").alias("_least"))
+        better = found.join(old, F.col("node") == F.col("_old"), "left").where("_least is null or distance < _least")
+        front = front_table.replace(better.select("node", "distance"))
+        size = front.count()
+        if size:
+            best = best_table.replace(best.unionByName(front).groupBy("node").agg(F.min("distance").alias("distance")))
+    return best
 
 
 def reachable(

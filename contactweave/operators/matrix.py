@@ -170,8 +170,17 @@ class Matrix:
         return ct.balanced_pixels(part, self.weights(res), self.n_bins(res))
 
     def iter_pixels(self, res: int) -> Iterator[Row]:
-        """Rows in stored order, one partition at a time on the driver."""
-        return self.pixels(res).orderBy("bin1_id", "bin2_id").toLocalIterator()
+        """Rows in stored order, one row range at a time on the driver.
+
+        Pixels are stored in that order by ranges of bin1_id, so each range is
+        read by a pruned scan and sorted on its own.  Work at scale goes over
+        the ``pixels`` DataFrame instead.
+        """
+        n = self.n_bins(res)
+        step = max(1, n // (1 + self.n_pixels(res) // 1_000_000))
+        for low in range(0, n + 1, step):
+            part = self.pixels(res).where((F.col("bin1_id") >= low) & (F.col("bin1_id") < low + step))
+            yield from part.sort("bin1_id", "bin2_id").toLocalIterator()
 
     # Rectangles and rows
 
@@ -184,6 +193,10 @@ class Matrix:
     def balanced_array(self, res: int, i0: int, i1: int, j0: int, j1: int) -> np.ndarray:
         return rg.to_dense(self.balanced_rectangle(res, i0, i1, j0, j1), i0, i1, j0, j1)
 
+    def dense_rectangle(self, res: int, i0: int, i1: int, j0: int, j1: int) -> DataFrame:
+        """Every cell of a balanced rectangle, zeros included."""
+        return rg.dense_rectangle(self.balanced_rectangle(res, i0, i1, j0, j1), i0, i1, j0, j1)
+
     def balanced_row(self, res: int, row: int) -> DataFrame:
         return rg.balanced_row(self.pixels(res), self.weights(res), self.n_bins(res), row)
 

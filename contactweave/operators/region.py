@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..errors import MatrixIndexError
 from ..plans.lookups import lookup
-from ..plans.ordering import global_rank
-
-MAX_DENSE_CELLS = 50_000_000
 
 
 def check_range(n_bins: int, i0: int, i1: int, j0: int, j1: int) -> None:
@@ -48,14 +45,15 @@ def rectangle(
     """Cells of the full symmetric matrix with i in [i0, i1) and j in [j0, j1).
 
     Both halves get the ranges on their stored columns, so each scan can skip
-    row groups by bin1_id.
+    row groups by bin1_id.  Only bin1 <= bin2 is stored, which narrows the
+    ranges further: one row reads its own pixels and those of earlier rows.
     """
     check_range(n_bins, i0, i1, j0, j1)
-    direct = upper_rectangle(pixels, i0, i1, j0, j1).select(
+    direct = upper_rectangle(pixels, i0, min(i1, j1), max(i0, j0), j1).select(
         F.col("bin1_id").alias("i"), F.col("bin2_id").alias("j"), "count"
     )
     flipped = (
-        upper_rectangle(pixels, j0, j1, i0, i1)
+        upper_rectangle(pixels, j0, min(i1, j1), max(i0, j0), i1)
         .where("bin1_id != bin2_id")
         .select(F.col("bin2_id").alias("i"), F.col("bin1_id").alias("j"), "count")
     )
@@ -101,10 +99,28 @@ def dense_row(
     )
 
 
+def dense_rectangle(
+    cells: DataFrame, i0: int, i1: int, j0: int, j1: int, value: str = "value"
+) -> DataFrame:
+    """Every cell of a rectangle as i, j, value; zero where nothing finite is stored.
+
+    The cells are numbered across tasks, so neither a row nor the rectangle
+    has to fit in one place.
+    """
+    width = j1 - j0
+    every = cells.sparkSession.range((i1 - i0) * width).select(
+        (F.expr(f"id div {width}") + i0).alias("i"), (F.col("id") % width + j0).alias("j")
+    )
+    held = cells.select(
+        F.col("i").alias("_i"), F.col("j").alias("_j"), F.col(value).cast("double").alias("_v")
+    ).where(finite("_v"))
+    return every.join(held, (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")), "left").select(
+        "i", "j", F.coalesce("_v", F.lit(0.0)).alias("value")
+    )
+
+
 def to_dense(cells: DataFrame, i0: int, i1: int, j0: int, j1: int, value: str = "value") -> np.ndarray:
-    """A rectangle as an array on the driver; refuses areas past a fixed size."""
-    if (i1 - i0) * (j1 - j0) > MAX_DENSE_CELLS:
-        raise MatrixIndexError(f"a dense block is limited to {MAX_DENSE_CELLS} cells")
+    """A rectangle as an array in the driver's memory; ``dense_rectangle`` is the distributed form."""
     out = np.zeros((i1 - i0, j1 - j0))
     table = cells.select("i", "j", F.col(value).cast("double").alias("v")).where(finite("v")).toPandas()
     out[table["i"].to_numpy() - i0, table["j"].to_numpy() - j0] = table["v"].to_numpy()
@@ -115,14 +131,19 @@ def pixel_slice(pixels: DataFrame, index: DataFrame, start: int, end: int) -> Da
     """Pixels at positions [start, end) of the (bin1_id, bin2_id) order, with ``pos``.
 
     The row pointers name the bins whose pixels overlap the slice, and only
-    those are read and ranked.
+    those are read.  A pixel's position is its row's pointer and its place in
+    the row, so nothing is sorted across rows or stored.
     """
     if not 0 <= start < end:
         raise MatrixIndexError(f"slice [{start}, {end}) is empty")
-    first = index.where(F.col("bin1_offset") <= start).agg(F.max("bin_id"), F.max("bin1_offset")).first()
-    last = index.where(F.col("bin1_offset") < end).agg(F.max("bin_id")).first()
-    part = pixels.where(F.col("bin1_id").between(first[0], last[0]))
-    ranked = global_rank(part, ["bin1_id", "bin2_id"], "_rank")
-    return ranked.withColumn("pos", F.col("_rank") + F.lit(first[1])).where(
+    first = index.where(F.col("bin1_offset") <= start).agg(F.max("bin_id")).first()[0]
+    last = index.where(F.col("bin1_offset") < end).agg(F.max("bin_id")).first()[0]
+    part = pixels.where(F.col("bin1_id").between(first, last))
+    starts = index.where(F.col("bin_id").between(first, last)).select(
+        F.col("bin_id").alias("_row"), F.col("bin1_offset").alias("_first")
+    )
+    in_row = Window.partitionBy("bin1_id").orderBy("bin2_id")
+    placed = lookup(part.withColumn("_place", F.row_number().over(in_row) - 1), starts, {"bin1_id": "_row"}, last - first + 1)
+    return placed.withColumn("pos", F.col("_first") + F.col("_place")).where(
         F.col("pos").between(start, end - 1)
-    ).drop("_rank")
+    ).drop("_first", "_place")

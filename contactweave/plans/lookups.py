@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .storage import materialize
+
 BROADCAST_BYTES = 256 * 1024 * 1024
 _ROW_OVERHEAD = 32
-_SALTS = 16
+HEAVY_ROWS = 1_000_000  # a key with more facts is split into parts of about this size
 
 
 def broadcast_budget(spark: SparkSession) -> int:
@@ -36,9 +38,10 @@ def lookup(
     """Join ``facts`` to ``dimension`` on ``facts key -> dimension key``.
 
     The dimension is broadcast only if its counted rows fit the budget.  Past
-    that both sides are shuffled, and every fact key is spread over a fixed
-    number of salts (the dimension is repeated once per salt), so a key that
-    holds a large part of the facts is worked on by many tasks.
+    that both sides are shuffled.  Keys that hold more than ``HEAVY_ROWS``
+    facts are counted first and split into as many parts as their count asks
+    for, their dimension rows repeated once per part; all other keys are
+    joined as they are.
     """
     renamed = {b: f"_key_{b}" for b in keys.values()}
     dim = dimension.withColumnsRenamed(renamed)
@@ -46,15 +49,42 @@ def lookup(
     if fits_broadcast(dimension, n_rows, string_bytes):
         joined = facts.join(F.broadcast(dim), [facts[a] == dim[b] for a, b in pairs], how)
     else:
-        salted = facts.withColumn(
-            "_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(_SALTS)).cast("int")
-        )
-        dim = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        on = [salted[a] == dim[b] for a, b in pairs] + [salted["_salt"] == dim["_dim_salt"]]
-        joined = salted.join(dim, on, how).drop("_salt", "_dim_salt")
+        joined = _shuffled(facts, dim, pairs, how)
     return joined.drop(*renamed.values())
 
 
+def _shuffled(facts: DataFrame, dim: DataFrame, pairs: list[tuple[str, str]], how: str) -> DataFrame:
+    fact_keys, dim_keys = [a for a, _ in pairs], [b for _, b in pairs]
+    heavy = materialize(
+        facts.groupBy(*fact_keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > HEAVY_ROWS)
+        .select(
+            *[F.col(k).alias(f"_heavy{i}") for i, k in enumerate(fact_keys)],
+            F.expr(f"_n div {HEAVY_ROWS} + 1").alias("_parts"),
+        ),
+        "heavy",
+    )
+    n_heavy = heavy.count()
+    if not n_heavy:
+        return facts.join(dim, [facts[a] == dim[b] for a, b in pairs], how)
+    # as many rows as there are millions of facts at most; broadcast while that fits
+    side = F.broadcast(heavy) if fits_broadcast(heavy, n_heavy, 256) else heavy
+
+    def with_parts(df: DataFrame, keys: list[str]) -> DataFrame:
+        same = [df[k] == side[f"_heavy{i}"] for i, k in enumerate(keys)]
+        return df.join(side, same, "left").drop(*[f"_heavy{i}" for i in range(len(keys))])
+
+    salted = with_parts(facts, fact_keys).withColumn(
+        "_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1)))
+    ).drop("_parts")
+    dim = with_parts(dim, dim_keys).withColumn(
+        "_dim_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1))
+    ).drop("_parts")
+    on = [salted[a] == dim[b] for a, b in pairs] + [salted["_salt"] == dim["_dim_salt"]]
+    return salted.join(dim, on, how).drop("_salt", "_dim_salt")
+
+
 def lookup_ends(
     pixels: DataFrame,
     bins: DataFrame,

@@ -68,14 +68,15 @@ def global_rank(
     read straight from files: an extra last key, the row's place in the scan,
     spreads equal rows over partitions and stays the same on a rerun.
     """
-    if n_rows is not None and n_rows <= SMALL:
-        return df.withColumn(
-            out, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1
-        )
     keys = list(order)
     if copies:
         df = df.withColumn("_spread", F.monotonically_increasing_id())
         keys.append("_spread")
+    if n_rows is not None and n_rows <= SMALL:
+        ranked = df.withColumn(
+            out, F.row_number().over(Window.orderBy(*keys)).cast("bigint") - 1
+        ).drop("_spread")
+        return materialize(ranked, "ranked") if copies else ranked
     stored = materialize(
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
@@ -108,8 +109,9 @@ def exact_median(
 ) -> DataFrame:
     """Exact median of ``value`` per group (mean of the two middle values).
 
-    Small inputs use the built-in aggregate, which holds a group's distinct
-    values in memory.  Larger ones count copies of each value first, then find
+    Without ``group`` there is one row, null if there are no values.  Small
+    inputs use the built-in aggregate, which holds a group's distinct values
+    in memory.  Larger ones count copies of each value first, then find
     the middle positions in one distributed order.
     """
     if n_rows is not None and n_rows <= SMALL:
@@ -130,5 +132,5 @@ def exact_median(
     middle = held.where(
         ((F.col("_before") <= low) & (low < after)) | ((F.col("_before") <= high) & (high < after))
     )
-    found = middle.groupBy(key).agg(F.avg(F.col(value).cast("double")).alias(out))
-    return found if group else found.drop(key)
+    middle_value = F.avg(F.col(value).cast("double")).alias(out)
+    return middle.groupBy(key).agg(middle_value) if group else middle.agg(middle_value)

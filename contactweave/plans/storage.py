@@ -3,11 +3,14 @@
 Iterative operators and operators that must read the same row order twice
 write an intermediate Parquet table and go on from there.  The folder comes
 from ``spark.checkpoint.dir``, which a cluster points at storage that outlives
-any executor.
+any executor.  Where it is unset, a local session gets a temporary folder that
+is removed when the program ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +28,7 @@ def scratch_root(spark: SparkSession) -> str:
     app = spark.conf.get("spark.app.id", "local")
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="contactweave-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
     return _LOCAL_DIRS[app]
 
 
@@ -39,6 +43,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table whose consumers are done."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class AlternatingTable:
     """Two slots written in turn, so a loop of any length keeps two versions."""
 
@@ -47,6 +57,11 @@ class AlternatingTable:
         self._base = new_scratch_path(spark, label)
         self._turn = 0
 
+    def clear(self) -> None:
+        """Leave both slots empty; what was read from them must not be used again."""
+        for slot in (0, 1):
+            remove(self._spark, f"{self._base}/slot{slot}")
+
     def replace(self, df: DataFrame) -> DataFrame:
         path = f"{self._base}/slot{self._turn % 2}"
         self._turn += 1

@@ -13,4 +13,5 @@ ALIGNMENTS = (
     "is_supplementary boolean, ord bigint"
 )
 
+PAIR_TEXT_COLUMNS = ["read_name", "tig1", "tig2", "strand1", "strand2"]
 PAIR_COLUMNS = ["read_name", "tig1", "pos1", "tig2", "pos2", "strand1", "strand2"]

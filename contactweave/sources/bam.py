@@ -20,6 +20,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..plans.shipping import ship_package
+
 # Fixed values of the format: the start of a block, and per CIGAR code of
 # MIDNSHP=X whether it uses up reference bases.
 BLOCK_MAGIC = b"\x1f\x8b\x08\x04"
@@ -179,15 +181,14 @@ def _first_record(data: bytes, n_refs: int, at_end: bool) -> int | None:
 
 @dataclass
 class BamSplit(InputPartition):
-    """A byte range of one file and what a task must know of the file's header."""
+    """A byte range of one file, the bytes of the files before it, and the file whose header names the contigs."""
 
     path: str
     start: int
     end: int
     size: int
-    n_refs: int
-    first_block: int
-    first_within: int
+    before: int
+    lead: tuple[str, int]
 
 
 def _gather(data: np.ndarray, offsets: np.ndarray, dtype: str) -> np.ndarray:
@@ -195,8 +196,8 @@ def _gather(data: np.ndarray, offsets: np.ndarray, dtype: str) -> np.ndarray:
     return data[offsets[:, None] + np.arange(width)].copy().view(dtype).ravel()
 
 
-def _batch(raw: bytes, offsets: np.ndarray, ords: np.ndarray) -> pa.RecordBatch:
-    """Columns of the records at ``offsets``."""
+def _batch(raw: bytes, offsets: np.ndarray, ords: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Columns of the records at ``offsets``; ``ids`` has each of the file's contigs' number, and -1 at its end."""
     data = np.frombuffer(raw, dtype=np.uint8)
     l_name = data[offsets + 12].astype(np.int64)
     n_ops = _gather(data, offsets + 16, "<u2").astype(np.int64)
@@ -216,7 +217,7 @@ def _batch(raw: bytes, offsets: np.ndarray, ords: np.ndarray) -> pa.RecordBatch:
         [
             pa.array(names, pa.string()),
             pa.array(np.where(flag & 0x40, 1, 2).astype(np.int32)),
-            pa.array(_gather(data, offsets + 4, "<i4").astype(np.int64)),
+            pa.array(ids[_gather(data, offsets + 4, "<i4").astype(np.int64)]),
             pa.array(pos),
             pa.array(pos + covered.astype(np.int64)),
             pa.array(data[offsets + 13].astype(np.int32)),
@@ -236,10 +237,12 @@ def _batch(raw: bytes, offsets: np.ndarray, ords: np.ndarray) -> pa.RecordBatch:
 def _read_split(split: BamSplit) -> Iterator[pa.RecordBatch]:
     system, inner = _open(split.path)
     with system.open_input_file(inner) as handle:
-        if split.end <= split.first_block:
+        header = read_header(handle, split.size)
+        ids = _contig_ids(split, header)
+        if split.end <= header.block:
             return
-        if split.start <= split.first_block:
-            first, within = split.first_block, split.first_within
+        if split.start <= header.block:
+            first, within = header.block, header.within
         else:
             first, within = _first_block(handle, split.start, split.size), None
         if first >= min(split.end, split.size):
@@ -261,7 +264,7 @@ def _read_split(split: BamSplit) -> Iterator[pa.RecordBatch]:
             goal = len(data) + _WINDOW
             while len(data) < goal and more():
                 pass
-            within = _first_record(data, split.n_refs, not open_ended)
+            within = _first_record(data, len(header.names), not open_ended)
             if within is None and (not open_ended or starts[-1][1] >= split.end):
                 return  # the range lies inside one record that starts before it
         at = within
@@ -284,8 +287,8 @@ def _read_split(split: BamSplit) -> Iterator[pa.RecordBatch]:
                 places = np.array(offsets, dtype=np.int64)
                 held = np.array(starts, dtype=np.int64)
                 block = np.searchsorted(held[:, 0], places, side="right") - 1
-                ords = (held[block, 1] << 16) + places - held[block, 0]
-                yield _batch(data, places, ords)
+                ords = (split.before + held[block, 1] << 16) + places - held[block, 0]
+                yield _batch(data, places, ords, ids)
             if done or (not open_ended and not offsets):
                 if not done and at < len(data):
                     raise ValueError(f"{split.path} ends inside a record")
@@ -298,21 +301,34 @@ def _read_split(split: BamSplit) -> Iterator[pa.RecordBatch]:
                 more()
 
 
+def _contig_ids(split: BamSplit, own: Header) -> np.ndarray:
+    """Number of each contig of this file in the lead file's header; the last entry stands for none."""
+    if split.path == split.lead[0]:
+        return np.append(np.arange(len(own.names)), -1)
+    lead = _header_of(*split.lead)
+    number = {n: (i, length) for i, (n, length) in enumerate(zip(lead.names, lead.lengths))}
+    ids = []
+    for name, length in zip(own.names, own.lengths):
+        if name not in number:
+            raise ValueError(f"{split.path} has a contig {name} that {split.lead[0]} does not have")
+        if number[name][1] != length:
+            raise ValueError(f"contig {name} is {length} long in {split.path} and {number[name][1]} in {split.lead[0]}")
+        ids.append(number[name][0])
+    return np.array([*ids, -1], np.int64)
+
+
 class _AlignmentReader(DataSourceReader):
     def __init__(self, path: str, split_bytes: int):
         self.path, self.split_bytes = path, split_bytes
 
     def partitions(self):
-        splits = []
-        for path, size in _files(self.path):
-            header = _header_of(path, size)
+        files, splits, before = _files(self.path), [], 0
+        for path, size in files:
             splits += [
-                BamSplit(
-                    path, start, min(start + self.split_bytes, size), size,
-                    len(header.names), header.block, header.within,
-                )
+                BamSplit(path, start, min(start + self.split_bytes, size), size, before, files[0])
                 for start in range(0, size, self.split_bytes)
             ]
+            before += size
         return splits
 
     def read(self, partition):
@@ -349,7 +365,13 @@ class BamDataSource(DataSource):
 
 
 def read_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Alignments and references of one BAM file or a folder of them with one header."""
+    """Alignments and references of one BAM file or of a folder of them.
+
+    Files stand in the order of their names.  Contigs are numbered as in the
+    first file; a later file may list them in another order or leave some out,
+    and one with a contig of its own or of another length is an error.
+    """
+    ship_package(spark)
     spark.dataSource.register(BamDataSource)
     source = spark.read.format("bam").option("splitBytes", str(split_bytes))
     return source.load(path), spark.read.format("bam").option("table", "references").load(path)

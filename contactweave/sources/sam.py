@@ -8,16 +8,22 @@ from ..functions.cigar import parse_cigar, ref_length
 from ..operators.convert import mate_of_flag
 from ..plans.lookups import lookup
 from ..plans.ordering import global_rank
+from ..plans.storage import materialize
 from .text_order import with_file_order
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """ref_id and ref_name in the order of the ``@SQ`` header lines."""
     lines = spark.read.text(path).where(F.col("value").startswith("@SQ\t"))
-    ordered = with_file_order(lines)
+    ordered = materialize(with_file_order(lines), "header")  # the text is read once for the header
     name = F.regexp_extract("value", "\tSN:([^\t]+)", 1)
     listed = ordered.select(name.alias("ref_name"), "ord")
-    return global_rank(listed, ["ord"], "ref_id", listed.count()).select("ref_id", "ref_name")
+    return materialize(global_rank(listed, ["ord"], "ref_id", listed.count()).select("ref_id", "ref_name"), "references")
+
+
+def longest_name(references: DataFrame) -> int:
+    """Bytes of the longest contig name."""
+    return references.agg(F.max(F.octet_length("ref_name"))).first()[0] or 0
 
 
 def flag_columns(flag: str = "flag") -> list[Column]:
@@ -65,7 +71,7 @@ def read_sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         {"ref_name": "_name"},
         references.count(),
         "left",
-        256,
+        longest_name(references),
     )
     unknown = F.raise_error(F.lit("alignment names a contig missing from the header")).cast("bigint")
     ref_id = F.when(F.col("ref_name") == "*", F.lit(-1)).otherwise(F.coalesce("ref_id", unknown))

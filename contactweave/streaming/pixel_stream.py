@@ -7,14 +7,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.contacts import contact_pixels
 from ..operators.genome import Genome
-from ..schemas import PAIRS
+from ..schemas import PAIR_TEXT_COLUMNS, PAIRS
 from ..sources.pairs import STRICT_TEXT
 
 
 def stream_pairs(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Pairs of a growing folder, in the same text format as the batch reader."""
     reader = spark.readStream.schema(PAIRS).options(**STRICT_TEXT, comment="#")
-    return reader.option("maxFilesPerTrigger", files_per_batch).csv(folder)
+    return reader.option("maxFilesPerTrigger", files_per_batch).csv(folder).fillna("", PAIR_TEXT_COLUMNS)
 
 
 def append_pixels(
