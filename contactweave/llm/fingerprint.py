@@ -160,7 +160,8 @@ def fingerprints(docs: DataFrame, mask: bytes, blocks: int | None = None) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = blocks or 8 * n_parts
-    edges = sorted({int(x) for x in rows.approxQuantile("doc_id", [k / blocks for k in range(1, blocks)], 0.2 / blocks)})
+    shares = [k / blocks for k in range(1, blocks)]
+    edges = sorted({int(x) for x in rows.approxQuantile("doc_id", shares, 0.2 / blocks)}) if shares else []
     # block of a row: number of edges at or below its id; nulls stand in block -1
     numbered = rows.withColumn("block", _block_of(edges))
     firsts = (

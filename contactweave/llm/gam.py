@@ -23,7 +23,7 @@ from contactweave.plans.lookups import fits_broadcast
 
 LABELLED = 20_000  # most labelled rows the model is fitted on
 THRESHOLD = 0.7
-BINS, PAIR_BINS, PAIRS = 32, 8, 8
+BINS, PAIR_BINS, PAIRS = 32, 16, 8
 ROUNDS, PAIR_ROUNDS, RATE = 200, 80, 0.15
 FEATURES = (
     "words", "mean_word", "variety", "commonest", "same_as_last", "same_pair", "capitals", "digits", "symbols",

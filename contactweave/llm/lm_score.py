@@ -170,7 +170,7 @@ def scores(docs: DataFrame, held_out_remainder: int = 2, modulus: int = 7, mu: f
     frequent = counted.filter(F.col("n") * HOT >= n).collect() if n else []  # at most HOT rows
     hot = {r["token"] & (2**64 - 1): r["n"] for r in frequent}
     shards = shards_for(size["bytes"] or 0, TEXT_BYTES_A_SHARD, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kappa, log_all = mu / (n + v + 1), float(np.log10(n + v + 1))
+    kappa, log_all, start = mu / (n + v + 1), float(np.log10(n + v + 1)), float(np.log10(n_train + mu))
     asked = _questions(rows, shards, np.array(sorted(hot), np.uint64))
     answer_type = [("doc_id", pa.int64()), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
 
@@ -189,8 +189,8 @@ def scores(docs: DataFrame, held_out_remainder: int = 2, modulus: int = 7, mu: f
                 count[w == np.uint64(h)] = total
             log_word = np.log10(count + 1)
             score = np.where(seen, value, np.log10(kappa * (count + 1)))
-            # each word but the end is the context of the next token
-            score -= np.where(w == END, 0.0, np.log10(count + mu))
+            # each word is the context of the next token; with each end goes the start of its text
+            score -= np.where(w == END, start, np.log10(count + mu))
             names = names.values
             add = lambda x: np.bincount(local, np.repeat(x, times), minlength=len(names))
             found.append([names, add(np.ones(k)), add(count > 0), add(log_word), add(score)])
@@ -200,7 +200,6 @@ def scores(docs: DataFrame, held_out_remainder: int = 2, modulus: int = 7, mu: f
         return pa.table([pa.concat_arrays(names), *columns], names=[x for x, _ in answer_type])
 
     answers = asked.groupBy("shard").applyInArrow(answer, "doc_id long, tokens long, known long, base double, score double")
-    start = float(np.log10(n_train + mu))
     return (
         answers.groupBy("doc_id")
         .agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")])
@@ -211,6 +210,6 @@ def scores(docs: DataFrame, held_out_remainder: int = 2, modulus: int = 7, mu: f
             F.col("known").alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
             (F.col("base") - F.col("tokens") * F.lit(log_all)).alias("base_score"),
-            (F.col("score") - F.lit(start)).alias("score"),
+            "score",
         )
     )
