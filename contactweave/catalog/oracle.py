@@ -600,9 +600,12 @@ select concat('s', s_suppkey) as name,
   cast(s_suppkey as double) / 4 as xf, substr(s_name, 1, 1) as xa, s_name as ur,
   array_to_string(list_transform(string_split(to_hex(s_suppkey), ''),
     lambda c: cast(strpos('0123456789ABCDEF', upper(c)) - 1 as varchar)), ',') as xh,
-  cast(s_nationkey as bigint) as xi, cast(6 as bigint) as n_tags,
+  cast(s_nationkey as bigint) as xi, cast(8 as bigint) as n_tags,
   concat('H:', lower(to_hex(s_suppkey))) as shown_h,
-  concat('i:', case when s_nationkey % 2 = 0 then s_suppkey + 100 else s_suppkey end) as shown_i
+  concat('i:', case when s_nationkey % 2 = 0 then s_suppkey + 100 else s_suppkey end) as shown_i,
+  concat('f:', s_suppkey // 4, case s_suppkey % 4 when 1 then '.25' when 2 then '.5' when 3 then '.75' else '' end) as shown_f,
+  concat('f:', s_suppkey * 10 + 5, '000000') as shown_large,
+  concat('f:0.', rtrim(lpad(cast(s_suppkey + 1 as varchar), 7, '0'), '0')) as shown_small
 from supplier"""
 
 _CIGAR = (
@@ -667,3 +670,129 @@ ORACLE["seq_codes"] = _with(
     "select name, case when seq is not null then array_to_string(list_transform(string_split(seq, ''),"
     " lambda c: cast(strpos('=ACMGRSVTWYHKDBN', c) - 1 as varchar)), ',') end as codes from segments",
 )
+ORACLE["seq_base_at"] = _with(["segments"], [], "select name, substr(seq, 3, 1) as base from segments")
+ORACLE["cigar_long_pairs"] = """
+with cig as (select concat('s', s_suppkey) as name, cast(3 + s_suppkey % 4 as bigint) as m from supplier where s_suppkey % 5 = 0),
+units as (select *, unnest(range(200)) as u from cig),
+matched as (
+  select name, u * (m + 1) + k as q, u * (m + 2) + k as r from (select *, unnest(range(m)) as k from units) x
+  union all select name, 200 * (m + 1) + k, 200 * (m + 2) + 100000 + k from (select *, unnest(range(5)) as k from cig) x
+), inserted as (select name, u * (m + 1) + m as q from units)
+select name, cast(200 * (m + 3) + 100005 as bigint) as bases,
+  (select cast(count(*) as bigint) from matched x where x.name = cig.name) as matches,
+  cast((select sum(q) from matched x where x.name = cig.name) + (select sum(q) from inserted x where x.name = cig.name) as bigint) as query_sum,
+  (select cast(sum(r) as bigint) from matched x where x.name = cig.name) as ref_sum,
+  cast(200 * (m + 2) + 100004 as bigint) as last_ref
+from cig"""
+
+_PLAIN = "read_name, tig1, pos1, tig2, pos2, strand1, strand2"
+ORACLE["pairs_file_roundtrip"] = _with(["alignments"], _EMIT, f"select {_PLAIN} from emitted")
+ORACLE["pairs_file_sorted"] = ORACLE["pairs_sorted_rank"]
+ORACLE["pairs_file_dedup"] = f"select {_PLAIN} from ({ORACLE['dedup_greedy']}) x"
+ORACLE["lengths_file"] = ORACLE["contig_order"]
+ORACLE["alignments_from_flags"] = _with(
+    ["alignments"],
+    [],
+    "select ord, cast(case when mate = 1 then 64 else 128 end + case when is_mapped then 0 else 4 end + case when is_reverse"
+    " then 16 else 0 end + case when is_secondary then 256 else 0 end + case when is_supplementary then 2048 else 0 end as integer)"
+    " as flag, cast(mate as integer) as mate, is_mapped, is_reverse, is_secondary, is_supplementary from alignments",
+)
+# One chain for each line number: a place stays if it is over 3 from the last one kept.
+ORACLE["dedup_greedy_dense"] = """
+with recursive place as materialized (
+  select t, p, row_number() over (partition by t order by p) as k
+  from (select distinct l_linenumber as t, cast(l_partkey as bigint) as p from lineitem) x
+), scan as (
+  select t, k, p as kept, p from place where k = 1
+  union all
+  select n.t, n.k, case when n.p - s.kept > 3 then n.p else s.kept end, n.p from scan s join place n on n.t = s.t and n.k = s.k + 1
+)
+select concat('d', t) as tig1, p as pos1, p + 5 as pos2 from scan where kept = p"""
+ORACLE["pairs_unplaced"] = _with(
+    ["pairs"],
+    [],
+    "select read_name, case when a.ord % 10 = 3 or b.ord % 10 = 3 then 'unknown' else 'empty' end as reason from pairs"
+    " join contigs a on a.tig_name = tig1 join contigs b on b.tig_name = tig2 where a.ord % 10 in (3, 7) or b.ord % 10 in (3, 7)",
+)
+ORACLE["rect_dense"] = _matrix_sql(
+    f"select x.bin_id as i, y.bin_id as j, coalesce(round(count * {_W} * {_W}, 14), 0.0) as value from bins{RES} x"
+    f" cross join bins{RES} y cross join nb{RES} left join sym on i = x.bin_id and j = y.bin_id"
+    " where x.bin_id >= n//8 and x.bin_id < n//4 and y.bin_id >= n//6 and y.bin_id < n//3",
+    [_SYM],
+)
+ORACLE["gfa_text_segments"] = _with(["segments"], [], "select name, seq, ln from segments")
+ORACLE["gfa_text_links"] = _with(["links"], [], "select from_name, from_strand, to_name, to_strand, cigar from links")
+ORACLE["gfa_header"] = "select concat('2.', count(*)) as version from supplier"
+ORACLE["gfa_bfs_jump"] = _with(
+    ["links", "segments"],
+    [
+        _EDGES,
+        _NODES,
+        (
+            "hops",
+            "select distinct src, dst from edges union all"
+            " select node, concat(substr(node, 1, length(node) - 1), translate(right(node, 1), '+-', '-+')) from ("
+            f"select distinct dst as node from edges union select '{SOURCE_NODE}') e where node not in (select src from edges)",
+        ),
+        (
+            "walk(node, d)",
+            f"select '{SOURCE_NODE}', cast(0 as bigint) union"
+            " select dst, d + 1 from walk join hops on src = node where d < (select count(*) from nodes)",
+        ),
+    ],
+    "select node, min(d) as distance from walk group by node",
+    recursive=True,
+)
+_LEVEL = (
+    "select cast({0} as bigint) as res, (select n from nb{0}) as n_bins, cast(count(*) as bigint) as n_pixels,"
+    " cast(sum(count) as bigint) as total from px{0}"
+)
+ORACLE["built_matrix_levels"] = _matrix_sql(
+    f"{_LEVEL.format(RES)} union all {_LEVEL.format(20_000)}", _matrix(20_000)
+)
+ORACLE["reopened_weights"] = _with(
+    ["tigs"], _bins(RES), f'select bin_id, "start", "end", 1.0::double / {RES} as weight from bins{RES}'
+)
+ORACLE["stored_trans_max"] = _matrix_sql(
+    f"select bin_id, coalesce(round(best, 14), 0.0) as max_val from best{RES}", _trans(RES)
+)
+ORACLE["neighbors_of_one_contig"] = (
+    f"select * from ({ORACLE['neighbor_names_multires']}) x where tig_name ="
+    f" (select tig_name from ({ORACLE['contig_order']}) y order by tig_id desc limit 1)"
+)
+ORACLE["pairs_unique_only"] = ORACLE["pairs_uu"]
+ORACLE["pairs_simple_only"] = _with(["alignments"], _EMIT, "select * from emitted where shape in ('UU', 'UD')")
+ORACLE["pairs_adjacent"] = ORACLE["pairs_all"]
+ORACLE["pairs_mapq_30"] = ORACLE["pairs_all"].replace("x.mapq >= 10 and y.mapq >= 10", "x.mapq >= 30 and y.mapq >= 30")
+
+_REAL = [
+    *_masks(MASK_RES),
+    *_correction(MASK_RES, 5),
+    ("real", "select bin_id, case when b = 0 then null else b / sqrt(mean) end as w from bias5 cross join mean5"),
+]
+ORACLE["balanced_pixels_icgw"] = _matrix_sql(
+    f"select bin1_id, bin2_id, round(count * x.w * y.w, 5) as value from px{MASK_RES}"
+    " join real x on x.bin_id = bin1_id join real y on y.bin_id = bin2_id",
+    _REAL,
+    MASK_RES,
+)
+_SYM_REAL = (
+    "sides",
+    f"select bin1_id as i, bin2_id as j, count from px{MASK_RES} union all"
+    f" select bin2_id, bin1_id, count from px{MASK_RES} where bin1_id <> bin2_id",
+)
+ORACLE["rect_icgw"] = _matrix_sql(
+    f"select i, j, round(count * x.w * y.w, 5) as value from sides cross join nb{MASK_RES}"
+    " join real x on x.bin_id = i join real y on y.bin_id = j where i >= n//8 and i < n//2 and j >= n//4 and j < n*6//8",
+    [*_REAL, _SYM_REAL],
+    MASK_RES,
+)
+ORACLE["trans_max_icgw"] = _matrix_sql(
+    f"select b.bin_id, round(max(case when p.tig_id <> q.tig_id and tp.length >= 100000 and tq.length >= 100000"
+    f" then count * x.w * y.w end), 5) as max_val from bins{MASK_RES} b left join sides on i = b.bin_id"
+    f" left join bins{MASK_RES} p on p.bin_id = i left join bins{MASK_RES} q on q.bin_id = j"
+    " left join tigs tp on tp.tig_id = p.tig_id left join tigs tq on tq.tig_id = q.tig_id"
+    " left join real x on x.bin_id = i left join real y on y.bin_id = j group by b.bin_id",
+    [*_REAL, _SYM_REAL],
+    MASK_RES,
+)

@@ -17,8 +17,11 @@ from ..operators import (
     region as rg,
     scaffold as sc,
 )
-from ..plans.storage import materialize
+from ..plans.storage import materialize, new_scratch_path
 from ..plans.zoom_order import checked_zoom_plan
+from ..sources.gfa import Gfa
+from ..sources.pairs import read_lengths, read_pairs, write_pairs
+from ..sources.sam import flag_columns
 from ..sources.sample_tables import SampleTables, sample_tables
 
 RES = 10_000
@@ -412,7 +415,7 @@ def tag_parse(d):
         " concat('XA:A:', substr(s_name, 1, 1)), concat('UR:Z:', s_name),"
         " concat('XH:H:', hex(s_suppkey)), concat('XI:i:v', s_nationkey, 'b'),"
         " case when s_nationkey % 2 = 0 then concat('LN:i:', s_suppkey + 100) else '1N:i:5' end,"
-        " 'XX:q:1', 'XY:i:none') as fields",
+        " 'XX:q:1', 'XY:i:none', concat('XG:f:', s_suppkey, '5e6'), concat('XS:f:', s_suppkey + 1, 'e-7')) as fields",
     )
     parsed = lines.select("name", tg.parse_tags(F.col("fields")).alias("tags"))
     tag = lambda name: F.try_element_at("tags", F.lit(name))
@@ -427,6 +430,9 @@ def tag_parse(d):
         F.size("tags").cast("bigint").alias("n_tags"),
         tg.show_tag(tag("XH")).alias("shown_h"),
         tg.show_tag(tag("LN")).alias("shown_i"),
+        tg.show_tag(tag("XF")).alias("shown_f"),
+        tg.show_tag(tag("XG")).alias("shown_large"),
+        tg.show_tag(tag("XS")).alias("shown_small"),
     )
 
 
@@ -507,3 +513,220 @@ def seq_subseq(d):
 def seq_codes(d):
     codes = sq.to_codes(F.col("seq")).cast("array<string>")
     return d.segments().select("name", F.array_join(codes, ",").alias("codes"))
+
+
+@query
+def seq_base_at(d):
+    return d.segments().select("name", sq.base_at(F.col("seq"), 2).alias("base"))
+
+
+@query
+def cigar_long_pairs(d):
+    """Aligned bases of overlaps with hundreds of operations and a long skip, summed up by overlap."""
+    text = "concat(repeat(concat(3 + s_suppkey % 4, 'M1I2D'), 200), '100000N5M')"
+    rows = d.table("supplier").where("s_suppkey % 5 = 0").selectExpr("concat('s', s_suppkey) as name", f"{text} as text")
+    pairs = cg.aligned_pairs(rows.select("name", cg.parse_cigar("text").alias("ops")), "ops")
+    both = F.col("query_pos").isNotNull() & F.col("ref_pos").isNotNull()
+    return pairs.groupBy("name").agg(
+        F.count(F.lit(1)).alias("bases"),
+        F.count(F.when(both, 1)).alias("matches"),
+        F.sum("query_pos").alias("query_sum"),
+        F.sum(F.when(both, F.col("ref_pos"))).alias("ref_sum"),
+        F.max("ref_pos").alias("last_ref"),
+    )
+
+
+# Files
+
+
+def _written(d, pairs: DataFrame) -> str:
+    path = new_scratch_path(d.spark, "pairs-file")
+    write_pairs(pairs, path)
+    return path
+
+
+@query
+def pairs_file_roundtrip(d):
+    """Converted pairs, placeholder rows included, written and read again."""
+    return read_pairs(d.spark, _written(d, _emitted(d, "UU", "UD", "DD")))
+
+
+@query
+def pairs_file_sorted(d):
+    """Places of the pairs of a file of several parts in sorted order, ties by file order."""
+    read = read_pairs(d.spark, _written(d, d.pairs(named=True).orderBy("ord")), ordered=True)
+    return dd.rank_pairs(read, d.n_lines).select("read_name", "sort_rank")
+
+
+@query
+def pairs_file_dedup(d):
+    """Write, sort, write, read and remove duplicates."""
+    first = read_pairs(d.spark, _written(d, d.pairs(named=True).orderBy("ord")), ordered=True)
+    second = read_pairs(d.spark, _written(d, dd.sort_pairs(first)), ordered=True)
+    return dd.dedup_pairs(second, 3).drop("ord")
+
+
+@query
+def lengths_file(d):
+    path = new_scratch_path(d.spark, "lengths-file")
+    d.lengths().orderBy("ord").select(F.concat_ws("\t", "tig_name", "length").alias("value")).write.text(path)
+    return gn.Genome.from_lengths(read_lengths(d.spark, path)).contigs
+
+
+@query
+def alignments_from_flags(d):
+    bits = (
+        "case when mate = 1 then 64 else 128 end + case when is_mapped then 0 else 4 end + case when is_reverse then 16 else 0 end"
+        " + case when is_secondary then 256 else 0 end + case when is_supplementary then 2048 else 0 end"
+    )
+    flagged = d.alignments().selectExpr("ord", f"cast({bits} as int) as flag")
+    return flagged.select("ord", "flag", *flag_columns())
+
+
+@query
+def dedup_greedy_dense(d):
+    """Long chains: places one base apart, so every decision hangs on the one before."""
+    lines = d._ranked.selectExpr(
+        "concat('r', ord) as read_name", "concat('d', l_linenumber) as tig1", "l_partkey as pos1",
+        "concat('d', l_linenumber) as tig2", "l_partkey + 5 as pos2", "'+' as strand1", "'+' as strand2", "ord",
+    )
+    return dd.dedup_pairs(lines, 3).select("tig1", "pos1", "pos2")
+
+
+@query
+def pairs_unplaced(d):
+    """Pairs on contigs that are unknown, or known with no length."""
+    lengths = d.lengths().where("ord % 10 != 3").withColumn("length", F.expr("if(ord % 10 = 7, 0, length)"))
+    return ct.unplaced_pairs(d.pairs(named=True), gn.Genome.from_lengths(lengths)).select("read_name", "reason")
+
+
+@query
+def rect_dense(d):
+    m = d.matrix(RES)
+    n = m.n_bins(RES)
+    return m.dense_rectangle(RES, n // 8, n // 4, n // 6, n // 3).withColumn("value", F.round("value", 14))
+
+
+def _gfa(d) -> Gfa:
+    """Segments, links and two headers as text, read back."""
+    heads = d.table("supplier").selectExpr("count(*) as n").selectExpr(
+        "explode(array(concat('H\tVN:Z:1.', n), concat('H\tVN:Z:2.', n))) as value", "0 as k"
+    )
+    heads = heads.withColumn("k", F.expr("if(value like '%:1.%', 0, 4)"))
+    body = d.segments().selectExpr("concat_ws('\t', 'S', name, coalesce(seq, '*'), concat('LN:i:', ln)) as value", "1 as k")
+    links = d.links().selectExpr("concat_ws('\t', 'L', from_name, from_strand, to_name, to_strand, cigar) as value", "2 as k")
+    note = d.table("supplier").selectExpr("concat('# ', s_suppkey) as value", "3 as k")
+    path = new_scratch_path(d.spark, "gfa-file")
+    lines = heads.unionByName(body).unionByName(links).unionByName(note)
+    lines.orderBy("k", "value").select("value").write.text(path)
+    return Gfa.read(d.spark, path)
+
+
+@query
+def gfa_text_segments(d):
+    return _gfa(d).segments.select("name", "seq", tg.int_tag(F.col("tags"), "LN").alias("ln"))
+
+
+@query
+def gfa_text_links(d):
+    return _gfa(d).links.select("from_name", "from_strand", "to_name", "to_strand", "cigar")
+
+
+@query
+def gfa_header(d):
+    return _gfa(d).header.select(tg.text_tag(F.col("tags"), "VN").alias("version"))
+
+
+@query
+def gfa_bfs_jump(d):
+    return gr.bfs_distances(gr.edges(d.links(), d.segments()), SOURCE_NODE, jump_complement_at_sink=True)
+
+
+# Stored matrices and settings
+
+
+@query
+def built_matrix_levels(d):
+    """Size and total of every level of a matrix built from pairs and opened again."""
+    m = d.reopened()
+    parts = [
+        m.pixels(r).agg(F.sum("count").alias("total")).select(
+            F.lit(r).cast("bigint").alias("res"), F.lit(m.n_bins(r)).cast("bigint").alias("n_bins"),
+            F.lit(m.n_pixels(r)).cast("bigint").alias("n_pixels"), "total",
+        )
+        for r in m.resolutions()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def reopened_weights(d):
+    return d.reopened().bins(RES, with_values=True).select("bin_id", "start", "end", "weight")
+
+
+@query
+def stored_trans_max(d):
+    return d.reopened().best_trans_weights(RES).withColumn("max_val", F.round("max_val", 14))
+
+
+@query
+def neighbors_of_one_contig(d):
+    name = d.genome.contigs.orderBy(F.desc("tig_id")).first()["tig_name"]
+    return d.reopened().neighbor_names(name)
+
+
+def _with_settings(d, **settings):
+    routed = cv.route_reads(d.alignments(), **settings)
+    return cv.emitted_pairs(routed, d.references(), d.n_suppliers)
+
+
+@query
+def pairs_unique_only(d):
+    return _with_settings(d, strategy="unique")
+
+
+@query
+def pairs_simple_only(d):
+    return _with_settings(d, strategy="simple")
+
+
+@query
+def pairs_adjacent(d):
+    return _with_settings(d, adjacent=True, n_rows=d.n_lines)
+
+
+@query
+def pairs_mapq_30(d):
+    return _with_settings(d, min_mapq=30)
+
+
+# Real weights
+
+
+def _icgw(d):
+    m = d.matrix(MASK_RES)
+    weights = bal.iterative_weights(m.pixels(MASK_RES), d.genome, MASK_RES, n_iters=5)
+    return m, materialize(weights, "icgw")
+
+
+@query
+def balanced_pixels_icgw(d):
+    m, weights = _icgw(d)
+    value = ct.balanced_pixels(m.pixels(MASK_RES), weights, m.n_bins(MASK_RES))
+    return value.withColumn("value", F.round(_null_nan("value"), 5))
+
+
+@query
+def rect_icgw(d):
+    m, weights = _icgw(d)
+    n = m.n_bins(MASK_RES)
+    cells = rg.balanced_rectangle(m.pixels(MASK_RES), weights, n, n // 8, n // 2, n // 4, n * 6 // 8)
+    return cells.withColumn("value", F.round(_null_nan("value"), 5))
+
+
+@query
+def trans_max_icgw(d):
+    m, weights = _icgw(d)
+    facts = sc.bin_facts(m.bins(MASK_RES), m.genome, weights)
+    best = sc.trans_max(m.pixels(MASK_RES), facts, m.n_bins(MASK_RES))
+    return best.select("bin_id", F.round(_null_nan("max_val"), 5).alias("max_val"))

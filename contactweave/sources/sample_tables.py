@@ -144,6 +144,16 @@ class SampleTables:
     def _matrix(self) -> Matrix:
         return Matrix.create(self.spark, new_scratch_path(self.spark, "matrix"), self.genome)
 
+    def reopened(self) -> Matrix:
+        """A matrix built from the pairs at two resolutions, with trans maxima, opened from its folder."""
+        return Matrix.open(self.spark, self._built)
+
+    @cached_property
+    def _built(self) -> str:
+        path = new_scratch_path(self.spark, "built")
+        Matrix.build(self.spark, path, self.pairs(), self.lengths(), [10_000, 20_000], "LEN").update_trans_max()
+        return path
+
     def segments(self) -> DataFrame:
         return self.table("supplier").selectExpr(
             "concat('s', s_suppkey) as name",
