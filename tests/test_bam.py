@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 
+from contactweave.operators.convert import emitted_pairs, route_reads
 from contactweave.sources.bam import read_bam
 
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -107,3 +108,42 @@ def test_record_longer_than_many_splits(spark, tmp_path):
     write_bam(path, [("a", 10)], records, block=60_000)
     got = read_bam(spark, path, 50_000)[0].orderBy("ord").collect()
     assert [r["qname"] for r in got] == ["a", "long", "b"]
+
+
+def folder(tmp_path, first, second, n=100):
+    """Two files of n read pairs each, on the contigs of their own header."""
+    for k, refs in enumerate((first, second)):
+        records = []
+        for i in range(n):
+            for flag in (0x40, 0x80):
+                records.append(record(f"q{k}_{i}", flag, i % len(refs), 100 + i, 30, [(50, "M")], 50))
+        write_bam(str(tmp_path / f"part{k}.bam"), refs, records)
+    return str(tmp_path)
+
+
+TWO = [("a", 1000), ("b", 2000)]
+
+
+@pytest.mark.parametrize("second", [TWO, TWO[::-1], TWO[1:]])
+@pytest.mark.parametrize("adjacent", [False, True])
+def test_a_folder_of_files(spark, tmp_path, second, adjacent):
+    alignments, references = read_bam(spark, folder(tmp_path, TWO, second), 2_000)
+    names = {r.ref_id: r.ref_name for r in references.collect()}
+    assert names == {0: "a", 1: "b"}
+    got = alignments.orderBy("ord").collect()
+    assert len({r.ord for r in got}) == len(got) == 400
+    want = [f"q{k}_{i}" for k in (0, 1) for i in range(100) for _ in (0, 1)]
+    assert [r.qname for r in got] == want
+    for r in got:
+        k, i = map(int, r.qname[1:].split("_"))
+        own = (TWO, second)[k]
+        assert names[r.ref_id] == own[i % len(own)][0]
+    routed = route_reads(alignments, adjacent=adjacent, n_rows=400)
+    pairs = emitted_pairs(routed, references.select("ref_id", "ref_name"), 2).collect()
+    assert len(pairs) == 200 and all(p.tig1 == p.tig2 for p in pairs)
+
+
+@pytest.mark.parametrize("second", [[("a", 1000), ("c", 5)], [("a", 1000), ("b", 2001)]])
+def test_headers_that_disagree_are_an_error(spark, tmp_path, second):
+    with pytest.raises(Exception, match="does not have|long in"):
+        read_bam(spark, folder(tmp_path, TWO, second))[0].collect()

@@ -104,3 +104,24 @@ def test_sort(spark):
 def test_any_small_input(spark, places):
     rows = [(f"r{i}", "A", a, "A", b, s, "+") for i, (a, b, s) in enumerate(places)]
     assert names(dd.dedup_pairs(df_of(spark, rows), 2)) == scan(rows, 2, True)
+
+
+def test_a_long_chain_takes_a_few_rounds(spark, monkeypatch):
+    rounds = []
+    replace = dd.AlternatingTable.replace
+    monkeypatch.setattr(dd.AlternatingTable, "replace", lambda self, df: rounds.append(1) or replace(self, df))
+    rows = [(f"r{i}", "a", i, "b", i, "+", "+") for i in range(400)]
+    assert names(dd.dedup_pairs(df_of(spark, rows), 3)) == scan(rows, 3, True)
+    assert len(rounds) <= 12
+
+
+def test_chains_cross_ranges(spark):
+    rng = random.Random(3)
+    rows = [(f"r{i}", rng.choice("ab"), rng.randint(0, 300), "c", rng.randint(0, 12), rng.choice("+-"), "+") for i in range(900)]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in (1, 3, 7):
+            assert names(dd.dedup_pairs(df_of(spark, rows), n)) == scan(rows, n, True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)

@@ -7,7 +7,7 @@ import pytest
 from test_bam import record, write_bam
 
 from contactweave import cli
-from contactweave.operators.contacts import contact_pixels
+from contactweave.operators.contacts import contact_pixels, unplaced_pairs
 from contactweave.operators.genome import Genome
 from contactweave.operators.matrix import Matrix
 from contactweave.sources.pairs import read_lengths, read_pairs
@@ -143,3 +143,45 @@ def test_stream_equals_batch(spark, inputs, tmp_path):
     got = sorted(map(tuple, total_pixels(spark, out).collect()))
     want = contact_pixels(read_pairs(spark, str(folder)), genome, 10_000)
     assert got == sorted(map(tuple, want.collect()))
+
+
+def test_rows_are_numbered_once_over_small_splits(spark, tmp_path):
+    for part in (1, 2):
+        (tmp_path / f"p{part}").write_text("".join(f"r{part}_{i}\tA\t{i}\tB\t{i}\t+\t-\n" for i in range(40_000)))
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "256k")
+    try:
+        rows = read_pairs(spark, str(tmp_path), ordered=True)
+        assert rows.rdd.getNumPartitions() > 3
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+        got = rows.orderBy("ord").select("read_name", "ord").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [r.read_name for r in got] == [f"r{p}_{i}" for p in (1, 2) for i in range(40_000)]
+    assert len({r.ord for r in got}) == 80_000
+
+
+def test_convert_sort_dedup_build_is_one_path(spark, tmp_path):
+    """Placeholder rows of unmapped ends come through every step, and build reports what it leaves out."""
+    rows = reads() + [(f"u{i}", 0x41, 0, 500 + i, 30) for i in range(5)] + [(f"u{i}", 0x81, -1, -1, 30) for i in range(5)]
+    rows.sort(key=lambda r: r[0])
+    cigar = [(90, "M")]
+    write_bam(str(tmp_path / "x.bam"), TIGS, [record(n, f, r, p, q, cigar, 90) for n, f, r, p, q in rows])
+    (tmp_path / "len.tsv").write_text("A\t300000\nB\t0\n")
+    run = lambda *args: cli.main([str(a) for a in args], spark)
+    run("convert", "-b", tmp_path / "x.bam", "-p", tmp_path / "pairs", "-s", tmp_path / "stats")
+    made = lines(tmp_path / "pairs")
+    assert any(l.startswith("\t\t-1\t") for l in made)
+    run("sort", "-p", tmp_path / "pairs", "-o", tmp_path / "sorted")
+    assert sorted(lines(tmp_path / "sorted")) == sorted(made)
+    run("dedup", "-p", tmp_path / "sorted", "-o", tmp_path / "unique")
+    kept = read_pairs(spark, str(tmp_path / "unique"))
+    assert kept.where("read_name = ''").count() == 1
+    run("build", "-p", tmp_path / "unique", "-l", tmp_path / "len.tsv", "-r", "10000", "-m", tmp_path / "m")
+    matrix = Matrix.open(spark, str(tmp_path / "m"))
+    left_out = {r.reason: r["count"] for r in unplaced_pairs(kept, matrix.genome).groupBy("reason").count().collect()}
+    assert set(left_out) == {"unknown", "empty"}
+    assert matrix.pixels(10_000).groupBy().sum("count").first()[0] + sum(left_out.values()) == kept.count()

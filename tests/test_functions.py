@@ -101,3 +101,22 @@ def test_bad_sequences(spark):
     for bad in (sq.normalize(F.col("s")), sq.subseq(F.lit("ACG"), 1, 4), sq.subseq(F.lit("ACG"), 2, 1), sq.base_at(F.lit("A"), 1)):
         with pytest.raises(Exception, match="not expected|out of range"):
             df.select(bad).collect()
+
+
+def test_base_at(spark):
+    df = spark.createDataFrame([("ACg",), (None,)], "s string")
+    assert [r[0] for r in df.select(sq.base_at(F.col("s"), 2)).collect()] == ["G", None]
+    for index in (3, -1):
+        with pytest.raises(Exception, match="out of range"):
+            df.select(sq.base_at(F.col("s"), index)).collect()
+    odd = spark.createDataFrame([("A!",)], "s string")
+    assert odd.select(sq.base_at(F.col("s"), 0)).first()[0] == "A"
+
+
+def test_a_long_skip_is_spread_out(spark):
+    df = spark.createDataFrame([("r", "2M200000N3M1D")], "name string, text string")
+    df = df.select("name", cg.parse_cigar("text").alias("ops"))
+    pairs = cg.aligned_pairs(df, "ops")
+    assert pairs.count() == 200_006
+    both = pairs.where("query_pos is not null and ref_pos is not null").select("query_pos", "ref_pos").collect()
+    assert sorted(map(tuple, both)) == [(0, 0), (1, 1), (2, 200_002), (3, 200_003), (4, 200_004)]

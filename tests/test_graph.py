@@ -133,3 +133,33 @@ def test_tags(spark):
     ).first()
     assert tuple(shown) == ("i:7", "H:1f", "f:2")
     assert parse(spark).first()["t"] == {}
+
+
+def test_a_long_chain_takes_a_few_rounds(spark):
+    """Ten thousand nodes in a row, a branching, a cycle on the way and one that nothing leads to."""
+    rows = [(f"n{i}+", f"n{i + 1}+") for i in range(10_000)]
+    rows += [("n5000+", "x0+"), ("x0+", "x1+"), ("x1+", "n4990+"), ("n20+", "n9000+"), ("y0+", "y1+"), ("y1+", "y0+")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    got = {r.node: r.distance for r in gr.bfs_distances(edges, "n0+").collect()}
+    steps, want, queue = {}, {"n0+": 0}, deque(["n0+"])
+    for a, b in rows:
+        steps.setdefault(a, []).append(b)
+    while queue:
+        at = queue.popleft()
+        for b in steps.get(at, ()):
+            if b not in want:
+                want[b] = want[at] + 1
+                queue.append(b)
+    assert got == want
+    again = {r.node: r.distance for r in gr.bfs_distances(edges, "x0+", include_source=False).collect()}
+    assert again["x0+"] == 13 and "y0+" not in again
+
+
+def test_floats_are_shown_as_plain_decimals(spark):
+    values = ["1e7", "0.0001", "12345678.5", "-2.5e-3", "3", "-1.5e12", "1.25e-10", "0", "123456789012", "1e22"]
+    df = spark.createDataFrame([(f"XF:f:{v}",) for v in values], "f string")
+    shown = [r[0] for r in df.select(tg.show_tag(tg.tag_value(F.col("f")))).collect()]
+    assert shown == [
+        "f:10000000", "f:0.0001", "f:12345678.5", "f:-0.0025", "f:3", "f:-1500000000000", "f:0.000000000125", "f:0",
+        "f:123456789012", "f:10000000000000000000000",
+    ]

@@ -116,3 +116,24 @@ def test_alternating_table_reads_while_it_writes(spark):
     for _ in range(4):
         df = table.replace(df.select((F.col("x") + 1).alias("x")))
     assert sorted(r.x for r in df.collect()) == [4, 5, 6, 7, 8]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_heavy_keys_are_split_by_their_count(spark, monkeypatch, how):
+    monkeypatch.setattr(lookups, "HEAVY_ROWS", 20)
+    facts = spark.createDataFrame([(0 if i % 3 else i % 7, i % 50) for i in range(600)], "k bigint, v bigint")
+    dim = spark.createDataFrame([(0, "a"), (2, "b"), (5, "c")], "k bigint, name string")
+    plain = facts.join(dim, "k", how).collect()
+    large = lookups.lookup(facts, dim, {"k": "k"}, 1 << 40, how)
+    assert not {"_salt", "_parts", "_dim_salt"} & set(large.columns)
+    assert sorted(map(tuple, large.collect()), key=str) == sorted(map(tuple, plain), key=str)
+
+
+def test_small_and_large_ranks_agree_and_stay(spark):
+    df = spark.createDataFrame([(i % 4, i) for i in range(200)], "a bigint, b bigint").repartition(5)
+    small = ordering.global_rank(df, ["a"], "r", n_rows=200, copies=True)
+    assert sorted(small.collect()) == sorted(small.collect())
+    want = ordering.global_rank(df, ["a", "b"], "r")
+    assert sorted(map(tuple, ordering.global_rank(df, ["a", "b"], "r", 200).collect())) == sorted(map(tuple, want.collect()))
+    for n_rows in (None, 0):
+        assert ordering.exact_median(spark.createDataFrame([], "x double"), "x", None, "m", n_rows).collect() == [(None,)]
