@@ -210,10 +210,17 @@ class Matrix:
     def _facts(self, res: int, cutoff: int) -> DataFrame:
         return sc.bin_facts(self.bins(res), self.genome, self.weights(res), cutoff)
 
-    def best_neighbors(self, res: int, cutoff: int = sc.LENGTH_CUTOFF) -> DataFrame:
-        """Best neighbour of every contig end; needs stored trans maxima."""
+    def _end_bins(self, res: int, name: str) -> list[int]:
+        """First and last bin of the contigs of this name."""
+        known = self.contigs().where(F.col("tig_name") == name).select("tig_id")
+        row = self.tig_index(res).join(known, "tig_id").where("n_bins > 0")
+        return sorted({b for r in row.collect() for b in (r["chrom_offset"], r["chrom_offset"] + r["n_bins"] - 1)})
+
+    def best_neighbors(self, res: int, cutoff: int = sc.LENGTH_CUTOFF, name: str | None = None) -> DataFrame:
+        """Best neighbour of every contig end, or of those of one contig; needs stored trans maxima."""
+        rows = None if name is None else self._end_bins(res, name)
         return sc.best_neighbors(
-            self.pixels(res), self._facts(res, cutoff), self.best_trans_weights(res), self.n_bins(res)
+            self.pixels(res), self._facts(res, cutoff), self.best_trans_weights(res), self.n_bins(res), rows
         )
 
     def neighbor_names(
@@ -221,7 +228,7 @@ class Matrix:
     ) -> DataFrame:
         """Distinct neighbour names over all resolutions, on request of one contig end."""
         found = sc.neighbor_names(
-            [self.best_neighbors(r, cutoff) for r in self.resolutions()], self.genome
+            [self.best_neighbors(r, cutoff, name) for r in self.resolutions()], self.genome
         )
         if name is not None:
             found = found.where(F.col("tig_name") == name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.lookups import lookup, lookup_ends
+from ..plans.storage import materialize
 from .genome import Genome
 from .region import finite
 
@@ -76,23 +77,35 @@ def _trans_cells(pixels: DataFrame, facts: DataFrame, n_bins: int) -> DataFrame:
 
 
 def best_neighbors(
-    pixels: DataFrame, facts: DataFrame, max_vals: DataFrame, n_bins: int
+    pixels: DataFrame, facts: DataFrame, max_vals: DataFrame, n_bins: int, rows: list[int] | None = None
 ) -> DataFrame:
     """Best scaffold neighbour of every contig end: tig_id, end, neighbor_id, score.
 
+    ``rows`` names the bins at the ends of the contigs asked for, all if None;
+    pixels of other rows are then not read for the candidates.
+
     A cell of the row at a contig's first or last bin is a candidate if it is
     the strongest trans contact of both of its bins.  Its score compares it
     with the next strongest contact of the two bins that avoids both contigs;
     scores above one are kept and the best one wins, the first column on ties.
 
-    The next strongest contact needs only each bin's two best partner contigs,
-    which come from one partial-aggregated pass over all trans cells.
+    Candidates are found first.  The next strongest contact needs each bin's
+    two best partner contigs, and those are only taken of bins in candidates.
     """
     best = max_vals.select(F.col("bin_id").alias("_bin"), F.nanvl("max_val", F.lit(0.0)).alias("best"))
     known = facts.join(best, F.col("bin_id") == F.col("_bin")).drop("_bin")
-    cells = _trans_cells(pixels, known, n_bins)
-
-    per_contig = cells.groupBy("i", "tig_j").agg(F.max("w").alias("w"))
+    at_ends = pixels if rows is None else pixels.where(F.col("bin1_id").isin(rows) | F.col("bin2_id").isin(rows))
+    cells = _trans_cells(at_ends, known, n_bins)
+    if rows is not None:
+        cells = cells.where(F.col("i").isin(rows))
+    top = F.greatest("best_i", "best_j")
+    mutual = materialize(
+        cells.where((F.col("is_first") | F.col("is_last")) & (top != 0) & (top - F.col("w") < PRECISION)), "mutual"
+    )
+    touched = materialize(mutual.select(F.explode(F.array("i", "j")).alias("_row")).distinct(), "touched")
+    n_touched = touched.count()
+    held = _trans_cells(pixels, known, n_bins)
+    per_contig = lookup(held, touched, {"i": "_row"}, n_touched, "left_semi").groupBy("i", "tig_j").agg(F.max("w").alias("w"))
     order = Window.partitionBy("i").orderBy(F.desc("w"), "tig_j")
     top_two = (
         per_contig.withColumn("_rn", F.row_number().over(order))
@@ -105,16 +118,12 @@ def best_neighbors(
         )
     )
 
-    top = F.greatest("best_i", "best_j")
-    mutual = cells.where(
-        (F.col("is_first") | F.col("is_last")) & (top != 0) & (top - F.col("w") < PRECISION)
-    )
     scored = mutual
     for side in ("i", "j"):
         renamed = top_two.select(
             F.col("i").alias("_at"), *[F.col(c).alias(f"{c}_{side}") for c in ("t1", "w1", "w2")]
         )
-        scored = lookup(scored, renamed, {side: "_at"}, n_bins)
+        scored = lookup(scored, renamed, {side: "_at"}, n_touched)
     avoid_i = F.when(F.col("t1_i") == F.col("tig_j"), F.col("w2_i")).otherwise(F.col("w1_i"))
     avoid_j = F.when(F.col("t1_j") == F.col("tig_i"), F.col("w2_j")).otherwise(F.col("w1_j"))
     scored = (
