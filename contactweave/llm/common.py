@@ -47,9 +47,10 @@ class Words:
         return np.array([xxhash.xxh3_64_intdigest(w) for w in self.distinct], np.uint64)
 
 
-def factorize(texts: pa.Array) -> Words:
-    """Words of a string array, in compiled code; a null text has none."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+def factorize(texts: pa.Array, lower: bool = False) -> Words:
+    """Words of a string array, in compiled code; a null text has none.  ``lower`` turns A-Z into a-z."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     encoded = split.values.dictionary_encode()
     codes, offsets = encoded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
     distinct = encoded.dictionary.to_pylist()
@@ -72,9 +73,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, text_bytes: int = 8 <<
             at += n
 
 
-LOWER_FROM, LOWER_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """Scrambles 64-bit values, each seed in its own way."""
     with np.errstate(over="ignore"):
