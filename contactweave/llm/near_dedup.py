@@ -6,9 +6,10 @@ hash evaluations.  Values are banded; documents that share a band are
 candidates, and every link is confirmed on the full shingle sets.
 
 No group is compared all against all.  Documents with one shingle sequence
-are folded first.  In every bucket each document is compared with one centre;
-what is linked then forms components, and only documents of different
-components in a bucket are compared in the next round.
+are folded first.  In every bucket each document is compared with one centre,
+the document with the fewest shingles of its own; what is linked then forms
+components.  After that only documents of different components in a bucket
+meet, and of those only pairs whose shared shingles could reach the threshold.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from contactweave.llm.common import LOWER_FROM, LOWER_TO, factorize, mix, slices
+from contactweave.llm.common import factorize, mix, slices
 from contactweave.plans.lookups import fits_broadcast
 from contactweave.plans.storage import materialize
 
 VALUES = 120
 MISS = 2e-6
-_CENTRE_ROUNDS = 3
+_BLOCK_SETS = 64
 
 
 def bands_for(threshold: float, values: int = VALUES, miss: float = MISS) -> tuple[int, int]:
@@ -44,7 +45,7 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[bytes, np.ndarray
     A-Z are lower-cased.  A text of fewer than ``size`` words has its whole
     sequence as one shingle, a text without words has none.
     """
-    found = factorize(texts)
+    found = factorize(texts, lower=True)
     hashes = found.hashes()
     for a, b in zip(found.offsets[:-1], found.offsets[1:]):
         own = hashes[found.codes[a:b]]
@@ -59,22 +60,34 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[bytes, np.ndarray
         yield key, np.unique(joined)
 
 
-def min_max(shingles: np.ndarray, permutations: int) -> np.ndarray:
-    """Least values of all permutations, then greatest."""
-    least, most = np.empty(permutations, np.uint64), np.empty(permutations, np.uint64)
-    with np.errstate(over="ignore"):
+_SEEDS = mix(np.arange(VALUES, dtype=np.uint64), 7)
+_BLOCK = 1 << 17  # shingles whose hashes stay in a core's cache
+
+
+def min_max(sets: list[np.ndarray], permutations: int) -> np.ndarray:
+    """A row for each set, none of them empty: least values of all permutations, then greatest."""
+    out = np.empty((len(sets), 2 * permutations), np.uint64)
+    done = 0
+    while done < len(sets):
+        last, held = done, 0
+        while last < len(sets) and (last == done or held + len(sets[last]) <= _BLOCK):
+            held += len(sets[last])
+            last += 1
+        every = np.concatenate(sets[done:last])
+        starts = np.cumsum([0] + [len(x) for x in sets[done : last - 1]])
+        h = np.empty_like(every)
         for k in range(permutations):
-            seed = int(mix(np.array([k], np.uint64), 7)[0])
-            h = (shingles ^ np.uint64(seed)) * np.uint64(seed * 2 + 1 & (2**64 - 1))
-            h ^= h >> np.uint64(32)
-            least[k], most[k] = h.min(), h.max()
-    return np.concatenate((least, most))
+            # an odd factor permutes the 64-bit values
+            np.bitwise_xor(every, _SEEDS[2 * k], out=h)
+            np.multiply(h, _SEEDS[2 * k + 1] | np.uint64(1), out=h)
+            out[done:last, k] = np.minimum.reduceat(h, starts)
+            out[done:last, permutations + k] = np.maximum.reduceat(h, starts)
+        done = last
+    return out
 
 
-def _lowered(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.col("text").cast("string"), LOWER_FROM, LOWER_TO).alias("text")
-    )
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def signatures(docs: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -83,24 +96,20 @@ def signatures(docs: DataFrame, size: int, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 5_000):
-            keys, counts, banded = [], [], []
-            for key, own in shingle_sets(part.column(1), size):
-                keys.append(key)
-                counts.append(len(own))
-                if not len(own):
-                    banded.append([])
-                    continue
-                values = min_max(own, VALUES // 2)[: rows * bands].reshape(rows, bands)
-                h = np.arange(bands, dtype=np.uint64)
-                for row in values:  # a band takes one value of each block of permutations
-                    h = mix(h ^ row, 3)
-                banded.append(h.view(np.int64))
+            keys, sets = zip(*shingle_sets(part.column(1), size))
+            counts = np.array([len(x) for x in sets])
+            values = min_max([x for x in sets if len(x)], VALUES // 2)[:, : rows * bands].reshape(-1, rows, bands)
+            h = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(values), bands))
+            for k in range(rows):  # a band takes one value of each block of permutations
+                h = mix(h ^ values[:, k], 3)
+            hashed = iter(h.view(np.int64))
+            banded = [next(hashed) if n else [] for n in counts]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(banded, pa.list_(pa.int64()))],
+                [part.column(0), pa.array(list(keys), pa.binary()), pa.array(counts, pa.int64()), pa.array(banded, pa.list_(pa.int64()))],
                 ["doc_id", "key", "n_shingles", "bands"],
             )
 
-    return _lowered(docs).mapInArrow(run, "doc_id long, key binary, n_shingles long, bands array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, key binary, n_shingles long, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -114,32 +123,28 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             ):
                 if key == expected:
                     nodes.append(node)
-                    sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+                    sets.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     side = F.broadcast(wanted) if fits_broadcast(wanted, wanted.count()) else wanted
-    rows = _lowered(docs).join(side, F.col("doc_id") == F.col("node")).select("doc_id", "text", "key")
-    return rows.mapInArrow(run, "node long, shingles binary")
+    rows = _texts(docs).join(side, F.col("doc_id") == F.col("node")).select("doc_id", "text", "key")
+    return rows.mapInArrow(run, "node long, shingles array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) whose sets have 100 * intersection >= percent * union."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(reps.select("node", "key").join(nodes, "node", "left_semi"), "nodes")
-    sets = materialize(_sets_of(docs, wanted, size), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
-                linked = []
-                for x, y in zip(part.column(2), part.column(3)):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = np.concatenate((x, y))
-                    both.sort(kind="stable")
-                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                    linked.append(100 * shared >= percent * (len(both) - shared))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        for part in batches:
+            linked = []
+            x, y = part.column(2), part.column(3)
+            xs, ys = (c.values.to_numpy().view(np.uint64) for c in (x, y))
+            for xa, xb, ya, yb in zip(*(o.tolist() for c in (x, y) for o in (c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:]))):
+                both = np.concatenate((xs[xa:xb], ys[ya:yb]))
+                both.sort(kind="stable")
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                linked.append(100 * shared >= percent * (len(both) - shared))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -147,6 +152,20 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, perce
     return rows.mapInArrow(run, "a long, b long, linked boolean").filter("linked").select("a", "b").distinct()
 
 
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """node and how many of its shingles some other candidate has too.
+
+    Two sets can't share more than the smaller of these numbers, which rules
+    out most pairs of a large group of loose copies without forming them.
+    """
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    private = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other")
+    counts = private.groupBy("node").agg(F.count("*").alias("private"))
+    return sets.select("node", F.size("shingles").alias("n")).distinct().join(counts, "node", "left").select(
+        "node", (F.col("n") - F.coalesce("private", F.lit(0))).alias("most")
+    )
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of all linked nodes; a component is named by its least node.
 
@@ -178,6 +197,66 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _may_link(most, n2, percent: int):
+    """Can a set of n, of which ``most`` could be shared, reach the threshold with one of n2?"""
+    shared = F.least(most, F.col("n"), n2)
+    return 100 * shared >= percent * (F.col("n") + n2 - shared)
+
+
+def _cross_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components that meet in a bucket: a row (a, b) for each document and block it links to.
+
+    Each document of the smaller component is compared with all of the larger
+    one, which comes in blocks, so neither pairs nor whole components are
+    formed.  Components that cannot reach the threshold are passed over.
+    """
+    nodes = materialize(members.select("node", "component", "n", "most").distinct(), "members")
+    comps = nodes.groupBy("component").agg(F.count("*").alias("size"), F.max("most").alias("top"), F.min("n").alias("least"))
+    sized = members.join(comps, "component")
+    inside = sized.select(
+        "band", "hash", F.col("component").alias("other"), F.col("size").alias("size2"), F.col("top").alias("top2"), F.col("least").alias("least2")
+    ).distinct()
+    smaller = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("component") < F.col("other")))
+    asked = (
+        sized.join(inside, ["band", "hash"])
+        .filter(smaller & _may_link(F.least("most", "top2"), F.col("least2"), percent))
+        .select("node", "other")
+        .distinct()
+    )
+    asked = materialize(asked, "asked")
+    held = nodes.join(asked.select(F.col("other").alias("component")).distinct(), "component", "left_semi").join(comps.select("component", "size"), "component")
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / _BLOCK_SETS))
+    blocks = (
+        held.withColumn("block", block)
+        .join(sets.select("node", "shingles"), "node")
+        .groupBy(F.col("component").alias("other"), "block")
+        .agg(F.collect_list(F.struct("node", "shingles")).alias("held"))
+    )
+    kind = "a long, b long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for k in range(batch.num_rows):
+                x = batch.column(1)[k].values.to_numpy().view(np.uint64)
+                block = batch.column(2)[k].values
+                for node, y in zip(block.field("node").to_pylist(), block.field("shingles")):
+                    y = y.values.to_numpy().view(np.uint64)
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                        continue
+                    both = np.concatenate((x, y))
+                    both.sort(kind="stable")
+                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if 100 * shared >= percent * (len(both) - shared):
+                        left.append(batch.column(0)[k].as_py())
+                        right.append(node)
+                        break  # one link joins the components
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    rows = asked.join(sets.select("node", "shingles"), "node").join(blocks, "other").select("node", "shingles", "held")
+    return rows.mapInArrow(run, kind)
+
+
 def _with_component(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     if comps is None:
         return rows.withColumn("component", F.col("node"))
@@ -210,51 +289,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     buckets = reps.select("node", "n", F.posexplode("bands").alias("band", "hash"))
     crowded = buckets.groupBy("band", "hash").agg(F.count("*").alias("members")).filter("members > 1").select("band", "hash")
     members = materialize(buckets.join(crowded, ["band", "hash"]), "buckets")
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    comps: DataFrame | None = None
-    for turn in range(_CENTRE_ROUNDS + 1):
-        placed = _with_component(members, comps)
-        mixed = (
-            placed.groupBy("band", "hash")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .filter("low < high")
-            .select("band", "hash", "low")
-        )
-        # members of buckets that still hold several components
-        rows = materialize(placed.join(mixed, ["band", "hash"]), "open")
-        if rows.isEmpty():
-            break
-        if turn < _CENTRE_ROUNDS:
-            # the centre: a member of the lowest component at first, then of any other one
-            rank = F.col("component") if turn == 0 else F.xxhash64("component", F.lit(turn))
-            centres = (
-                rows.filter("component > low" if turn else "true")
-                .groupBy("band", "hash")
-                .agg(F.min(F.struct(rank.alias("rank"), "node", "n", "component")).alias("c"))
-            )
-            others = centres.select("band", "hash", F.col("c.node").alias("node2"), F.col("c.n").alias("n2"), F.col("c.component").alias("other"))
-            once = F.lit(True)
-        else:
-            others = rows.select("band", "hash", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("other"))
-            once = F.col("node") < F.col("node2")
-        pairs = (
-            rows.join(others, ["band", "hash"])
-            .filter(once & (F.col("component") != F.col("other")))
-            .filter(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-            .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-            .distinct()
-        )
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = materialize(confirm(pairs, docs, reps, size, percent), "links")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            comps = materialize(components(links), "components")
+    wanted = materialize(reps.select("node", "key").join(members.select("node").distinct(), "node", "left_semi"), "nodes")
+    sets = materialize(_sets_of(docs, wanted, size), "sets")
+    # a link needs 100 * shared >= percent * union, and the union is at least n
+    sizes = _shared_sizes(sets).filter(F.col("most") > 0)
+    members = materialize(members.join(sizes, "node").filter(100 * F.col("most") >= percent * F.col("n")), "members")
+    centres = members.groupBy("band", "hash").agg(
+        # the member with the fewest shingles of its own
+        F.min(F.struct((F.col("n") - F.col("most")).alias("own"), "node", "n", "most")).alias("c")
+    )
+    other = [F.col("c.node").alias("node2"), F.col("c.n").alias("n2"), F.col("c.most").alias("most2")]
+    pairs = (
+        members.join(centres.select("band", "hash", *other), ["band", "hash"])
+        .filter((F.col("node") != F.col("node2")) & _may_link(F.least("most", "most2"), F.col("n2"), percent))
+        .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+        .distinct()
+    )
+    links = materialize(confirm(materialize(pairs, "pairs"), sets, percent), "links")
+    comps = materialize(components(links), "components")
+    more = materialize(_cross_links(_with_component(members, comps), sets, percent), "cross-links")
+    if not more.isEmpty():
+        comps = materialize(components(links.unionByName(more)), "components")
     return _result(table, reps, comps)
 
 
