@@ -29,6 +29,7 @@ LEXICON_BITS = 22
 IDF_BAND = (0.25, 0.95)  # of the largest idf, that of a term in one document
 FAMILIES, LEVELS = 12, 6
 LEAST_TERMS = 4
+LEAST_FAMILIES = 4  # a level counts if at least one family in so many has terms there
 _HEX = 4
 
 
@@ -42,12 +43,13 @@ def band_mask(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> bytes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(size, np.int32)
         rows = 0
-        for part in slices(batches, 10_000):
+        for part in slices(batches, 10_000, 4 << 20):
             found = factorize(part.column(1))
             entry = (found.hashes() >> np.uint64(64 - LEXICON_BITS)).astype(np.int64)[found.codes]
             doc = np.repeat(np.arange(part.num_rows), np.diff(found.offsets))
             pairs = np.unique((doc << LEXICON_BITS) | entry)
-            totals += np.bincount(pairs & (size - 1), minlength=size).astype(np.int32)
+            seen, times = np.unique(pairs & (size - 1), return_counts=True)
+            totals[seen] += times.astype(np.int32)
             rows += part.num_rows
         seen = np.flatnonzero(totals)
         for at in range(0, len(seen), 1 << 16):
@@ -77,41 +79,73 @@ def band_mask(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _slot(terms: np.ndarray) -> str:
-    return hashlib.blake2b(terms.tobytes(), digest_size=_HEX // 2).hexdigest() if len(terms) else "-" * _HEX
+_NAMES = np.array([f"{k:0{_HEX}x}" for k in range(1 << 4 * _HEX)])  # all hash values as text
+_EMPTY = "-" * _HEX
 
 
-def signature(terms: np.ndarray) -> str:
-    """Hashes of sorted distinct terms: of all, then of each family's levels.  A slot without terms is dashes."""
-    slots = [_slot(terms)]
-    for family in range(FAMILIES):
-        own, scrambled = terms, mix(terms, family + 1)
-        for level in range(1, LEVELS + 1):
-            keep = scrambled < np.uint64(1 << (64 - 2 * level))
-            own, scrambled = own[keep], scrambled[keep]
-            if not len(own):
-                slots.append("-" * _HEX * (LEVELS + 1 - level))
-                break
-            slots.append(_slot(own))
-    return "".join(slots)
+def _powers(n: int) -> np.ndarray:
+    """1, b, b**2, ... modulo 2**64 for an odd b."""
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate(([1], np.full(max(0, n - 1), 0x9E3779B97F4A7C15, np.uint64))).astype(np.uint64))
+
+
+def _sequence_hashes(terms: np.ndarray, keep: np.ndarray, starts: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Text of a hash of each run's kept terms in their order; a run starts at each of ``starts`` and has a term."""
+    before = np.cumsum(keep) - keep
+    place = before - np.repeat(before[starts], np.diff(np.append(starts, len(terms))))
+    with np.errstate(over="ignore"):
+        values = np.where(keep, mix(terms, 99) * powers[np.where(keep, place, 0)], np.uint64(0))
+        sums = mix(np.add.reduceat(values, starts), 98) >> np.uint64(64 - 4 * _HEX)
+    return np.where(np.add.reduceat(keep.astype(np.int64), starts) > 0, _NAMES[sums.astype(np.int64)], _EMPTY)
+
+
+def signatures(terms: np.ndarray, lengths: np.ndarray) -> list[str]:
+    """Of each run of sorted distinct terms: hashes of all, then of each family's levels.
+
+    A hash without terms is dashes.  ``lengths`` are those of the runs, zero allowed.
+    """
+    slots = np.full((len(lengths), 1 + FAMILIES * LEVELS), _EMPTY)
+    full = np.flatnonzero(lengths)
+    if len(full):
+        starts = np.cumsum(lengths[full]) - lengths[full]
+        powers = _powers(int(lengths.max()))
+        slots[full, 0] = _sequence_hashes(terms, np.ones(len(terms), bool), starts, powers)
+        for family in range(FAMILIES):
+            scrambled = mix(terms, family + 1)
+            own, runs, first = terms, full, starts
+            for level in range(1, LEVELS + 1):
+                # the next level holds a quarter of this one, so the work falls off quickly
+                keep = scrambled < np.uint64(1 << (64 - 2 * level))
+                if not keep.any():
+                    break
+                slots[runs, 1 + family * LEVELS + level - 1] = _sequence_hashes(own, keep, first, powers)
+                counts = np.add.reduceat(keep.astype(np.int64), first)
+                own, scrambled, runs = own[keep], scrambled[keep], runs[counts > 0]
+                counts = counts[counts > 0]
+                first = np.cumsum(counts) - counts
+    return np.ascontiguousarray(slots).view(f"<U{slots.shape[1] * _HEX}")[:, 0].tolist()
 
 
 def likeness(a: str, b: str) -> float:
-    """Best share of equal hashes over the levels at which at least half the families have terms in both.
+    """Best share of equal hashes over the levels at which at least a quarter of the families have terms in both.
 
-    The whole-lexicon hash counts as a level of its own.  Two texts without
-    any term are alike (1.0); one without and one with are not (0.0).
+    Two texts without any term are alike (1.0); one without and one with are
+    not (0.0).
     """
     if a == b:
         return 1.0
     best = 0.0
     for level in range(1, LEVELS + 1):
-        own = [_HEX * (1 + f * LEVELS + level - 1) for f in range(FAMILIES)]
-        pairs = [(a[k : k + _HEX], b[k : k + _HEX]) for k in own]
-        if 2 * sum("-" not in x and "-" not in y for x, y in pairs) < FAMILIES:
+        both = either = equal = 0
+        for at in range(_HEX * level, _HEX * (1 + FAMILIES * LEVELS), _HEX * LEVELS):
+            x, y = a[at : at + _HEX], b[at : at + _HEX]
+            has_x, has_y = x != _EMPTY, y != _EMPTY
+            both += has_x and has_y
+            either += has_x or has_y
+            equal += has_x and x == y
+        if LEAST_FAMILIES * both < FAMILIES:
             break
-        either = sum("-" not in x or "-" not in y for x, y in pairs)
-        best = max(best, sum(x == y and "-" not in x for x, y in pairs) / either)
+        best = max(best, equal / either)
     return best
 
 
@@ -123,14 +157,19 @@ class Fingerprinter:
 
     def of(self, texts: list[str | None]) -> list[str]:
         found = factorize(pa.array(texts, pa.string()))
+        n, doc = len(texts), np.repeat(np.arange(len(texts)), np.diff(found.offsets))
         hashes = found.hashes()
-        kept = self._mask[(hashes >> np.uint64(64 - LEXICON_BITS)).astype(np.int64)]
-        out = []
-        for a, b in zip(found.offsets[:-1], found.offsets[1:]):
-            codes = np.unique(found.codes[a:b])
-            inside = codes[kept[codes]]
-            out.append(signature(np.sort(hashes[inside if len(inside) >= LEAST_TERMS else codes])))
-        return out
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        # (text, rank of the term's hash), sorted and once each
+        width = max(1, len(order))
+        pairs = np.unique(doc * width + rank[found.codes])
+        doc, terms = pairs // width, hashes[order][pairs % width]
+        inside = self._mask[(terms >> np.uint64(64 - LEXICON_BITS)).astype(np.int64)]
+        few = np.bincount(doc, inside, minlength=n) < LEAST_TERMS
+        used = inside | few[doc]
+        return signatures(terms[used], np.bincount(doc[used], minlength=n))
 
 
 def edited(text: str, following: str) -> str:
@@ -198,7 +237,7 @@ def fingerprints(docs: DataFrame, mask: bytes, blocks: int | None = None) -> Dat
         maker = Fingerprinter(mask)
         held: tuple | None = None  # block, doc_id, text, fingerprint: waits for its next document
         closed = None  # block whose tail has been used
-        for part in slices((b.select(["block", "text", "doc_id", "tail"]) for b in batches), 2_000, 4 << 20):
+        for part in slices((b.select(["block", "text", "doc_id", "tail"]) for b in batches), 2_000, 2 << 20):
             block, text, doc, tail = (part.column(k).to_pylist() for k in range(4))
             prints = maker.of(text)
             ready: list[tuple] = []
