@@ -126,6 +126,16 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("texts"), F.sum("n").alias("both"))
         .filter(F.col("texts") >= SUPPORT)
     )
+    # a term is in at least the documents that have it near some mention, which rules out common words early
+    near_any = (
+        mentions.select("doc_id", F.explode("terms").alias("term"))
+        .join(together.select("term").distinct(), "term", "left_semi")
+        .groupBy("term", "doc_id")
+        .agg(F.count("*").alias("n"))
+        .groupBy("term")
+        .agg(F.count("*").alias("least_docs"))
+    )
+    together = together.join(near_any, "term").filter(F.col("both") >= LEAST_CHANCE * F.col("least_docs")).drop("least_docs")
     together = materialize(together, "together")
     names = materialize(together.select("term").distinct(), "terms")
     n_names = names.count()
