@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -71,6 +74,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, text_bytes: int = 8 <<
             n = max(1, int(np.searchsorted(ends, text_bytes, "right")))
             yield batch.slice(at, n)
             at += n
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, since a worker is used again by other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -26,7 +26,7 @@ from contactweave.plans.storage import materialize
 
 CAPACITY = 2048
 END_ID = 0
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 150_000
 _SALTS = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -127,7 +127,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        for part in slices(batches, 10_000):
+        for part in slices(batches, 10_000, 4 << 20):
             out = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                 data += end
@@ -255,7 +255,7 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return len(b) <= len(a) and all(x >= y for x, y in zip(a, b))
 
 
-def complete_bins(counts: dict[int, int], capacity: int, branch: int = 3, max_nodes: int = 20_000) -> list[Run]:
+def complete_bins(counts: dict[int, int], capacity: int, branch: int = 3, max_nodes: int = 2_000) -> list[Run]:
     """Fewest sequences found for pieces given as ``length -> number``.
 
     Depth-first bin completion: take the largest piece left, try its
