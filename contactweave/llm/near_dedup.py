@@ -203,6 +203,14 @@ def _may_link(most, n2, percent: int):
     return 100 * shared >= percent * (F.col("n") + n2 - shared)
 
 
+def _may_link_any(most, least2, percent: int):
+    """Can a set of n, of which ``most`` could be shared, reach the threshold with a set of any size from ``least2`` on?
+
+    The best size is all that could be shared, or the least there is if that is more.
+    """
+    return _may_link(most, F.greatest(F.least(most, F.col("n")), least2), percent)
+
+
 def _cross_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components that meet in a bucket: a row (a, b) for each document and block it links to.
 
@@ -219,7 +227,7 @@ def _cross_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     smaller = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("component") < F.col("other")))
     asked = (
         sized.join(inside, ["band", "hash"])
-        .filter(smaller & _may_link(F.least("most", "top2"), F.col("least2"), percent))
+        .filter(smaller & _may_link_any(F.least("most", "top2"), F.col("least2"), percent))
         .select("node", "other")
         .distinct()
     )

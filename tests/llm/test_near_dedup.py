@@ -52,6 +52,32 @@ def test_equals_brute_force(spark):
         assert got == classes(rows, size, percent)
 
 
+def test_a_small_set_in_a_component_hides_no_link(spark):
+    # cut copies of 85 to 100 shingles, linked one by one, and a document that only the larger ones link to
+    sets = {k: list(range(k)) for k in range(85, 101)} | {200: list(range(116)), 300: list(range(60))}
+    rows = [(0, 7, k, 85 if k < 200 else k, len(s), min(len(s), 100)) for k, s in sets.items()]
+    members = spark.createDataFrame(rows, "band int, hash long, node long, component long, n long, most long")
+    held = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
+    got = near_dedup._cross_links(members, held, 85).collect()
+    assert {x.a for x in got} == {200} and {x.b for x in got} <= {99, 100} and got
+
+
+def test_cut_and_extended_copies_equal_brute_force(spark):
+    r = random.Random(11)
+    texts = []
+    for f in range(8):
+        base = [f"f{f}w{k}" for k in range(r.randint(90, 140))]
+        for k in range(30):
+            cut = base[: len(base) - r.randint(0, 30)]
+            more = [f"x{f}_{k}_{j}" for j in range(r.choice((0, 0, 4, 9, 12, 16, 18, 22)))]
+            texts.append(" ".join((base if r.random() < 0.4 else cut) + more))
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_duplicates(docs, 3, 85).collect()}
+    assert got == classes(rows, 3, 85)
+
+
 def test_a_chain_is_one_component(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 3)], "a long, b long")
     got = {x.node: x.component for x in near_dedup.components(links).collect()}
