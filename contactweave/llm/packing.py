@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -157,16 +156,6 @@ class Run:
     times: int
 
 
-def _apply(counts: dict[int, int], filling: tuple[int, ...]) -> Run:
-    need = Counter(filling)
-    times = min(counts[x] // n for x, n in need.items())
-    for x, n in need.items():
-        counts[x] -= n * times
-        if not counts[x]:
-            del counts[x]
-    return Run(tuple(sorted(need.items(), reverse=True)), times)
-
-
 def best_fit(counts: dict[int, int], capacity: int) -> list[Run]:
     """Best-fit decreasing over a histogram: the first incumbent.
 
@@ -199,105 +188,201 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Run]:
     return [Run(f, n) for fillings in open_bins.values() for f, n in fillings.items()]
 
 
-def _fillings(lengths: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste first, larger pieces first.
+class _Left:
+    """Pieces left, by length: counts, and which lengths there are as bits of a number."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.counts = [0] * (capacity + 1)
+        self.array = np.zeros(capacity + 1, np.int64)
+        self.bits = 0
+        for x, n in counts.items():
+            self.add(x, n)
+
+    def add(self, length: int, n: int) -> None:
+        now = self.counts[length] + n
+        self.counts[length] = self.array[length] = now
+        if now == n:
+            self.bits |= 1 << length
+        elif not now:
+            self.bits ^= 1 << length
+
+    def largest(self, limit: int) -> int:
+        """The largest length up to ``limit``, 0 if there is none."""
+        return (self.bits & ((2 << limit) - 1)).bit_length() - 1 if limit > 0 and self.bits & ((2 << limit) - 1) else 0
+
 
-    One piece that fits exactly dominates all other ways.  Otherwise sets of
-    up to four pieces are tried: any first pieces, then the largest last piece
-    that fits, since a smaller last piece is dominated by it.
+def _least_sequences(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound on the sequences for ``counts`` by length (Martello and Toth's L2).
+
+    For each k: pieces over capacity - k share no sequence with pieces of k or
+    more, so those of k to capacity / 2 only fit beside the rest of the large ones.
     """
+    lengths = np.arange(len(counts))
+    number, total = np.cumsum(counts), np.cumsum(counts * lengths)
+    half = capacity // 2
+    k = np.arange(half + 1)
+    alone = number[-1] - number[capacity - k]
+    large, large_total = number[capacity - k] - number[half], total[capacity - k] - total[half]
+    small = total[half] - np.where(k > 0, total[k - 1], 0)
+    over = small - (capacity * large - large_total)
+    return int((alone + large + np.maximum(0, -(-over // capacity))).max())
 
-    def largest(limit: int, used: tuple[int, ...]) -> int:
-        at = bisect_right(lengths, limit) - 1
-        while at >= 0 and counts[lengths[at]] <= used.count(lengths[at]):
-            at -= 1
-        return lengths[at] if at >= 0 else 0
-
-    if room in counts:
-        return [(room,)]
-    found: dict[tuple[int, ...], int] = {}
-    exact = 0
-
-    def grow(used: tuple[int, ...], left: int, depth: int) -> None:
-        nonlocal exact
-        last = largest(left, used)
-        if not last:
-            found.setdefault(used, left)
-            exact += left == 0
-            return
-        # all the way down greedily, then each smaller choice for this place
-        tries = [last]
-        if depth > 0:
-            at = bisect_right(lengths, min(left, used[-1] if used else left)) - 1
-            step = max(1, (at + 1) // 24)
-            tries += [lengths[k] for k in range(at, -1, -step) if counts[lengths[k]] > used.count(lengths[k])]
-        for x in dict.fromkeys(tries):
-            if exact >= most:
-                return
-            grow((*used, x), left - x, depth - 1)
 
-    grow((), room, 2)
-    seen: dict[tuple[int, ...], int] = {}
-    for pieces, waste in found.items():
-        seen.setdefault(tuple(sorted(pieces, reverse=True)), waste)
-    ordered = sorted(seen.items(), key=lambda x: (x[1], [-p for p in x[0]]))
-    kept: list[tuple[int, ...]] = []
-    for pieces, waste in ordered:
-        if not any(_dominates(k, pieces) for k in kept):
-            kept.append(pieces)
-        if len(kept) == most:
-            break
-    return kept
+class _Work:
+    """Steps taken while looking for fillings, and how many there may be."""
 
+    def __init__(self, most: int):
+        self.done, self.most = 0, most
 
-def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Every piece of ``b`` has a piece of ``a`` at least as large to stand for it."""
-    return len(b) <= len(a) and all(x >= y for x, y in zip(a, b))
 
+def _fillings(left: _Left, room: int, most_waste: int, work: _Work) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill ``room`` that waste at most ``most_waste``: least waste first, larger pieces first.
 
-def complete_bins(counts: dict[int, int], capacity: int, branch: int = 3, max_nodes: int = 2_000) -> list[Run]:
+    Made one at a time as the search asks for them, of any number of pieces.
+    One piece that fits exactly dominates all other ways.  A way is dominated
+    if a piece left over could stand for one or two of its pieces, or for all.
+    """
+    counts, bits = left.counts[: room + 1], left.bits & ((2 << room) - 1)
+    if counts[room]:
+        yield (room,)
+        return
+    lengths = np.flatnonzero(left.array[1 : room + 1]) + 1
+    total = int((lengths * left.array[lengths]).sum())
+    if total <= room:
+        if room - total <= most_waste:
+            yield tuple(int(x) for x in lengths[::-1] for _ in range(counts[x]))
+        return
+    dead: set[tuple[int, int]] = set()  # (limit, sum): no set of pieces up to the limit has this sum
+
+    def sums(limit: int, target: int) -> Iterator[tuple[int, ...]]:
+        """Sets of pieces up to ``limit`` with exactly this sum, larger pieces first."""
+        if not target:
+            yield ()
+            return
+        found = False
+        below = bits & ((2 << min(limit, target)) - 1)
+        if not below or (limit, target) in dead:
+            return
+        while below:
+            work.done += 1
+            if work.done > work.most:
+                return
+            x = below.bit_length() - 1
+            below ^= 1 << x
+            for n in range(min(counts[x], target // x), 0, -1):
+                for rest in sums(x - 1, target - n * x):
+                    found = True
+                    yield (x,) * n + rest
+        if not found:
+            dead.add((limit, target))
+
+    def between(low: int, high: int, used: Counter) -> bool:
+        """Is a piece of this range left over?"""
+        high = min(high, room)
+        while high >= low:
+            x = (bits & ((2 << high) - 1)).bit_length() - 1
+            if x < low:
+                return False
+            if counts[x] > used[x]:
+                return True
+            high = x - 1
+        return False
+
+    for waste in range(min(room, most_waste) + 1):
+        for pieces in sums(room - waste, room - waste):
+            used = Counter(pieces)
+            distinct = list(used)
+            if waste and (between(1, waste, used) or any(between(x + 1, x + waste, used) for x in distinct)):
+                continue
+            pairs = {x + y for k, x in enumerate(distinct) for y in distinct[k if used[x] > 1 else k + 1 :]}
+            if any(between(s, s + waste, used) for s in pairs):
+                continue
+            if len(pieces) > 1 and between(room - waste, room, used):
+                continue
+            yield pieces
+        if work.done > work.most:
+            return
+
+
+def complete_bins(counts: dict[int, int], capacity: int, max_nodes: int | None = None) -> list[Run]:
     """Fewest sequences found for pieces given as ``length -> number``.
 
     Depth-first bin completion: take the largest piece left, try its
     undominated fillings in order of waste, and go back where the waste so far
-    shows that the incumbent can't be beaten.  A filling is used as often as
-    the counts allow at one step, so depth follows the number of distinct
-    lengths.  The incumbent starts as the best-fit packing; the search ends
-    when the total length proves it minimal or after ``max_nodes`` steps,
-    and then returns the incumbent.
+    or the lower bound of what is left shows that the incumbent can't be
+    beaten.  A filling is first used as often as the counts and the waste
+    allow, in one step, and at last once, so that no packing is ruled out.
+    The incumbent starts as the best-fit packing; the search ends when a lower
+    bound proves it minimal, when all is searched, or after ``max_nodes``
+    steps: by default 20,000 and 10 more for each length, many times the way
+    down, with 20 looks at a piece for each.
     """
     counts = {x: n for x, n in counts.items() if n > 0}
     if not counts:
         return []
     incumbent = best_fit(counts, capacity)
     best = sum(r.times for r in incumbent)
+    left = _Left(counts, capacity)
     total = sum(x * n for x, n in counts.items())
-    bound = max(-(-total // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
-    nodes = 0
-    stack: list[tuple[dict[int, int], tuple, int, int]] = [(counts, (), 0, 0)]  # left, runs (linked), used, waste
-    while stack and best > bound and nodes < max_nodes:
-        left, path, used, waste = stack.pop()
-        nodes += 1
-        if not left:
-            if used < best:
-                best, incumbent = used, []
-                while path:
-                    run, path = path
-                    incumbent.append(run)
-            continue
-        if waste > (best - 1) * capacity - total:
+    bound = _least_sequences(left.array, capacity)
+    limit = max_nodes if max_nodes is not None else 20_000 + 10 * len(counts)
+    work = _Work(20 * limit)
+    nodes = used = waste = 0
+    path: list[tuple[Run, int]] = []  # with what each wastes
+
+    def ways() -> Iterator[tuple[Counter, int, int]]:
+        """The next steps: filling, times and waste."""
+        slack = (best - 1) * capacity - total - waste
+        if slack < 0 or used + _least_sequences(left.array, capacity) >= best:
+            return
+        top = left.largest(capacity)
+        left.add(top, -1)
+        made = _fillings(left, capacity - top, slack, work)
+        several, seen = [], 0
+        while True:
+            # the counts are as they were here whenever the search comes back
+            filling = next(made, None)
+            if filling is None:
+                break
+            seen += 1
+            need = Counter((top, *filling))
+            free = capacity - top - sum(filling)
+            left.add(top, 1)
+            times = min(left.counts[x] // n for x, n in need.items())
+            if free:
+                times = min(times, slack // free)
+            if times > 1:
+                several.append((need, free))
+            if times:
+                yield need, times, free
+            left.add(top, -1)
+        left.add(top, 1)
+        if seen > 1:  # the only way can be used as often as it goes
+            for need, free in several:
+                yield need, 1, free
+
+    stack = [ways()]
+    while stack and best > bound and nodes < limit and work.done <= work.most:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if path:
+                run, lost = path.pop()
+                for x, n in run.filling:
+                    left.add(x, n * run.times)
+                used -= run.times
+                waste -= lost
             continue
-        top = max(left)
-        rest = dict(left)
-        rest[top] -= 1
-        if not rest[top]:
-            del rest[top]
-        ways = _fillings(sorted(rest), rest, capacity - top, branch)
-        for filling in reversed(ways or [()]):
-            now = dict(left)
-            run = _apply(now, (top, *filling))
-            free = capacity - sum(x * n for x, n in run.filling)
-            stack.append((now, (run, path), used + run.times, waste + free * run.times))
+        nodes += 1
+        need, times, free = step
+        for x, n in need.items():
+            left.add(x, -n * times)
+        path.append((Run(tuple(sorted(need.items(), reverse=True)), times), free * times))
+        used += times
+        waste += free * times
+        if not left.bits and used < best:
+            best, incumbent = used, [run for run, _ in path]
+        stack.append(ways() if left.bits else iter(()))
     return incumbent
 
 

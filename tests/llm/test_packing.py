@@ -62,6 +62,27 @@ def test_completion_never_loses_to_best_fit():
     assert packing.complete_bins({}, 2048) == []
 
 
+def test_one_way_down_ends_whatever_the_number_of_lengths():
+    # a table with most of the lengths, where best fit misses the bound
+    r = random.Random(1)
+    counts = Counter(min(2048, 1 + int(r.lognormvariate(6, 0.8))) for _ in range(60_000))
+    bound = -(-sum(x * n for x, n in counts.items()) // 2048)
+    assert len(counts) > 1500 and sum(x.times for x in packing.best_fit(dict(counts), 2048)) > bound
+    runs = packing.complete_bins(counts, 2048)
+    used = Counter()
+    for run in runs:
+        assert sum(x * n for x, n in run.filling) <= 2048
+        for x, n in run.filling:
+            used[x] += n * run.times
+    assert used == counts and sum(x.times for x in runs) == bound
+
+
+def test_no_filling_is_left_out():
+    # the only exact way leaves out the third largest piece
+    left = packing._Left(dict.fromkeys((115, 107, 103, 101, 100, 90), 1), 2048)
+    assert next(packing._fillings(left, 513, 0, packing._Work(1000))) == (115, 107, 101, 100, 90)
+
+
 def test_word_ids_equal_the_tokenizer():
     texts = ["Ünß µª² ÀÉ×÷ 12½ don't I'LL \xad soft\xadhy x<|endoftext|>y <|en \x00\x01", "a\x1cb\xa0c é́", "", "日本 😀x", "ΑΣ ΣΑΣ it's"]
     tokenizer = Tokenizer.from_file(TOKENIZER)
