@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation of personal data, in column expressions only.
 
-Fixed patterns find protected entities.  A term that stands near mentions of
-one entity in several texts, and hardly anywhere else, reveals that entity
-even where the entity itself is gone.  How strongly it does is estimated from
+Fixed patterns find protected entities.  A term, any whole word of letters,
+marks and digits, that shares several texts with one entity and is hardly
+anywhere else, reveals that entity even where the entity itself is gone.  How strongly it does is estimated from
 the corpus: the share of the entity's surprisal that seeing the term takes
 away, log2(P(e | t) / P(e)) / log2(1 / P(e)).  Terms past one threshold are
 generalised, past a higher one removed.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from contactweave.plans.lookups import fits_broadcast
+from contactweave.plans.lookups import fits_broadcast, lookup
 from contactweave.plans.storage import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -25,9 +25,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _NEEDS = {"email": "@", "phone": "+"}
-TERM = r"\p{L}{4,}"
-NEAR = 80  # code points on either side of a mention
-SUPPORT = 5  # distinct texts in which a term stands near the entity
+_LETTER = r"\p{L}\p{M}\p{N}"
+TERM = rf"[{_LETTER}]++"
+# Where a span was cut out of a word, what is left of the word is no term.
+_CUT = "\uffff"
+_WHOLE = rf"(?<![{_LETTER}{_CUT}])[{_LETTER}]++(?!{_CUT})"
+SUPPORT = 5  # distinct texts that a term shares with the entity
 GENERALISE, REMOVE = 0.8, 0.97
 LEAST_CHANCE = 0.5  # of the entity, given the term
 _SPAN = "array<struct<start: bigint, end: bigint, value: string>>"
@@ -95,54 +98,88 @@ def base_spans(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return rows.select("doc_id", "text", *carry, *[of(k).alias(k) for k in KINDS[:4]])
 
 
+def _words(found: DataFrame) -> Column:
+    """Distinct whole words of each text outside its base spans."""
+
+    def put(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+
+        def side(c: Column) -> Column:
+            return F.when(c.rlike(f"[{_LETTER}]"), _CUT).otherwise(" ")
+
+        ends = F.concat(side(F.substring(s["value"], 1, 1)), side(F.right(s["value"], F.lit(1))))
+        grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), ends)
+        return F.when(s["end"] > acc["at"], F.struct(s["end"].alias("at"), grown.alias("out"))).otherwise(acc)
+
+    text = F.translate("text", _CUT, " ")
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    rest = F.aggregate(
+        F.sort_array(F.concat(*KINDS[:4])), first, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length("text")))
+    )
+    return F.array_distinct(F.regexp_extract_all(rest, F.lit(_WHOLE), F.lit(0)))
+
+
 def _entities(found: DataFrame) -> DataFrame:
-    """A row for each mention: entity, text (hashed), document and the terms near it."""
+    """A row for each text with mentions (hashed) and document: its distinct entities and its words."""
     each = F.concat(*KINDS[:4])
-    mentions = found.filter(F.size(each) > 0).select("doc_id", F.xxhash64("text").alias("text_hash"), "text", F.explode(each).alias("s"))
-    before = F.substring("text", F.greatest(F.col("s.start") - NEAR, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(NEAR)))
-    after = F.substring("text", F.col("s.end") + 1, F.lit(NEAR))
-    # terms cut by the edge of the surroundings are left out
-    near = F.concat_ws(" ", F.regexp_replace(before, r"^\p{L}+", ""), F.regexp_replace(after, r"\p{L}+$", ""))
-    return mentions.select(
-        F.xxhash64(F.lower("s.value")).alias("entity"), "doc_id", "text_hash", F.array_distinct(F.regexp_extract_all(near, F.lit(TERM), F.lit(0))).alias("terms")
+    return found.filter(F.size(each) > 0).select(
+        "doc_id",
+        F.xxhash64("text").alias("text_hash"),
+        F.array_distinct(F.transform(each, lambda s: F.xxhash64(F.lower(s["value"])))).alias("entities"),
+        _words(found).alias("terms"),
     )
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """term, disclosure and action (generalise or remove) of all terms that reveal an entity.
 
-    Counts are over all documents.  A term counts only if it stands near the
-    entity in SUPPORT distinct texts, so copies of one text prove nothing.
+    Counts are over all documents, wherever in a document the two stand.  A
+    term counts only if it shares SUPPORT distinct texts with the entity, so
+    copies of one text prove nothing.
     """
     mentions = materialize(_entities(base_spans(docs)), "mentions")
-    by_entity = mentions.groupBy("entity", "text_hash").agg(F.count_distinct("doc_id").alias("n"))
-    frequent = by_entity.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("n").alias("entity_docs")).filter(F.col("texts") >= SUPPORT)
-    together = (
-        mentions.join(frequent.select("entity", "entity_docs"), "entity")
-        .select("entity", "entity_docs", "text_hash", "doc_id", F.explode("terms").alias("term"))
-        .groupBy("entity", "entity_docs", "term", "text_hash")
-        .agg(F.count_distinct("doc_id").alias("n"))
-        .groupBy("entity", "entity_docs", "term")
-        .agg(F.count("*").alias("texts"), F.sum("n").alias("both"))
+    copies = mentions.groupBy("text_hash").agg(F.count_distinct("doc_id").alias("n"))
+    # one row stands for all copies of a text
+    texts = mentions.dropDuplicates(["text_hash"]).join(copies, "text_hash").select("text_hash", "n", "entities", "terms")
+    texts = materialize(texts, "texts")
+    frequent = (
+        texts.select("n", F.explode("entities").alias("entity"))
+        .groupBy("entity")
+        .agg(F.count("*").alias("texts"), F.sum("n").alias("entity_docs"))
         .filter(F.col("texts") >= SUPPORT)
+        .drop("texts")
     )
-    # a term is in at least the documents that have it near some mention, which rules out common words early
-    near_any = (
-        mentions.select("doc_id", F.explode("terms").alias("term"))
-        .join(together.select("term").distinct(), "term", "left_semi")
-        .groupBy("term", "doc_id")
-        .agg(F.count("*").alias("n"))
+    with_entity = materialize(texts.select("text_hash", F.explode("entities").alias("entity")).join(frequent, "entity"), "with-entity")
+    telling = texts.join(with_entity.select("text_hash").distinct(), "text_hash", "left_semi")
+    # a term is in at least the documents that mention some entity, which rules out common words early
+    least = (
+        texts.select("n", F.explode("terms").alias("term"))
         .groupBy("term")
-        .agg(F.count("*").alias("least_docs"))
+        .agg(F.count("*").alias("texts"), F.sum("n").alias("least_docs"))
+        .filter(F.col("texts") >= SUPPORT)
+        .drop("texts")
+    )
+    most = with_entity.agg(F.max("entity_docs")).first()[0] or 0
+    least = materialize(least.filter(F.col("least_docs") * LEAST_CHANCE <= most), "least")
+    named = telling.select("text_hash", "n", F.explode("terms").alias("term"))
+    n_least = least.count()
+    widest = least.agg(F.max(F.length("term"))).first()[0] or 0
+    named = lookup(named, least, {"term": "term"}, n_least, string_bytes=4 * widest)
+    together = (
+        named.join(with_entity, "text_hash")
+        .filter(F.col("entity_docs") >= LEAST_CHANCE * F.col("least_docs"))
+        .groupBy("entity", "entity_docs", "term", "least_docs")
+        .agg(F.count("*").alias("texts"), F.sum("n").alias("both"))
+        .filter((F.col("texts") >= SUPPORT) & (F.col("both") >= LEAST_CHANCE * F.col("least_docs")))
+        .drop("least_docs")
     )
-    together = together.join(near_any, "term").filter(F.col("both") >= LEAST_CHANCE * F.col("least_docs")).drop("least_docs")
     together = materialize(together, "together")
     names = materialize(together.select("term").distinct(), "terms")
     n_names = names.count()
     if not n_names:
         return together.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action")).limit(0)
     n = docs.count()
-    with_term = _terms_of(docs, names, n_names).groupBy("term").agg(F.count("*").alias("term_docs"))
+    with_term = _terms_of(docs, names, n_names, outside=True).groupBy("term").agg(F.count("*").alias("term_docs"))
     chance = F.least(F.col("both") / F.col("term_docs"), F.lit(1.0))
     surprisal = -F.log2(F.col("entity_docs") / F.lit(float(n)))
     told = (F.log2("chance") + F.col("surprisal")) / F.col("surprisal")
@@ -159,12 +196,17 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     )
 
 
-def _terms_of(docs: DataFrame, names: DataFrame, n_names: int) -> DataFrame:
-    """(doc_id, term) for every document and every term of ``names`` in it."""
+def _terms_of(docs: DataFrame, names: DataFrame, n_names: int, outside: bool = False) -> DataFrame:
+    """(doc_id, term) for every document and every term of ``names`` in it, or ``outside`` its base spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("term")
-    )
+    if outside:
+        found = base_spans(docs)
+        plain = F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
+        terms = F.when(F.size(F.concat(*KINDS[:4])) > 0, _words(found)).otherwise(plain)
+        held = found.select("doc_id", F.explode(terms).alias("term"))
+    else:
+        terms = F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+        held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(terms).alias("term"))
     side = F.broadcast(names) if fits_broadcast(names, n_names, string_bytes=256) else names
     return held.join(side, "term")
 
@@ -190,7 +232,7 @@ def spans(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ()) -> Dat
     widest = hits.agg(F.max(F.length(F.to_json("terms"))).alias("w")).first()["w"] or 0
     side = F.broadcast(hits) if fits_broadcast(hits, hits.count(), string_bytes=4 * widest) else hits
     pattern = F.concat(
-        F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})")
+        F.lit(rf"(?<![{_LETTER}])(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(rf")(?![{_LETTER}])")
     )
     actions = F.map_from_entries("terms")
     placed = F.transform(

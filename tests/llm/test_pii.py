@@ -85,6 +85,17 @@ def test_disclosing_terms(spark):
         assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_short_words_codes_and_far_words_disclose(spark):
+    far = "so it goes on " * 20
+    rows = [(k, f"Kim EMP1042 {far} note {k}kk call +49301234567x then kim@corp.example wrote {far} jd42") for k in range(7)]
+    rows += [(k, f"{far} note call then wrote {k} kim x") for k in range(7, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = pii.disclosing_terms(docs)
+    assert {r.term for r in terms.collect()} == {"Kim", "EMP1042", "jd42"}
+    clean = {r.doc_id: r.text for r in pii.sanitised(pii.spans(docs, terms)).collect()}
+    assert not any(w in clean[3] for w in ("Kim", "EMP1042", "jd42")) and clean[20] == rows[20][1]
+
+
 def test_large_tables_take_the_shuffled_way(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     want = sorted(map(tuple, pii.digest(pii.spans(docs, pii.disclosing_terms(docs))).collect()))
