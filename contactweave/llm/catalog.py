@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contactweave.llm import chat, fingerprint, gam, lm_score, near_dedup, packing, pii, piece_codec, quality_rules, secret_scan
+from contactweave.llm import chat, fill_middle, fingerprint, gam, lm_score, near_dedup, packing, pii, piece_codec, quality_rules, secret_scan
 from contactweave.llm.common import documents, labels
+from contactweave.plans.storage import materialize
 
 
 def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,11 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.conversations_of(chat.best_paths(trees)))
 
 
+def op13_frame_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = materialize(fill_middle.store(documents(spark, sf_dir)), "frames")
+    return fill_middle.digest(fill_middle.transform(stored))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bin_completion,
         op9_piece_round_trips,
         op10_reply_trees,
+        op13_frame_middles,
     )
 }
 
@@ -127,4 +134,24 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from sized group by conv_id
 """
 
-ORACLE = {"op5_minmax_dedup": _OP5, "op10_reply_trees": _OP10}
+_OP13 = r"""
+with given as (
+  select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+), drawn as (
+  select doc_id, t, n, cast('0x' || substr(h, 1, 8) as bigint) % (n + 1) as c1, cast('0x' || substr(h, 9, 8) as bigint) % (n + 1) as c2,
+    cast('0x' || substr(h, 17, 8) as bigint) % 100 as d3, cast('0x' || substr(h, 25, 8) as bigint) % 100 as d4
+  from given
+), formed as (
+  select doc_id, t, n, least(c1, c2) as a, greatest(c1, c2) as b,
+    case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or d3 >= 90 then 'plain' when d4 < 20 then 'spm' else 'psm' end as form
+  from drawn
+), parts as (
+  select *, substr(t, 1, a) as p, substr(t, a + 1, b - a) as m, substr(t, b + 1) as s from formed
+)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from parts
+"""
+
+ORACLE = {"op5_minmax_dedup": _OP5, "op10_reply_trees": _OP10, "op13_frame_middles": _OP13}
