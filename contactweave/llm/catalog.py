@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contactweave.llm import chat, fill_middle, fingerprint, gam, lm_score, near_dedup, packing, pii, piece_codec, quality_rules, secret_scan
+from contactweave.llm import chat, fill_middle, fingerprint, gam, lm_score, near_dedup, packing, pii, piece_codec, quality_rules, secret_scan, simhash
 from contactweave.llm.common import documents, labels
 from contactweave.plans.storage import materialize
 
@@ -66,6 +66,10 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.conversations_of(chat.best_paths(trees)))
 
 
+def op12_byte_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op13_frame_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = materialize(fill_middle.store(documents(spark, sf_dir)), "frames")
     return fill_middle.digest(fill_middle.transform(stored))
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bin_completion,
         op9_piece_round_trips,
         op10_reply_trees,
+        op12_byte_positions,
         op13_frame_middles,
     )
 }
