@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contactweave.llm import chat, fill_middle, fingerprint, gam, lm_score, near_dedup, packing, pii, piece_codec, quality_rules, secret_scan, simhash
+from contactweave.llm import chat, fill_middle, fingerprint, gam, lm_score, near_dedup, packing, pii, piece_codec, prefix_trie, quality_rules, secret_scan, simhash
 from contactweave.llm.common import documents, labels
 from contactweave.plans.storage import materialize
 
@@ -66,6 +66,10 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.conversations_of(chat.best_paths(trees)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_byte_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bin_completion,
         op9_piece_round_trips,
         op10_reply_trees,
+        op11_prefix_trie,
         op12_byte_positions,
         op13_frame_middles,
     )
@@ -139,6 +144,50 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from sized group by conv_id
 """
 
+_OP11 = r"""
+with recursive steps(i, v, k) as (
+  select i, cast(i as bigint), 0 from range(256) t(i)
+  union all
+  select i, case when v & 1 = 1 then xor(3988292384, v >> 1) else v >> 1 end, k + 1 from steps where k < 8
+), crc_table as (select list(v order by i) as t from steps where k = 8
+), given as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), turns as (
+  select conv_id, length(text) as chars, md5(length(role) || ':' || role || text) as name,
+    row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || text)) as r
+  from given
+), sizes as (select conv_id, count(*) as n from turns group by conv_id
+), crc(conv_id, s, p, c) as (
+  select conv_id, cast(conv_id as varchar), 1, 4294967295 from sizes
+  union all
+  select conv_id, s, p + 1, xor((select t from crc_table)[cast(xor(c, ascii(s[p])) & 255 as int) + 1], c >> 8) from crc where p <= length(s)
+), plan as (
+  select z.conv_id, z.conv_id - z.conv_id % 100 as head, xor(c, 4294967295) % 6 as h, least(xor(c, 4294967295) % 6, coalesce(b.n, 0)) as shared
+  from crc join sizes z using (conv_id) left join sizes b on b.conv_id = z.conv_id - z.conv_id % 100 where p = length(s) + 1
+), rebuilt as (
+  select conv_id, 0 as depth, '' as name, 0 as chars from plan
+  union all
+  select p.conv_id, r, name, chars from plan p join turns t on t.conv_id = p.head where r <= shared
+  union all
+  select p.conv_id, r - h + shared, name, chars from plan p join turns t on t.conv_id = p.conv_id where r > h
+), prefixes as (
+  select *, list(name) over (partition by conv_id order by depth) as k, depth = max(depth) over (partition by conv_id) as ended from rebuilt
+), nodes as (
+  select k, depth, min(conv_id) as conv_id, count(*) as n_convs, max(chars) as chars,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ended), '')) as ends_sha256
+  from prefixes group by k, depth
+), children as (select k[:len(k) - 1] as k, count(*) as n from nodes where depth > 0 group by 1
+), counted as (
+  select n.*, coalesce(c.n, 0) as n_children from nodes n left join children c on c.k = n.k
+), subtrees as (
+  select k[:d + 1] as k, count(*) filter (where n_children = 0) as n_leaves, sum((n_convs - 1) * chars) as saved
+  from (select *, unnest(range(0, depth + 1)) as d from counted) group by 1
+)
+select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, s.n_leaves,
+  cast(s.saved as bigint) as saved_tokens, n.ends_sha256
+from counted n join subtrees s on s.k = n.k left join nodes p on n.depth > 0 and p.k = n.k[:len(n.k) - 1]
+"""
+
 _OP13 = r"""
 with given as (
   select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents
@@ -159,4 +208,4 @@ select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, ca
 from parts
 """
 
-ORACLE = {"op5_minmax_dedup": _OP5, "op10_reply_trees": _OP10, "op13_frame_middles": _OP13}
+ORACLE = {"op5_minmax_dedup": _OP5, "op10_reply_trees": _OP10, "op11_prefix_trie": _OP11, "op13_frame_middles": _OP13}
