@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from contactweave.llm.common import crc_bucket, factorize, slices
 from contactweave.plans.lookups import fits_broadcast
@@ -43,9 +43,13 @@ def features(texts: pa.Array) -> np.ndarray:
     data = np.frombuffer("".join(texts.to_pylist()).encode(), np.uint8)
     size = np.maximum(ends - starts, 1)
 
+    filled = starts < ends
+
     def share(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
-        return total[ends] - total[starts]
+        total = np.zeros(n, np.int64)
+        if filled.any():
+            total[filled] = np.add.reduceat(mask, starts[filled], dtype=np.int64)
+        return total
 
     found = factorize(texts)
     counts = np.diff(found.offsets)
@@ -249,9 +253,8 @@ def learn(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 2, modul
         .limit(limit)
     )
     side = F.broadcast(chosen) if fits_broadcast(chosen, limit) else chosen
-    texts = docs.join(side, F.col("doc_id").cast("long") == F.col("label_id")).select(
-        F.col("label_id"), F.col("text").cast("string"), F.col("label")
-    )
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = own.join(side, F.col("doc_id") == F.col("label_id")).select("label_id", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2_000):
@@ -290,13 +293,10 @@ def score(docs: DataFrame, model: Model, held_out_remainder: int = 2, modulus: i
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``threshold``, all columns as they were."""
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        out = np.empty(len(texts))
-        for at in range(0, len(texts), 1_000):
-            out[at : at + 1_000] = model.score(features(pa.array(texts[at : at + 1_000], pa.string(), from_pandas=True)))
-        import pandas as pd
-
-        return pd.Series(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 2_000):
+            good = model.score(features(part.column(1))) >= threshold
+            yield pa.RecordBatch.from_arrays([part.column(0)], ["_whole"]).filter(pa.array(good))
 
-    return docs.filter(scored(F.col("text").cast("string")) >= threshold)
+    rows = docs.select(F.struct("*").alias("_whole"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType([T.StructField("_whole", docs.schema)])).select("_whole.*")

@@ -20,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from contactweave.llm.common import factorize, slices
+from contactweave.llm.common import factorize, give_back, slices
 from contactweave.plans.storage import materialize
 
 CAPACITY = 2048
 END_ID = 0
-_CACHE_WORDS = 150_000
+_CACHE_BYTES = 24 << 20  # of each of a task's two caches
+_ENTRY_BYTES = 200  # what a dict and its objects take besides their content
 _SALTS = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -77,11 +78,13 @@ class WordIds:
         ids = self._bytes
         return b"".join([ids[i] for i in self._tokenizer.encode(word, add_special_tokens=False).ids])
 
+    def forget(self) -> None:
+        """Drop what is cached."""
+        self._known.clear()
+        self._parts.clear()
+
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text."""
-        for cache in (self._known, self._parts):
-            if len(cache) > _CACHE_WORDS:
-                cache.clear()
         found = factorize(texts)
         each = [self._known[w] for w in found.distinct]
         lengths = np.array([len(x) // 4 for x in each], np.int64)
@@ -96,14 +99,22 @@ class WordIds:
 
 
 class _Filled(dict):
-    """A dict that makes what it lacks."""
+    """A dict that makes what it lacks, and starts anew past ``most`` bytes."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = _CACHE_BYTES):
         super().__init__()
-        self._make = make
+        self._make, self._most, self._held = make, most, 0
+
+    def clear(self):
+        super().clear()
+        self._held = 0
 
     def __missing__(self, key):
-        value = self[key] = self._make(key)
+        value = self._make(key)
+        self._held += len(key) + len(value) + _ENTRY_BYTES
+        if self._held > self._most:
+            self.clear()
+        self[key] = value
         return value
 
 
@@ -144,6 +155,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
                     + [(n, pa.int64()) for n in ("start", "length", "ids_crc32")]
                 ),
             )
+        encoder.forget()  # the worker goes on to other tasks
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 

@@ -108,8 +108,12 @@ def features() -> dict[str, Column]:
     }
 
 
+def repetitive() -> Column:
+    return 100 * F.col("n_repeat_words") > 30 * F.col("n_words")
+
+
 def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return (F.col("n_words") < 20) | repetitive()
 
 
 @dataclass(frozen=True)
@@ -232,16 +236,18 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> list[Rul
         .limit(limit)
     )
     side = F.broadcast(chosen) if fits_broadcast(chosen, limit) else chosen
-    texts = docs.join(side, F.col("doc_id").cast("long") == F.col("label_id")).select("doc_id", "text")
-    known = statistics(texts)
-    rows = (
-        known.join(side, F.col("doc_id") == F.col("label_id"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = own.join(side, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "good")
+    # the gate is looked at here: as a filter it would be worked out for all documents, before the join
+    rows = [
+        r
+        for r in statistics(texts, ("good",))
         .select("doc_id", "good", base_failed().alias("failed"), *[c.alias(k) for k, c in features().items()])
-        .filter("not failed")
         .orderBy(F.xxhash64("doc_id"), "doc_id", *features())
         .limit(limit)
         .collect()
-    )
+        if not r["failed"]
+    ]
     good = np.array([r["good"] for r in rows], bool)
     return cover({k: np.array([r[k] for r in rows], float) for k in features()}, good)
 
@@ -267,7 +273,7 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that the learned list keeps, all columns as they were.
 
-    Only the list decides here: a short text is kept unless a rule rejects it.
+    Of the base gate only repetition counts here: a short text is kept unless a rule rejects it.
     """
     rows = docs.select(F.struct("*").alias("_whole"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    return statistics(rows, ("_whole",)).filter(as_expression(rules)).select("_whole.*")
+    return statistics(rows, ("_whole",)).filter(~repetitive() & as_expression(rules)).select("_whole.*")

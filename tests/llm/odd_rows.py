@@ -27,7 +27,7 @@ def rows():
 def documents(spark):
     """With extra columns whose names the operators use themselves."""
     docs = spark.createDataFrame(rows(), SCHEMA)
-    clash = ("score", "kept", "words", "key", "node", "block", "tail", "term", "terms", "n", "bands", "fingerprint", "length", "shard", "train")
+    clash = ("score", "kept", "words", "key", "node", "block", "tail", "term", "terms", "n", "bands", "fingerprint", "length", "shard", "train", "label", "label_id", "good", "failed", "fp", "frames")
     return docs.select("*", *[F.lit("x").alias(c) for c in clash])
 
 
