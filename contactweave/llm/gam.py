@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from contactweave.llm.common import crc_bucket, factorize, slices
 from contactweave.plans.lookups import fits_broadcast
@@ -293,10 +293,11 @@ def score(docs: DataFrame, model: Model, held_out_remainder: int = 2, modulus: i
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``threshold``, all columns as they were."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2_000):
-            good = model.score(features(part.column(1))) >= threshold
-            yield pa.RecordBatch.from_arrays([part.column(0)], ["_whole"]).filter(pa.array(good))
+    @F.arrow_udf("boolean")
+    def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            rows = pa.RecordBatch.from_arrays([batch, batch], ["text", "_text"])
+            found = [model.score(features(part.column(1))) >= threshold for part in slices(iter([rows]), 2_000)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0, bool))
 
-    rows = docs.select(F.struct("*").alias("_whole"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("_whole", docs.schema)])).select("_whole.*")
+    return docs.filter(good(F.col("text").cast("string")))
