@@ -11,11 +11,11 @@ after the other, fetches from a priority queue what its children sent and
 sends its own totals on to its parent.  The totals of a shard's root are
 summed for each parent and wait for the shard that holds it.
 
-A shard is a connected piece of the trie whose nodes have between 1024**k and
-1024**(k + 1) members, and which reaches over at most ``SLICE`` levels.  So a
-level of a shard has at most 1,024 nodes, a node's children are in the same
+A shard is a connected piece of the trie whose nodes have between 64**k and
+64**(k + 1) members, and which reaches over at most ``SLICE`` levels.  So a
+level of a shard has at most 64 nodes, a node's children are in the same
 shard or in one that comes earlier, and there are as many rounds as there are
-powers of 1,024 in the number of conversations, not levels (one more for each
+powers of 64 in the number of conversations, not levels (one more for each
 ``SLICE`` levels).
 """
 
@@ -36,7 +36,7 @@ from contactweave.plans.storage import materialize
 
 SHARED_MOST = 5  # most turns a conversation takes over from another
 GROUP = 100
-BAND_BITS = 10
+BAND_BITS = 6
 SLICE = 65_536
 QUEUE = 1 << 18
 IDS_IN_PIECE = 65_536
