@@ -23,6 +23,7 @@ from contactweave.plans.lookups import fits_broadcast
 
 LABELLED = 20_000  # most labelled rows the model is fitted on
 THRESHOLD = 0.7
+SLICE_BYTES = 2 << 20  # of text whose words a task holds at once
 BINS, PAIR_BINS, PAIRS = 32, 16, 8
 ROUNDS, PAIR_ROUNDS, RATE = 200, 80, 0.15
 FEATURES = (
@@ -257,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 2, modul
     texts = own.join(side, F.col("doc_id") == F.col("label_id")).select("label_id", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2_000):
+        for part in slices(batches, 2_000, SLICE_BYTES):
             x = features(part.column(1))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["label_id", "label", "x"]
@@ -278,7 +279,7 @@ def score(docs: DataFrame, model: Model, held_out_remainder: int = 2, modulus: i
     """doc_id, held_out, score and predicted for every row; a null or empty text is scored by zeros in all features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2_000):
+        for part in slices(batches, 2_000, SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(features(part.column(1))))], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -297,7 +298,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             rows = pa.RecordBatch.from_arrays([batch, batch], ["text", "_text"])
-            found = [model.score(features(part.column(1))) >= threshold for part in slices(iter([rows]), 2_000)]
+            found = [model.score(features(part.column(1))) >= threshold for part in slices(iter([rows]), 2_000, SLICE_BYTES)]
             yield pa.array(np.concatenate(found) if found else np.zeros(0, bool))
 
     return docs.filter(good(F.col("text").cast("string")))

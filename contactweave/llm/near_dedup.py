@@ -27,6 +27,7 @@ from contactweave.plans.storage import materialize
 
 VALUES = 120
 MISS = 2e-6
+SLICE_BYTES = 2 << 20  # of text whose words a task holds at once
 _BLOCK_SETS = 64
 
 
@@ -95,7 +96,7 @@ def signatures(docs: DataFrame, size: int, threshold: float) -> DataFrame:
     rows, bands = bands_for(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 5_000):
+        for part in slices(batches, 5_000, SLICE_BYTES):
             keys, sets = zip(*shingle_sets(part.column(1), size))
             counts = np.array([len(x) for x in sets])
             values = min_max([x for x in sets if len(x)], VALUES // 2)[:, : rows * bands].reshape(-1, rows, bands)
@@ -116,7 +117,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """Shingle sets, as sorted 64-bit hashes, of the documents ``wanted`` names by node and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2_000):
+        for part in slices(batches, 2_000, SLICE_BYTES):
             nodes, sets = [], []
             for node, expected, (key, own) in zip(
                 part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1), size)

@@ -25,7 +25,7 @@ from contactweave.plans.storage import materialize
 
 CAPACITY = 2048
 END_ID = 0
-_CACHE_BYTES = 24 << 20  # of each of a task's two caches
+_CACHE_BYTES = 10 << 20  # of each of a task's two caches
 _ENTRY_BYTES = 200  # what a dict and its objects take besides their content
 _SALTS = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -137,7 +137,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        for part in slices(batches, 10_000, 4 << 20):
+        for part in slices(batches, 10_000, 2 << 20):
             out = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                 data += end
