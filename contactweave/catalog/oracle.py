@@ -175,6 +175,11 @@ ORACLE["zoom_chain"] = _with(
     "\nunion all ".join(f"select *, cast({r} as bigint) as res from ({_zoom(r)}) z{r}" for r in ZOOM_RES),
 )
 
+ORACLE["pyramid_one_pass"] = ORACLE["zoom_chain"]
+ORACLE["matrix_after_failed_build"] = _with(
+    ["pairs", "tigs"], [_offsets(20_000)], f"select *, cast(1 as bigint) as n_levels from ({_zoom(20_000)}) z"
+)
+
 
 def _marginals(res: int) -> list[tuple[str, str]]:
     return [
@@ -305,8 +310,10 @@ ORACLE["row_dense"] = _matrix_sql(
 )
 
 
-def _trans(res: int) -> list[tuple[str, str]]:
-    w = f"(1.0::double / {res})"
+def _trans(res: int, real: bool = False) -> list[tuple[str, str]]:
+    """With weights 1/res, or with those of the table ``real``."""
+    w = "ri.w * rj.w" if real else f"(1.0::double / {res}) * (1.0::double / {res})"
+    weighed = " join real ri on ri.bin_id = i join real rj on rj.bin_id = j" if real else ""
     s = str(res)
     return [
         (
@@ -317,9 +324,9 @@ def _trans(res: int) -> list[tuple[str, str]]:
         (
             f"cell{s}",
             f"select i, j, x.tig_id as ti, y.tig_id as tj, x.ok as oki, y.ok as okj, x.is_first, x.is_last,"
-            f" count * {w} * {w} as w from (select bin1_id as i, bin2_id as j, count from px{s} union all"
+            f" count * {w} as w from (select bin1_id as i, bin2_id as j, count from px{s} union all"
             f" select bin2_id, bin1_id, count from px{s} where bin1_id <> bin2_id) c"
-            f" join info{s} x on x.bin_id = i join info{s} y on y.bin_id = j where x.tig_id <> y.tig_id",
+            f" join info{s} x on x.bin_id = i join info{s} y on y.bin_id = j{weighed} where x.tig_id <> y.tig_id",
         ),
         (
             f"best{s}",
@@ -328,10 +335,10 @@ def _trans(res: int) -> list[tuple[str, str]]:
     ]
 
 
-def _buddies(res: int) -> list[tuple[str, str]]:
+def _buddies(res: int, real: bool = False) -> list[tuple[str, str]]:
     s = str(res)
     return [
-        *_trans(res),
+        *_trans(res, real),
         (f"part{s}", f"select i, tj, max(w) as w from cell{s} where okj group by i, tj"),
         (
             f"cand{s}",
@@ -672,7 +679,7 @@ ORACLE["seq_codes"] = _with(
 )
 ORACLE["seq_base_at"] = _with(["segments"], [], "select name, substr(seq, 3, 1) as base from segments")
 ORACLE["cigar_long_pairs"] = """
-with cig as (select concat('s', s_suppkey) as name, cast(3 + s_suppkey % 4 as bigint) as m from supplier where s_suppkey % 5 = 0),
+with cig as (select concat('s', s_suppkey) as name, cast(3 + s_suppkey % 4 as bigint) as m from supplier),
 units as (select *, unnest(range(200)) as u from cig),
 matched as (
   select name, u * (m + 1) + k as q, u * (m + 2) + k as r from (select *, unnest(range(m)) as k from units) x
@@ -758,7 +765,7 @@ ORACLE["stored_trans_max"] = _matrix_sql(
 )
 ORACLE["neighbors_of_one_contig"] = (
     f"select * from ({ORACLE['neighbor_names_multires']}) x where tig_name ="
-    f" (select tig_name from ({ORACLE['contig_order']}) y order by tig_id desc limit 1)"
+    f" (select min(tig_name) from ({ORACLE['neighbor_names_multires']}) y)"
 )
 ORACLE["pairs_unique_only"] = ORACLE["pairs_uu"]
 ORACLE["pairs_simple_only"] = _with(["alignments"], _EMIT, "select * from emitted where shape in ('UU', 'UD')")
@@ -796,3 +803,9 @@ ORACLE["trans_max_icgw"] = _matrix_sql(
     [*_REAL, _SYM_REAL],
     MASK_RES,
 )
+ORACLE["best_neighbors_icgw"] = _matrix_sql(
+    f"select a.tig_name, \"end\", b.tig_name as neighbor, round(score, 5) as score from pick{MASK_RES}"
+    " join tigs a on a.tig_id = ti join tigs b on b.tig_id = tj",
+    _REAL + _buddies(MASK_RES, real=True),
+    MASK_RES,
+)

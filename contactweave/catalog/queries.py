@@ -17,6 +17,7 @@ from ..operators import (
     region as rg,
     scaffold as sc,
 )
+from ..operators.matrix import Matrix
 from ..plans.storage import materialize, new_scratch_path
 from ..plans.zoom_order import checked_zoom_plan
 from ..sources.gfa import Gfa
@@ -101,18 +102,27 @@ def pixel_slice(d):
 
 @query
 def zoom_20k_from_10k(d):
-    return ct.zoom_pixels(d.matrix(RES).pixels(RES), d.genome, RES, 20_000)
+    zoomed = ct.zoom_pixels(d.matrix(RES).tiled_pixels(RES), d.genome, RES, 20_000)
+    return zoomed.select("bin1_id", "bin2_id", "count")
 
 
 @query
 def zoom_chain(d):
-    levels = {RES: d.matrix(RES).pixels(RES)}
+    levels = {RES: d.matrix(RES).tiled_pixels(RES)}
     for source, target in checked_zoom_plan([RES], ZOOM_RES):
         levels[target] = ct.zoom_pixels(levels[source], d.genome, source, target)
-    parts = [levels[r].withColumn("res", F.lit(r).cast("bigint")) for r in ZOOM_RES]
+    columns = ["bin1_id", "bin2_id", "count"]
+    parts = [levels[r].select(*columns, F.lit(r).cast("bigint").alias("res")) for r in ZOOM_RES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def pyramid_one_pass(d):
+    """The same levels from one scan of the stored pixels."""
+    levels = ct.pyramid(d.matrix(RES).tiled_pixels(RES), d.genome, RES, ZOOM_RES)
+    return levels.select("res", "bin1_id", "bin2_id", "count")
+
+
 # Balancing
 
 
@@ -221,7 +231,8 @@ def rect_balanced(d):
 def rect_upper(d):
     m = d.matrix(RES)
     n = m.n_bins(RES)
-    return rg.upper_rectangle(m.pixels(RES), n // 8, n // 2, n // 4, n * 6 // 8)
+    cells = rg.upper_rectangle(m.tiled_pixels(RES), n // 8, n // 2, n // 4, n * 6 // 8, m.tile_bins(RES))
+    return cells.select("bin1_id", "bin2_id", "count")
 
 
 @query
@@ -524,7 +535,7 @@ def seq_base_at(d):
 def cigar_long_pairs(d):
     """Aligned bases of overlaps with hundreds of operations and a long skip, summed up by overlap."""
     text = "concat(repeat(concat(3 + s_suppkey % 4, 'M1I2D'), 200), '100000N5M')"
-    rows = d.table("supplier").where("s_suppkey % 5 = 0").selectExpr("concat('s', s_suppkey) as name", f"{text} as text")
+    rows = d.table("supplier").selectExpr("concat('s', s_suppkey) as name", f"{text} as text")
     pairs = cg.aligned_pairs(rows.select("name", cg.parse_cigar("text").alias("ops")), "ops")
     both = F.col("query_pos").isNotNull() & F.col("ref_pos").isNotNull()
     return pairs.groupBy("name").agg(
@@ -659,6 +670,21 @@ def built_matrix_levels(d):
     return parts[0].unionByName(parts[1])
 
 
+@query
+def matrix_after_failed_build(d):
+    """A second build over a stored matrix fails; the folder still opens as the first one."""
+    path = new_scratch_path(d.spark, "rebuilt")
+    Matrix.build(d.spark, path, d.pairs(), d.lengths(), [20_000])
+    broken = d.pairs().withColumn("pos1", F.expr("if(pos1 % 97 = 5, -1, pos1)"))
+    try:
+        Matrix.build(d.spark, path, broken, d.lengths(), [20_000, 40_000])
+    except Exception as e:
+        if "must not be negative" not in str(e):
+            raise
+    m = Matrix.open(d.spark, path)
+    return m.pixels(20_000).withColumn("n_levels", F.lit(len(m.resolutions())).cast("bigint"))
+
+
 @query
 def reopened_weights(d):
     return d.reopened().bins(RES, with_values=True).select("bin_id", "start", "end", "weight")
@@ -671,8 +697,10 @@ def stored_trans_max(d):
 
 @query
 def neighbors_of_one_contig(d):
-    name = d.genome.contigs.orderBy(F.desc("tig_id")).first()["tig_name"]
-    return d.reopened().neighbor_names(name)
+    """The first contig by name that has a neighbour, asked for alone."""
+    m = d.reopened()
+    name = m.neighbor_names().agg(F.min("tig_name")).first()[0]
+    return m.neighbor_names(name)
 
 
 def _with_settings(d, **settings):
@@ -724,6 +752,16 @@ def rect_icgw(d):
     return cells.withColumn("value", F.round(_null_nan("value"), 5))
 
 
+@query
+def best_neighbors_icgw(d):
+    m, weights = _icgw(d)
+    facts = sc.bin_facts(m.bins(MASK_RES), m.genome, weights)
+    n = m.n_bins(MASK_RES)
+    best = materialize(sc.trans_max(m.pixels(MASK_RES), facts, n), "trans-max")
+    named = sc.named_neighbors(sc.best_neighbors(m.pixels(MASK_RES), facts, best, n), d.genome)
+    return named.select("tig_name", "end", "neighbor", F.round("score", 5).alias("score"))
+
+
 @query
 def trans_max_icgw(d):
     m, weights = _icgw(d)

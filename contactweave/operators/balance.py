@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from ..plans.lookups import lookup
+from ..plans.lookups import broadcast_budget, lookup
 from ..plans.ordering import exact_median
-from ..plans.storage import AlternatingTable, materialize
+from ..plans.storage import AlternatingTable, materialize, new_scratch_path
 from .genome import Genome
 
 # Fixed values of the method.
@@ -18,6 +19,8 @@ MAX_ITERS = 400
 MAD_MAX = 5.0
 VAR_BOUND = 1e-5
 
+BLOCK_BINS = 8_192
+
 NAN = float("nan")
 
 
@@ -94,6 +97,62 @@ def bin_masks(
     return scaled.withColumn("few_nnz", F.col("nnz") < min_nnz).withColumn("low_mad", low)
 
 
+def block_bins(n_bins: int) -> int:
+    """Bins of a block: at most ``BLOCK_BINS``, fewer in a small matrix."""
+    return max(1, min(BLOCK_BINS, math.ceil(n_bins / 8)))
+
+
+def _block(column: str, size: int):
+    return F.expr(f"{column} div {size}")
+
+
+class BlockedContacts:
+    """Contacts laid out once by the blocks of both bins; only blocks of biases move in a round.
+
+    If the biases fit the broadcast budget the contacts are plain files in
+    block order.  Past it they are a table bucketed by (row block, column
+    block), and what a round shuffles is one pair of bias blocks for each
+    block of the matrix that holds contacts.
+    """
+
+    def __init__(self, contacts: DataFrame, n_bins: int):
+        self.spark, self.size, self.n_bins = contacts.sparkSession, block_bins(n_bins), n_bins
+        self.small = n_bins * 8 <= broadcast_budget(self.spark)
+        laid = contacts.select(_block("bin1_id", self.size).alias("block1"), _block("bin2_id", self.size).alias("block2"), "bin1_id", "bin2_id", "count")
+        order = ["block1", "block2", "bin1_id", "bin2_id"]
+        if self.small:
+            self.table = materialize(laid.repartitionByRange(*order).sortWithinPartitions(*order), "contacts")
+            return
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"contacts_{uuid.uuid4().hex}"
+        path = new_scratch_path(self.spark, "contacts")
+        laid.write.bucketBy(n, "block1", "block2").sortBy(*order).option("path", path).saveAsTable(name)
+        self.name, self.table = name, self.spark.table(name)
+        self.pairs = materialize(self.table.select("block1", "block2").distinct(), "blocks")
+
+    def sums(self, state: DataFrame) -> DataFrame:
+        """bin_id and marginal of every bin that holds contacts, for biases ``state`` (bin_id, bias) of all bins."""
+        bias = state.groupBy(_block("bin_id", self.size).alias("block")).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("bin_id", "bias"))), lambda x: x["bias"]).alias("bias")
+        )
+        one = bias.select(F.col("block").alias("block1"), F.col("bias").alias("bias1"))
+        two = bias.select(F.col("block").alias("block2"), F.col("bias").alias("bias2"))
+        if self.small:
+            joined = self.table.join(F.broadcast(one), "block1").join(F.broadcast(two), "block2")
+        else:
+            moved = self.pairs.join(one, "block1").join(two, "block2")
+            joined = self.table.join(moved.hint("shuffle_hash"), ["block1", "block2"])
+        at = lambda end: F.expr(f"bias{end}[cast(bin{end}_id % {self.size} as int)]")
+        value = (F.col("count") * at("1") * at("2")).alias("_v")
+        seen = joined.select(F.explode(F.array("bin1_id", "bin2_id")).alias("_bin"), value)
+        return seen.groupBy("_bin").agg(F.sum("_v").alias("_sum"))
+
+    def drop(self) -> None:
+        """Forget the bucketed table; its files stay with the scratch folder."""
+        if not self.small:
+            self.spark.sql(f"drop table if exists {self.name}")
+
+
 def iterative_weights(
     pixels: DataFrame,
     genome: Genome,
@@ -110,60 +169,48 @@ def iterative_weights(
     stops once the variance of the marginals found in that round is small.
     None means nothing was left to balance.
 
-    A marginal is ``bias * sum(count * bias of the other bin)``, so a round
-    needs one lookup of the bias, one partial-aggregated shuffle and two small
-    driver numbers.  Masked bins have bias zero throughout and are taken out
-    before the loop.
+    A round is one action: it multiplies the blocks of contacts with their
+    biases, sums the products by bin, writes the biases with their marginals
+    and observes mean and variance while it writes.  Masked bins have bias
+    zero throughout, and their contacts are taken out before the loop.
     """
-    spark = genome.spark
     masks = bin_masks(pixels, genome, res, ignore_diags, min_nnz, mad_max)
-    active = masks.where("not few_nnz and not low_mad").select("bin_id")
-    n_active = active.count()
+    n_bins = genome.n_bins(res)
+    masks = materialize(masks.select("bin_id", (F.col("few_nnz") | F.col("low_mad")).alias("masked")), "masks")
+    active = masks.where("not masked").select("bin_id")
     contacts = off_diagonal(pixels, ignore_diags)
     for end in ("bin1_id", "bin2_id"):
-        contacts = lookup(contacts, active, {end: "bin_id"}, n_active, "left_semi")
-    # Sorted by bin, a pass adds up nearly all of a bin before its shuffle.
-    edges = materialize(
-        mirrored(contacts)
-        .repartitionByRange("bin_id", "other_id")
-        .sortWithinPartitions("bin_id", "other_id"),
-        "contacts",
-    )
-
-    table = AlternatingTable(spark, "bias")
+        contacts = lookup(contacts, active, {end: "bin_id"}, n_bins, "left_semi")
+    blocks = BlockedContacts(contacts, n_bins)
+    table = AlternatingTable(genome.spark, "bias")
 
     def one_pass(bias: DataFrame) -> tuple[DataFrame, float | None, float | None]:
-        sums = (
-            lookup(edges, bias.withColumnRenamed("bin_id", "_other"), {"other_id": "_other"}, n_active)
-            .groupBy(F.col("bin_id").alias("_bin"))
-            .agg(F.sum(F.col("count") * F.col("bias")).alias("_sum"))
-        )
-        state = table.replace(
-            bias.join(sums, F.col("bin_id") == F.col("_bin"), "left").select(
-                "bin_id", "bias", F.coalesce(F.col("bias") * F.col("_sum"), F.lit(0.0)).alias("marg")
-            )
+        sums = blocks.sums(bias)
+        state = bias.join(sums, F.col("bin_id") == F.col("_bin"), "left").select(
+            "bin_id", "bias", F.coalesce("_sum", F.lit(0.0)).alias("marg")
         )
-        found = state.where("marg != 0").agg(F.avg("marg"), F.var_pop("marg")).first()
-        return state, found[0], found[1]
-
-    bias = active.withColumn("bias", F.lit(1.0))
-    for _ in range(n_iters):
-        state, mean, variance = one_pass(bias)
-        if mean is None:
-            return None
-        share = F.when(F.col("marg") == 0, F.lit(1.0)).otherwise(F.col("marg") / F.lit(mean))
-        bias = state.select("bin_id", (F.col("bias") / share).alias("bias"))
-        if variance < var_bound:
-            break
-    state, scale, _ = one_pass(bias)
+        seen = Observation()
+        taking_part = F.when(F.col("marg") != 0, F.col("marg"))
+        stored = table.replace(state.observe(seen, F.avg(taking_part).alias("mean"), F.var_pop(taking_part).alias("variance")))
+        return stored, seen.get["mean"], seen.get["variance"]
+
+    bias = masks.select("bin_id", F.when(F.col("masked"), 0.0).otherwise(1.0).alias("bias"))
+    try:
+        for _ in range(n_iters):
+            state, mean, variance = one_pass(bias)
+            if mean is None:
+                return None
+            share = F.when(F.col("marg") == 0, F.lit(1.0)).otherwise(F.col("marg") / F.lit(mean))
+            bias = state.select("bin_id", (F.col("bias") / share).alias("bias"))
+            if variance < var_bound:
+                break
+        state, scale, _ = one_pass(bias)
+    finally:
+        blocks.drop()
     if scale is None:
         return None
-    kept = state.select(
-        F.col("bin_id").alias("_bin"), (F.col("bias") / F.lit(math.sqrt(scale))).alias("_weight")
-    )
-    return masks.join(kept, F.col("bin_id") == F.col("_bin"), "left").select(
-        "bin_id", F.coalesce("_weight", F.lit(NAN)).alias("weight")
-    )
+    weight = F.when(F.col("bias") == 0, F.lit(NAN)).otherwise(F.col("bias") / F.lit(math.sqrt(scale)))
+    return state.select("bin_id", weight.alias("weight"))
 
 
 def balance_weights(

@@ -33,6 +33,21 @@ def contact_pixels(
     the plain division, which can fall one bin past it.  A negative position on
     a known contig is an error.
     """
+    placed = _placed_pairs(pairs, genome, res, boundary)
+    return placed.groupBy("bin1_id", "bin2_id").agg(F.sum("_n").alias("count"))
+
+
+def located_pixels(
+    pairs: DataFrame, genome: Genome, res: int, boundary: str = "clamp"
+) -> DataFrame:
+    """``contact_pixels`` with the contigs of both bins, tig1_id and tig2_id."""
+    if boundary != "clamp":  # a bin past the end belongs to the contig after
+        return locate(contact_pixels(pairs, genome, res, boundary), genome, res)
+    placed = _placed_pairs(pairs, genome, res, boundary)
+    return placed.groupBy("bin1_id", "bin2_id", "tig1_id", "tig2_id").agg(F.sum("_n").alias("count"))
+
+
+def _placed_pairs(pairs: DataFrame, genome: Genome, res: int, boundary: str) -> DataFrame:
     if boundary not in BOUNDARIES:
         raise ValueError(f"boundary must be one of {BOUNDARIES}")
     local = pairs.select(
@@ -52,6 +67,7 @@ def contact_pixels(
     for end in "12":
         side = names.select(
             F.col("tig_name").alias("_name"),
+            F.col("tig_id").alias(f"_tig{end}"),
             F.col("length").alias(f"length{end}"),
             F.col("chrom_offset").alias(f"offset{end}"),
         )
@@ -59,10 +75,14 @@ def contact_pixels(
             weighted, side, {f"tig{end}": "_name"}, genome.n_tigs, string_bytes=genome.longest_name
         )
     a, b = _place("_k1", "1", res, boundary), _place("_k2", "2", res, boundary)
-    return (
-        weighted.select(F.least(a, b).alias("bin1_id"), F.greatest(a, b).alias("bin2_id"), "_n")
-        .groupBy("bin1_id", "bin2_id")
-        .agg(F.sum("_n").alias("count"))
+    placed = weighted.select(a.alias("_a"), b.alias("_b"), "_tig1", "_tig2", "_n")
+    in_order = F.col("_a") <= F.col("_b")
+    return placed.select(
+        F.least("_a", "_b").alias("bin1_id"),
+        F.greatest("_a", "_b").alias("bin2_id"),
+        F.when(in_order, F.col("_tig1")).otherwise(F.col("_tig2")).alias("tig1_id"),
+        F.when(in_order, F.col("_tig2")).otherwise(F.col("_tig1")).alias("tig2_id"),
+        "_n",
     )
 
 
@@ -84,31 +104,61 @@ def unplaced_pairs(pairs: DataFrame, genome: Genome) -> DataFrame:
     return flagged.withColumn("reason", reason).where("reason is not null").drop("_known1", "_known2")
 
 
+def locate(pixels: DataFrame, genome: Genome, res: int) -> DataFrame:
+    """Pixels with the contigs of both bins, null where a bin lies outside the matrix.
+
+    For pixels from elsewhere; stored ones carry their contigs.
+    """
+    out = pixels.select("bin1_id", "bin2_id", "count")
+    for end in "12":
+        side = genome.bins(res).select(F.col("bin_id").alias("_bin"), F.col("tig_id").alias(f"tig{end}_id"))
+        out = lookup(out, side, {f"bin{end}_id": "_bin"}, genome.n_bins(res), "left")
+    return out
+
+
+def pyramid(pixels: DataFrame, genome: Genome, from_res: int, to_res: list[int]) -> DataFrame:
+    """All coarser resolutions from one scan: res, bin1_id, bin2_id, tig1_id, tig2_id, count.
+
+    ``pixels`` carry the contigs of their bins, so a bin's place on its contig
+    is a difference, its coarser place a quotient, and only contigs are looked
+    up.  All levels share one partial sum and one shuffle.
+    """
+    for res in to_res:
+        if res % from_res or res <= from_res:
+            raise ResolutionError(f"{res} is not a larger multiple of {from_res}")
+    levels = [from_res, *to_res]
+    starts = genome.contigs.select("tig_id")
+    for res in levels:
+        side = genome.offsets(res).select(F.col("tig_id").alias("_tig"), F.col("chrom_offset").alias(f"_at{res}"))
+        starts = lookup(starts, side, {"tig_id": "_tig"}, genome.n_tigs)
+    out = pixels
+    for end in "12":
+        side = starts.select(F.col("tig_id").alias("_tig"), *[F.col(f"_at{r}").alias(f"_at{r}_{end}") for r in levels])
+        out = lookup(out, side, {f"tig{end}_id": "_tig"}, genome.n_tigs, "left")
+    outside = F.raise_error(F.lit("pixel lies outside the matrix")).cast("bigint")
+
+    def coarse(end: str, res: int):
+        place = F.expr(f"_at{res}_{end} + (bin{end}_id - _at{from_res}_{end}) div {res // from_res}")
+        return F.coalesce(place, outside).alias(f"bin{end}_id")
+
+    each = F.array(*[F.struct(F.lit(r).cast("bigint").alias("res"), coarse("1", r), coarse("2", r)) for r in to_res])
+    keys = ["res", "bin1_id", "bin2_id", "tig1_id", "tig2_id"]
+    seen = out.select(F.explode(each).alias("_level"), "tig1_id", "tig2_id", "count")
+    return seen.select("_level.*", "tig1_id", "tig2_id", "count").groupBy(*keys).agg(F.sum("count").alias("count"))
+
+
 def zoom_pixels(
     pixels: DataFrame, genome: Genome, from_res: int, to_res: int
 ) -> DataFrame:
-    """Sum pixels of ``from_res`` into the coarser ``to_res``."""
+    """Sum pixels of ``from_res`` into the coarser ``to_res``.
+
+    Pixels that carry their contigs keep them; others are located first.
+    """
     if to_res % from_res or to_res <= from_res:
         raise ResolutionError(f"{to_res} is not a larger multiple of {from_res}")
-    fine, n_fine = genome.bins(from_res), genome.n_bins(from_res)
-    coarse = genome.offsets(to_res).select("tig_id", F.col("chrom_offset").alias("_first"))
-    moved = lookup(fine, coarse, {"tig_id": "tig_id"}, genome.n_tigs).select(
-        "bin_id", F.expr(f"_first + start div {to_res}").alias("_new")
-    )
-    out = pixels
-    for end in "12":
-        side = moved.select(F.col("bin_id").alias("_old"), F.col("_new").alias(f"_new{end}"))
-        out = lookup(out, side, {f"bin{end}_id": "_old"}, n_fine, "left")
-    outside = F.raise_error(F.lit("pixel lies outside the matrix"))
-    return (
-        out.select(
-            F.coalesce("_new1", outside.cast("bigint")).alias("bin1_id"),
-            F.coalesce("_new2", outside.cast("bigint")).alias("bin2_id"),
-            "count",
-        )
-        .groupBy("bin1_id", "bin2_id")
-        .agg(F.sum("count").alias("count"))
-    )
+    if "tig1_id" in pixels.columns:
+        return pyramid(pixels, genome, from_res, [to_res]).drop("res")
+    return pyramid(locate(pixels, genome, from_res), genome, from_res, [to_res]).select("bin1_id", "bin2_id", "count")
 
 
 def balanced_pixels(pixels: DataFrame, weights: DataFrame, n_bins: int) -> DataFrame:

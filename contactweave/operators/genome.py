@@ -77,12 +77,12 @@ class Genome:
         )
 
     def names(self, res: int) -> DataFrame:
-        """Name lookup used to place a position: tig_name, length, chrom_offset."""
+        """Name lookup used to place a position: tig_id, tig_name, length, chrom_offset."""
         table = self.offsets(res)
         if not self.unique_names:
             kept = last_name_wins(self.contigs).select(F.col("tig_id").alias("_kept"))
             table = table.join(kept, F.col("tig_id") == F.col("_kept"), "left_semi")
-        return table.select("tig_name", "length", "chrom_offset")
+        return table.select("tig_id", "tig_name", "length", "chrom_offset")
 
     def names_fit(self, res: int) -> bool:
         return fits_broadcast(self.names(res), self.n_tigs, self.longest_name)

@@ -8,32 +8,45 @@ import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..errors import ContactWeaveError, MatrixIndexError, ResolutionError
+from ..plans.storage import materialize, new_scratch_path, remove
 from ..plans.zoom_order import checked_zoom_plan
-from ..sources.matrix_store import MatrixStore
+from ..sources.matrix_store import Level, MatrixStore
 from . import balance as bal, contacts as ct, genome as gn, region as rg, scaffold as sc
 from .genome import Genome
 
 
 class Matrix:
-    """Handle on a matrix folder; every method reads the stored tables lazily."""
+    """Handle on a matrix folder; every method reads the stored tables lazily.
+
+    What a method stores counts for other handles once it has ended: a method
+    that fails leaves the folder as it was.
+    """
 
     def __init__(self, store: MatrixStore, genome: Genome):
         self.store, self.genome = store, genome
         self.spark = store.spark
-        self._levels = store.levels()
 
     # Opening and building
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> "Matrix":
-        store = MatrixStore(spark, root)
+        store = MatrixStore(spark, root).load()
         return cls(store, Genome.from_contigs(store.contigs()))
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, genome: Genome, overwrite: bool = True) -> "Matrix":
+    def _begin(cls, spark: SparkSession, root: str, genome: Genome, overwrite: bool = True) -> "Matrix":
         store = MatrixStore(spark, root)
-        store.create(genome.contigs, overwrite)
-        return cls(store, Genome(store.contigs(), genome.n_tigs, genome.longest_name, genome.unique_names))
+        if not overwrite and store.exists():
+            raise ContactWeaveError(f"{root} already holds a matrix")
+        contigs = store.write_contigs(genome.contigs)
+        return cls(store, Genome(contigs, genome.n_tigs, genome.longest_name, genome.unique_names))
+
+    @classmethod
+    def create(cls, spark: SparkSession, root: str, genome: Genome, overwrite: bool = True) -> "Matrix":
+        """A matrix without any level."""
+        matrix = cls._begin(spark, root, genome, overwrite)
+        matrix.store.publish()
+        return matrix
 
     @classmethod
     def build(
@@ -46,37 +59,65 @@ class Matrix:
         strategy: str | None = None,
         boundary: str = "clamp",
     ) -> "Matrix":
-        """Bin pairs at the first resolution, sum up the others, balance them all."""
+        """Bin pairs at the first resolution, sum up the others, balance them all.
+
+        A matrix already in the folder is read until the new one is whole.
+        """
         wanted = list(resolutions)
         if not wanted or min(wanted) <= 0:
             raise ResolutionError("resolutions must be positive")
         checked_zoom_plan(wanted[:1], wanted[1:])
-        matrix = cls.create(spark, root, Genome.from_lengths(lengths))
-        matrix.add_level(wanted[0], ct.contact_pixels(pairs, matrix.genome, wanted[0], boundary))
-        matrix.zoom(wanted[1:])
-        matrix.balance(wanted, strategy)
+        matrix = cls._begin(spark, root, Genome.from_lengths(lengths))
+        first = ct.located_pixels(pairs, matrix.genome, wanted[0], boundary)
+        matrix._store_level(wanted[0], materialize(first, "pixels"))
+        matrix._store_coarser(wanted[1:])
+        matrix._store_weights(wanted, strategy)
+        matrix.store.publish()
         return matrix
 
     def add_level(self, res: int, pixels: DataFrame) -> None:
-        if res in self._levels:
+        if res in self.store.levels:
             raise ResolutionError(f"resolution {res} is already stored")
-        n_bins = self.genome.n_bins(res)
-        self.store.start_level(res)
+        if "tig1_id" not in pixels.columns:
+            pixels = ct.locate(pixels, self.genome, res)
+        self._store_level(res, materialize(pixels, "pixels"))
+        self.store.publish()
+
+    def _store_level(self, res: int, pixels: DataFrame) -> None:
+        """``pixels`` come from a stored table: they are counted, sampled and written."""
+        n_bins, n_pixels = self.genome.n_bins(res), pixels.count()
         bins = self.store.write_table(res, "bins", self.genome.bins(res))
         self.store.write_table(res, "tig_index", self.genome.tig_index(res))
-        stored = self.store.write_pixels(res, pixels)
+        stored = self.store.write_pixels(res, pixels, n_bins, n_pixels)
         self.store.write_table(res, "bin_index", gn.bin_index(stored, bins, n_bins))
-        n_pixels = stored.count()
-        self.store.finish_level(res, n_bins, n_pixels)
-        self._levels[res] = (n_bins, n_pixels)
 
     def zoom(self, resolutions: Iterable[int]) -> None:
-        """Add coarser levels, each from the largest level that divides it."""
-        for source, target in checked_zoom_plan(self._levels, resolutions):
-            self.add_level(target, ct.zoom_pixels(self.pixels(source), self.genome, source, target))
+        """Add coarser levels, each from the largest stored level that divides it; one scan for each of those."""
+        self._store_coarser(resolutions)
+        self.store.publish()
+
+    def _store_coarser(self, resolutions: Iterable[int]) -> None:
+        have = sorted(self.store.levels)
+        sources: dict[int, list[int]] = {}
+        for _, target in checked_zoom_plan(have, resolutions):
+            sources.setdefault(max(r for r in have if target % r == 0), []).append(target)
+        for source, targets in sources.items():
+            path = new_scratch_path(self.spark, "pyramid")
+            levels = ct.pyramid(self.tiled_pixels(source), self.genome, source, targets)
+            levels.write.partitionBy("res").parquet(path)
+            stored = self.spark.read.schema(levels.schema).parquet(path)
+            for target in targets:
+                self._store_level(target, stored.where(F.col("res") == target).drop("res"))
+            remove(self.spark, path)
 
     def balance(self, resolutions: Iterable[int], strategy: str | None) -> list[int]:
         """Store weights and name the resolutions that got some."""
+        done = self._store_weights(resolutions, strategy)
+        if done:
+            self.store.publish()
+        return done
+
+    def _store_weights(self, resolutions: Iterable[int], strategy: str | None) -> list[int]:
         done = []
         for res in resolutions:
             weights = bal.balance_weights(self.pixels(res), self.genome, res, strategy)
@@ -90,22 +131,27 @@ class Matrix:
         for res in self.resolutions():
             best = sc.trans_max(self.pixels(res), self._facts(res, cutoff), self.n_bins(res))
             self.store.write_table(res, "max_vals", best)
+        self.store.publish()
 
     # Accessors
 
     def resolutions(self) -> list[int]:
-        return sorted(self._levels)
+        return sorted(self.store.levels)
 
-    def _sizes(self, res: int) -> tuple[int, int]:
-        if res not in self._levels:
+    def _sizes(self, res: int) -> Level:
+        if res not in self.store.levels:
             raise ResolutionError(f"resolution {res} is not stored, only {self.resolutions()}")
-        return self._levels[res]
+        return self.store.levels[res]
 
     def n_bins(self, res: int) -> int:
-        return self._sizes(res)[0]
+        return self._sizes(res).n_bins
 
     def n_pixels(self, res: int) -> int:
-        return self._sizes(res)[1]
+        return self._sizes(res).n_pixels
+
+    def tile_bins(self, res: int) -> int:
+        """Bins a side of a pixel tile."""
+        return self._sizes(res).tile_bins
 
     @property
     def n_contigs(self) -> int:
@@ -127,6 +173,10 @@ class Matrix:
         return self.store.table(res, name)
 
     def pixels(self, res: int) -> DataFrame:
+        return self._table(res, "pixels").select("bin1_id", "bin2_id", "count")
+
+    def tiled_pixels(self, res: int) -> DataFrame:
+        """Pixels with the contigs of their bins and their tile."""
         return self._table(res, "pixels")
 
     def tig_index(self, res: int) -> DataFrame:
@@ -160,7 +210,7 @@ class Matrix:
     def pixel_slice(self, res: int, start: int, end: int) -> DataFrame:
         if end > self.n_pixels(res):
             raise MatrixIndexError(f"slice [{start}, {end}) does not fit {self.n_pixels(res)} pixels")
-        return rg.pixel_slice(self.pixels(res), self.bin_index(res), start, end)
+        return rg.pixel_slice(self.tiled_pixels(res), self.bin_index(res), start, end, self.n_bins(res), self.tile_bins(res))
 
     def balanced_pixels(self, res: int) -> DataFrame:
         return ct.balanced_pixels(self.pixels(res), self.weights(res), self.n_bins(res))
@@ -172,23 +222,24 @@ class Matrix:
     def iter_pixels(self, res: int) -> Iterator[Row]:
         """Rows in stored order, one row range at a time on the driver.
 
-        Pixels are stored in that order by ranges of bin1_id, so each range is
-        read by a pruned scan and sorted on its own.  Work at scale goes over
-        the ``pixels`` DataFrame instead.
+        A range reads the tiles of its rows and is sorted on its own.  Work at
+        scale goes over the ``pixels`` DataFrame instead.
         """
         n = self.n_bins(res)
         step = max(1, n // (1 + self.n_pixels(res) // 1_000_000))
         for low in range(0, n + 1, step):
-            part = self.pixels(res).where((F.col("bin1_id") >= low) & (F.col("bin1_id") < low + step))
-            yield from part.sort("bin1_id", "bin2_id").toLocalIterator()
+            part = rg.upper_rectangle(self.tiled_pixels(res), low, low + step, low, n + 1, self.tile_bins(res))
+            yield from part.select("bin1_id", "bin2_id", "count").sort("bin1_id", "bin2_id").toLocalIterator()
 
     # Rectangles and rows
 
     def rectangle(self, res: int, i0: int, i1: int, j0: int, j1: int) -> DataFrame:
-        return rg.rectangle(self.pixels(res), self.n_bins(res), i0, i1, j0, j1)
+        return rg.rectangle(self.tiled_pixels(res), self.n_bins(res), i0, i1, j0, j1, self.tile_bins(res))
 
     def balanced_rectangle(self, res: int, i0: int, i1: int, j0: int, j1: int) -> DataFrame:
-        return rg.balanced_rectangle(self.pixels(res), self.weights(res), self.n_bins(res), i0, i1, j0, j1)
+        return rg.balanced_rectangle(
+            self.tiled_pixels(res), self.weights(res), self.n_bins(res), i0, i1, j0, j1, self.tile_bins(res)
+        )
 
     def balanced_array(self, res: int, i0: int, i1: int, j0: int, j1: int) -> np.ndarray:
         return rg.to_dense(self.balanced_rectangle(res, i0, i1, j0, j1), i0, i1, j0, j1)
@@ -198,10 +249,12 @@ class Matrix:
         return rg.dense_rectangle(self.balanced_rectangle(res, i0, i1, j0, j1), i0, i1, j0, j1)
 
     def balanced_row(self, res: int, row: int) -> DataFrame:
-        return rg.balanced_row(self.pixels(res), self.weights(res), self.n_bins(res), row)
+        return rg.balanced_row(self.tiled_pixels(res), self.weights(res), self.n_bins(res), row, self.tile_bins(res))
 
     def dense_row(self, res: int, row: int) -> DataFrame:
-        return rg.dense_row(self.pixels(res), self.weights(res), self.bins(res), self.n_bins(res), row)
+        return rg.dense_row(
+            self.tiled_pixels(res), self.weights(res), self.bins(res), self.n_bins(res), row, self.tile_bins(res)
+        )
 
     dense_column = dense_row  # the matrix is symmetric
 
@@ -220,7 +273,7 @@ class Matrix:
         """Best neighbour of every contig end, or of those of one contig; needs stored trans maxima."""
         rows = None if name is None else self._end_bins(res, name)
         return sc.best_neighbors(
-            self.pixels(res), self._facts(res, cutoff), self.best_trans_weights(res), self.n_bins(res), rows
+            self.tiled_pixels(res), self._facts(res, cutoff), self.best_trans_weights(res), self.n_bins(res), rows, self.tile_bins(res)
         )
 
     def neighbor_names(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..errors import MatrixIndexError
 from ..plans.lookups import lookup
+from ..plans.tiles import tiles_over
 
 
 def check_range(n_bins: int, i0: int, i1: int, j0: int, j1: int) -> None:
@@ -34,37 +35,54 @@ def symmetric(pixels: DataFrame) -> DataFrame:
     return upper.unionByName(lower)
 
 
-def upper_rectangle(pixels: DataFrame, i0: int, i1: int, j0: int, j1: int) -> DataFrame:
-    """Stored pixels with bin1 in [i0, i1) and bin2 in [j0, j1)."""
+def upper_rectangle(
+    pixels: DataFrame, i0: int, i1: int, j0: int, j1: int, tile_bins: int | None = None
+) -> DataFrame:
+    """Stored pixels with bin1 in [i0, i1) and bin2 in [j0, j1).
+
+    ``tile_bins`` says that the pixels are laid out in tiles of that side;
+    then only the tiles the rectangle touches are read.
+    """
+    if tile_bins:
+        pixels = pixels.where(F.col("tile").isin(tiles_over(tile_bins, i0, i1, j0, j1)))
     return pixels.where(_within("bin1_id", i0, i1) & _within("bin2_id", j0, j1))
 
 
 def rectangle(
-    pixels: DataFrame, n_bins: int, i0: int, i1: int, j0: int, j1: int
+    pixels: DataFrame, n_bins: int, i0: int, i1: int, j0: int, j1: int, tile_bins: int | None = None
 ) -> DataFrame:
     """Cells of the full symmetric matrix with i in [i0, i1) and j in [j0, j1).
 
-    Both halves get the ranges on their stored columns, so each scan can skip
-    row groups by bin1_id.  Only bin1 <= bin2 is stored, which narrows the
-    ranges further: one row reads its own pixels and those of earlier rows.
+    Both halves get the ranges on their stored columns.  Only bin1 <= bin2 is
+    stored, which narrows the ranges further.  In a tiled store a row reads
+    the tiles of its own row and, for what is stored in other rows, those of
+    its column.
     """
     check_range(n_bins, i0, i1, j0, j1)
-    direct = upper_rectangle(pixels, i0, min(i1, j1), max(i0, j0), j1).select(
+    direct = upper_rectangle(pixels, i0, min(i1, j1), max(i0, j0), j1, tile_bins).select(
         F.col("bin1_id").alias("i"), F.col("bin2_id").alias("j"), "count"
     )
     flipped = (
-        upper_rectangle(pixels, j0, min(i1, j1), max(i0, j0), i1)
+        upper_rectangle(pixels, j0, min(i1, j1), max(i0, j0), i1, tile_bins)
         .where("bin1_id != bin2_id")
         .select(F.col("bin2_id").alias("i"), F.col("bin1_id").alias("j"), "count")
     )
     return direct.unionByName(flipped)
 
 
+def touching(pixels: DataFrame, bins: list[int], n_bins: int, tile_bins: int | None = None) -> DataFrame:
+    """Stored pixels with one of a few bins at either end; of a tiled store only their rows and columns of tiles."""
+    if tile_bins:
+        tiles = {t for b in bins for t in tiles_over(tile_bins, b, b + 1, b, n_bins) + tiles_over(tile_bins, 0, b + 1, b, b + 1)}
+        pixels = pixels.where(F.col("tile").isin(sorted(tiles)))
+    return pixels.where(F.col("bin1_id").isin(bins) | F.col("bin2_id").isin(bins))
+
+
 def balanced_rectangle(
-    pixels: DataFrame, weights: DataFrame, n_bins: int, i0: int, i1: int, j0: int, j1: int
+    pixels: DataFrame, weights: DataFrame, n_bins: int, i0: int, i1: int, j0: int, j1: int, tile_bins: int | None = None
 ) -> DataFrame:
     """Rectangle cells as i, j, value; only weights of the asked bins are joined."""
-    cells = rectangle(pixels, n_bins, i0, i1, j0, j1)
+    cells = rectangle(pixels, n_bins, i0, i1, j0, j1, tile_bins)
     rows = weights.where(_within("bin_id", i0, i1)).select(
         F.col("bin_id").alias("_i"), F.col("weight").alias("_wi")
     )
@@ -80,18 +98,20 @@ def finite(column: str):
     return ~F.isnan(column) & (F.abs(F.col(column)) != float("inf")) & F.col(column).isNotNull()
 
 
-def balanced_row(pixels: DataFrame, weights: DataFrame, n_bins: int, row: int) -> DataFrame:
+def balanced_row(
+    pixels: DataFrame, weights: DataFrame, n_bins: int, row: int, tile_bins: int | None = None
+) -> DataFrame:
     """Finite cells of one row as bin_id, value, in column order."""
     check_row(n_bins, row)
-    cells = balanced_rectangle(pixels, weights, n_bins, row, row + 1, 0, n_bins)
+    cells = balanced_rectangle(pixels, weights, n_bins, row, row + 1, 0, n_bins, tile_bins)
     return cells.where(finite("value")).select(F.col("j").alias("bin_id"), "value").orderBy("bin_id")
 
 
 def dense_row(
-    pixels: DataFrame, weights: DataFrame, bins: DataFrame, n_bins: int, row: int
+    pixels: DataFrame, weights: DataFrame, bins: DataFrame, n_bins: int, row: int, tile_bins: int | None = None
 ) -> DataFrame:
     """One row with every column: bin_id, value, zero where nothing finite is stored."""
-    held = balanced_row(pixels, weights, n_bins, row).select(
+    held = balanced_row(pixels, weights, n_bins, row, tile_bins).select(
         F.col("bin_id").alias("_held"), F.col("value").alias("_value")
     )
     return bins.select("bin_id").join(held, F.col("bin_id") == F.col("_held"), "left").select(
@@ -127,7 +147,9 @@ def to_dense(cells: DataFrame, i0: int, i1: int, j0: int, j1: int, value: str =
     return out
 
 
-def pixel_slice(pixels: DataFrame, index: DataFrame, start: int, end: int) -> DataFrame:
+def pixel_slice(
+    pixels: DataFrame, index: DataFrame, start: int, end: int, n_bins: int | None = None, tile_bins: int | None = None
+) -> DataFrame:
     """Pixels at positions [start, end) of the (bin1_id, bin2_id) order, with ``pos``.
 
     The row pointers name the bins whose pixels overlap the slice, and only
@@ -138,7 +160,9 @@ def pixel_slice(pixels: DataFrame, index: DataFrame, start: int, end: int) -> Da
         raise MatrixIndexError(f"slice [{start}, {end}) is empty")
     first = index.where(F.col("bin1_offset") <= start).agg(F.max("bin_id")).first()[0]
     last = index.where(F.col("bin1_offset") < end).agg(F.max("bin_id")).first()[0]
-    part = pixels.where(F.col("bin1_id").between(first, last))
+    if tile_bins:
+        pixels = upper_rectangle(pixels, first, last + 1, first, n_bins + 1, tile_bins)
+    part = pixels.where(F.col("bin1_id").between(first, last)).select("bin1_id", "bin2_id", "count")
     starts = index.where(F.col("bin_id").between(first, last)).select(
         F.col("bin_id").alias("_row"), F.col("bin1_offset").alias("_first")
     )

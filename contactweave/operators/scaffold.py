@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from ..plans.lookups import lookup, lookup_ends
 from ..plans.storage import materialize
 from .genome import Genome
-from .region import finite
+from .region import finite, touching
 
 # Fixed values of the method.
 LENGTH_CUTOFF = 100_000
 PRECISION = 1e-7
 
 NAN = float("nan")
+_FEW = 1_000  # bins that a filter on pixels lists
 
 
 def bin_facts(
@@ -76,46 +81,104 @@ def _trans_cells(pixels: DataFrame, facts: DataFrame, n_bins: int) -> DataFrame:
     return cells.select("w", "c.*").where(finite("w") & F.col("long_j")).drop("long_j")
 
 
+def two_best(at: np.ndarray, tig: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of each bin's strongest cell and of its strongest one with another contig.
+
+    Ties go to the lower contig.  The result of joined parts is that of the
+    joined results, so it can be taken in any order and as often as wanted.
+    """
+    order = np.lexsort((tig, -w, at))
+    at, tig = at[order], tig[order]
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])[: len(at)]
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(at))))
+    other = np.flatnonzero(tig != tig[starts][group])
+    second = other[np.unique(group[other], return_index=True)[1]]
+    return order[np.concatenate((starts, second))]
+
+
+_CELLS = "i long, j long, tig_i long, tig_j long, w double, is_first boolean, is_last boolean, mutual boolean"
+_HELD = 1 << 20  # cells a task holds before it thins them out
+
+
+def _mutual_and_best(cells: DataFrame) -> DataFrame:
+    """From one pass over ``cells``: the mutual ones as they are, and each bin's two best partners by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, kept = [], 0, 0
+
+        def thinned() -> pa.Table:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            return table.take(two_best(*(table.column(c).to_numpy() for c in ("i", "tig_j", "w"))))
+
+        def best(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from table.set_column(7, "mutual", pa.array(np.zeros(len(table), bool))).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            yield batch.filter(batch.column("mutual"))
+            parts.append(batch)
+            held += batch.num_rows
+            if held > kept + _HELD:
+                table = thinned()
+                if len(table) > 4 * _HELD:  # many bins: pass them on and start anew
+                    yield from best(table)
+                    table = table.slice(0, 0)
+                parts, held, kept = table.to_batches(), len(table), len(table)
+        if parts:
+            yield from best(thinned())
+
+    return cells.mapInArrow(run, _CELLS)
+
+
 def best_neighbors(
-    pixels: DataFrame, facts: DataFrame, max_vals: DataFrame, n_bins: int, rows: list[int] | None = None
+    pixels: DataFrame,
+    facts: DataFrame,
+    max_vals: DataFrame,
+    n_bins: int,
+    rows: list[int] | None = None,
+    tile_bins: int | None = None,
 ) -> DataFrame:
     """Best scaffold neighbour of every contig end: tig_id, end, neighbor_id, score.
 
-    ``rows`` names the bins at the ends of the contigs asked for, all if None;
-    pixels of other rows are then not read for the candidates.
-
     A cell of the row at a contig's first or last bin is a candidate if it is
     the strongest trans contact of both of its bins.  Its score compares it
     with the next strongest contact of the two bins that avoids both contigs;
     scores above one are kept and the best one wins, the first column on ties.
 
-    Candidates are found first.  The next strongest contact needs each bin's
-    two best partner contigs, and those are only taken of bins in candidates.
+    One pass over the pixels finds the candidates and, by a partial aggregate,
+    every bin's two best partners with different contigs.
+
+    ``rows`` names the bins at the ends of the contigs asked for.  Then a first
+    pass reads the pixels of those bins alone and a second one those of the
+    bins in candidates; with ``tile_bins`` both read only their tiles.
     """
     best = max_vals.select(F.col("bin_id").alias("_bin"), F.nanvl("max_val", F.lit(0.0)).alias("best"))
     known = facts.join(best, F.col("bin_id") == F.col("_bin")).drop("_bin")
-    at_ends = pixels if rows is None else pixels.where(F.col("bin1_id").isin(rows) | F.col("bin2_id").isin(rows))
-    cells = _trans_cells(at_ends, known, n_bins)
-    if rows is not None:
-        cells = cells.where(F.col("i").isin(rows))
     top = F.greatest("best_i", "best_j")
-    mutual = materialize(
-        cells.where((F.col("is_first") | F.col("is_last")) & (top != 0) & (top - F.col("w") < PRECISION)), "mutual"
-    )
-    touched = materialize(mutual.select(F.explode(F.array("i", "j")).alias("_row")).distinct(), "touched")
-    n_touched = touched.count()
-    held = _trans_cells(pixels, known, n_bins)
-    per_contig = lookup(held, touched, {"i": "_row"}, n_touched, "left_semi").groupBy("i", "tig_j").agg(F.max("w").alias("w"))
-    order = Window.partitionBy("i").orderBy(F.desc("w"), "tig_j")
-    top_two = (
-        per_contig.withColumn("_rn", F.row_number().over(order))
-        .where("_rn <= 2")
-        .groupBy("i")
-        .agg(
-            F.max(F.when(F.col("_rn") == 1, F.col("tig_j"))).alias("t1"),
-            F.max(F.when(F.col("_rn") == 1, F.col("w"))).alias("w1"),
-            F.max(F.when(F.col("_rn") == 2, F.col("w"))).alias("w2"),
-        )
+    is_mutual = (F.col("is_first") | F.col("is_last")) & (top != 0) & (top - F.col("w") < PRECISION)
+
+    def cells(part: DataFrame) -> DataFrame:
+        columns = ["i", "j", "tig_i", "tig_j", "w", "is_first", "is_last"]
+        return _trans_cells(part, known, n_bins).select(*columns, is_mutual.alias("mutual"))
+
+    if rows is None:
+        found = materialize(_mutual_and_best(cells(pixels)), "neighbors")
+        mutual, partial = found.where("mutual"), found.where("not mutual")
+    else:
+        ends = cells(touching(pixels, rows, n_bins, tile_bins)).where(F.col("i").isin(rows))
+        mutual = materialize(ends.where("mutual"), "mutual")
+        touched = materialize(mutual.select(F.explode(F.array("i", "j")).alias("_row")).distinct(), "touched")
+        few = [r["_row"] for r in touched.limit(_FEW + 1).collect()]
+        near = touching(pixels, few, n_bins, tile_bins) if len(few) <= _FEW else pixels
+        held = lookup(cells(near), touched, {"i": "_row"}, touched.count(), "left_semi")
+        partial = _mutual_and_best(held.withColumn("mutual", F.lit(False))).where("not mutual")
+    # a part gives a bin two rows at most
+    ranked = partial.groupBy("i").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("less"), F.col("tig_j").alias("tig")))).alias("_best"))
+    first = F.element_at("_best", 1)
+    other = F.filter("_best", lambda x: x["tig"] != F.col("t1"))
+    top_two = ranked.select("i", "_best", first["tig"].alias("t1"), (-first["less"]).alias("w1")).select(
+        "i", "t1", "w1", (-F.try_element_at(other, F.lit(1))["less"]).alias("w2")
     )
 
     scored = mutual
@@ -123,7 +186,7 @@ def best_neighbors(
         renamed = top_two.select(
             F.col("i").alias("_at"), *[F.col(c).alias(f"{c}_{side}") for c in ("t1", "w1", "w2")]
         )
-        scored = lookup(scored, renamed, {side: "_at"}, n_touched)
+        scored = lookup(scored, renamed, {side: "_at"}, n_bins)
     avoid_i = F.when(F.col("t1_i") == F.col("tig_j"), F.col("w2_i")).otherwise(F.col("w1_i"))
     avoid_j = F.when(F.col("t1_j") == F.col("tig_i"), F.col("w2_j")).otherwise(F.col("w1_j"))
     scored = (

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.tags import parse_tags
-from ..operators.contacts import contact_pixels
+from ..operators.contacts import located_pixels
 from ..operators.genome import Genome
 from ..operators.matrix import Matrix
 from ..plans.lookups import lookup
@@ -136,7 +136,7 @@ class SampleTables:
         """A stored matrix of all pairs with length weights at the asked resolutions."""
         for res in resolutions:
             if res not in self._matrix.resolutions():
-                self._matrix.add_level(res, contact_pixels(self.pairs(), self.genome, res))
+                self._matrix.add_level(res, located_pixels(self.pairs(), self.genome, res))
                 self._matrix.balance([res], "LEN")
         return self._matrix
 

@@ -1,17 +1,19 @@
 """Contigs, bins, pixels, zoom, rectangles and balancing on small matrices."""
 
 import math
+import os
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contactweave.errors import MatrixIndexError, NotBalancedError, ResolutionError
+from contactweave.errors import ContactWeaveError, MatrixIndexError, NotBalancedError, ResolutionError
 from contactweave.operators import balance as bal, contacts as ct, genome as gn, region as rg
 from contactweave.operators.genome import Genome
 from contactweave.operators.matrix import Matrix
-from contactweave.plans import ordering
+from contactweave.plans import ordering, tiles as tl
 from contactweave.schemas import PAIRS
 from contactweave.sources.matrix_store import dump_weights
 
@@ -231,8 +233,128 @@ def test_a_rebuilt_matrix_forgets_old_weights(spark, genome, tmp_path):
 
 def test_stored_pixels_prune_by_row_range(stored, spark):
     matrix, _, _ = stored
-    plan = matrix.rectangle(10, 2, 5, 10, 12)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("GreaterThanOrEqual(bin1_id") == 2
+    plan = lambda *box: matrix.rectangle(10, *box)._jdf.queryExecution().executedPlan().toString()
+    assert plan(2, 5, 10, 12).count("GreaterThanOrEqual(bin1_id") == 1  # nothing is stored below the diagonal
+    assert plan(2, 12, 5, 20).count("GreaterThanOrEqual(bin1_id") == 2
+
+
+@pytest.fixture(scope="module")
+def tiled(spark, tmp_path_factory):
+    """A stored matrix of 70 bins in tiles of 9."""
+    genome = Genome.from_lengths(lengths_of(spark, [("A", 300), ("B", 400)]))
+    matrix = Matrix.create(spark, str(tmp_path_factory.mktemp("t") / "x"), genome)
+    rows = random_matrix(70, 0.3, 5)
+    spark.conf.set("spark.contactweave.tilePixels", "30")
+    try:
+        matrix.add_level(10, pixels_of(spark, rows))
+        matrix.balance([10], "LEN")
+    finally:
+        spark.conf.unset("spark.contactweave.tilePixels")
+    return matrix, rows
+
+
+def tiles_read(df):
+    """Number of tiles that each scan of pixels opened, once ``df`` has run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    scans = [leaves.apply(k) for k in range(leaves.size())]
+    return [s.metrics().apply("numPartitions").value() for s in scans if s.metrics().contains("numPartitions")]
+
+
+def test_tiles_interleave_rows_and_columns(spark):
+    for side in (1, 3, 7):
+        table = spark.range(40).selectExpr("id as a", "id * 7 % 40 as b")
+        for r in table.select("a", "b", tl.tile_column("a", "b", side).alias("t")).collect():
+            assert r.t == tl.tile_number(r.a // side, r.b // side)
+    assert len({tl.tile_number(r, c) for r in range(129) for c in range(129)}) == 129 * 129
+    assert tl.tile_bins(0, 0, 10) == 1 and tl.tile_bins(1000, 5, 10) == 1000
+    assert tl.tile_bins(10**7, 10**12, 16_000_000) == -(-(10**7) // 128)
+    assert tl.tiles_over(10, 5, 5, 0, 9) == [] and tl.tiles_over(10, 15, 25, 0, 9) == []
+
+
+def test_a_row_reads_one_row_and_one_column_of_tiles(tiled):
+    matrix, rows = tiled
+    side = matrix.tile_bins(10)
+    assert 70 // side >= 7
+    assert tiles_read(matrix.tiled_pixels(10))[0] > 25
+    full = dense(rows, 70)
+    for row in (0, 35, 69):
+        own, last = row // side, 69 // side
+        cells = matrix.rectangle(10, row, row + 1, 0, 70)
+        right, above = (tiles_read(cells) + [0])[:2]
+        assert right <= last - own + 1 and above <= own + 1
+        assert [r.bin_id for r in matrix.balanced_row(10, row).collect()] == np.flatnonzero(full[row]).tolist()
+    box = (10, 20, 30, 45)
+    assert (rg.to_dense(matrix.rectangle(10, *box), *box, value="count") == full[10:20, 30:45]).all()
+    assert sum(tiles_read(matrix.rectangle(10, *box))) <= 9
+    assert [(r.bin1_id, r.bin2_id, r["count"]) for r in matrix.iter_pixels(10)] == sorted(rows)
+    got = matrix.pixel_slice(10, 50, 300)
+    assert [(r.bin1_id, r.bin2_id, r["count"]) for r in got.orderBy("pos").collect()] == sorted(rows)[50:300]
+
+
+def test_touching_reads_the_tiles_of_its_bins(tiled):
+    matrix, rows = tiled
+    got = rg.touching(matrix.tiled_pixels(10), [3, 50], 70, matrix.tile_bins(10))
+    assert triples(got.select("bin1_id", "bin2_id", "count")) == sorted(r for r in rows if {3, 50} & set(r[:2]))
+    assert tiles_read(got)[0] <= 2 * (69 // matrix.tile_bins(10) + 1)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_pyramid_sums_all_levels_in_one_scan(spark, large):
+    rng = random.Random(8)
+    tigs = [("A", 95), ("B", 230), ("C", 120), ("D", 5)]
+    rows = [(f"r{i}", *(x for t in (rng.choice(tigs), rng.choice(tigs)) for x in (t[0], rng.randint(0, t[1])))) for i in range(800)]
+    genome = Genome.from_lengths(lengths_of(spark, tigs))
+    pairs = pairs_of(spark, rows)
+    if large:
+        spark.conf.set("spark.contactweave.broadcastBytes", "1")
+    try:
+        levels = ct.pyramid(ct.located_pixels(pairs, genome, 10), genome, 10, [20, 50, 60])
+        plan = levels._jdf.queryExecution().optimizedPlan().toString()
+        assert "bin_id" not in plan and plan.count("Generate explode") == 1
+        for res in (20, 50, 60):
+            got = levels.where(F.col("res") == res)
+            assert triples(got.select("bin1_id", "bin2_id", "count")) == triples(ct.contact_pixels(pairs, genome, res))
+            bins = {r.bin_id: r.tig_id for r in genome.bins(res).collect()}
+            assert all(bins[r.bin1_id] == r.tig1_id and bins[r.bin2_id] == r.tig2_id for r in got.collect())
+    finally:
+        spark.conf.unset("spark.contactweave.broadcastBytes")
+
+
+def folders(root):
+    return set(os.listdir(f"{root}/data"))
+
+
+def test_a_failed_build_leaves_the_matrix_as_it_was(spark, tmp_path):
+    root, lengths = str(tmp_path / "m"), lengths_of(spark, [("A", 100), ("B", 80)])
+    good = pairs_of(spark, [("r", "A", 1, "B", 2), ("s", "A", 50, "A", 99)])
+    Matrix.build(spark, root, good, lengths, [10, 20], "LEN")
+    before = triples(Matrix.open(spark, root).pixels(20))
+    for bad, message in ((pairs_of(spark, [("r", "A", 1, "B", 2), ("t", "A", -5, "B", 1)]), "negative"),):
+        with pytest.raises(Exception, match=message):
+            Matrix.build(spark, root, bad, lengths, [10, 40], "LEN")
+    again = Matrix.open(spark, root)
+    assert again.resolutions() == [10, 20] and triples(again.pixels(20)) == before
+    assert again.weights(10).count() == 18
+
+
+def test_versions_are_switched_last_and_cleared(spark, tmp_path):
+    root, lengths = str(tmp_path / "m"), lengths_of(spark, [("A", 100)])
+    pairs = [pairs_of(spark, [("r", "A", k, "A", 99)]) for k in (1, 30, 60)]
+    first = Matrix.build(spark, root, pairs[0], lengths, [10])
+    reader = Matrix.open(spark, root).pixels(10)
+    Matrix.build(spark, root, pairs[1], lengths, [10])
+    assert triples(reader) == [(0, 9, 1)]  # the version before still answers
+    assert triples(Matrix.open(spark, root).pixels(10)) == [(3, 9, 1)]
+    kept = folders(root)
+    Matrix.build(spark, root, pairs[2], lengths, [10])
+    assert not set(first.store.folders.values()) & folders(root) and len(folders(root)) == len(kept)
+    assert triples(Matrix.open(spark, root).pixels(10)) == [(6, 9, 1)]
+    with pytest.raises(ContactWeaveError, match="already holds"):
+        Matrix.create(spark, root, first.genome, overwrite=False)
+    with pytest.raises(ContactWeaveError, match="no matrix"):
+        Matrix.open(spark, str(tmp_path / "none"))
 
 
 def numpy_weights(rows, tig_of, n, iters=400):
@@ -270,6 +392,7 @@ def test_iterative_weights_match_numpy(spark, large, monkeypatch):
     if large:
         monkeypatch.setattr(ordering, "SMALL", -1)
         spark.conf.set("spark.contactweave.broadcastBytes", "1")
+    monkeypatch.setattr(bal, "BLOCK_BINS", 4)
     try:
         got = bal.iterative_weights(pixels_of(spark, rows), genome, 10)
         np.testing.assert_allclose([r.weight for r in got.orderBy("bin_id").collect()], want, rtol=1e-9)
@@ -277,6 +400,46 @@ def test_iterative_weights_match_numpy(spark, large, monkeypatch):
         spark.conf.unset("spark.contactweave.broadcastBytes")
 
 
+def nodes_above_scan(plan, column):
+    """Lines of a plan from the nearest join down to the scan of a table with ``column``."""
+    lines = [(re.search(r"[A-Za-z*]", line).start(), line) for line in plan.splitlines() if re.search(r"[A-Za-z]", line)]
+    at = next(k for k, (_, line) in enumerate(lines) if "FileScan parquet" in line and column in line)
+    path, indent = [lines[at][1]], lines[at][0]
+    for depth, line in reversed(lines[:at]):
+        if depth < indent:
+            path, indent = [line, *path], depth
+            if "Join" in line:
+                break
+    return path
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_a_round_moves_biases_and_no_contacts(spark, large):
+    rows = random_matrix(64, 0.5, 6)
+    if large:
+        spark.conf.set("spark.contactweave.broadcastBytes", "1")
+    try:
+        blocks = bal.BlockedContacts(pixels_of(spark, rows), 64)
+        try:
+            bias = spark.range(64).selectExpr("id as bin_id", "1.0D + id as bias")
+            sums = blocks.sums(bias)
+            full = dense(rows, 64)
+            for r in rows:
+                if r[0] == r[1]:
+                    full[r[0], r[0]] = 2 * r[2]  # a diagonal contact is seen from both of its ends
+            b = 1.0 + np.arange(64)
+            want = (full * b[:, None] * b[None, :]).sum(1)
+            got = {r["_bin"]: r["_sum"] for r in sums.collect()}
+            np.testing.assert_allclose([got[k] for k in range(64)], want)
+            text = sums._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            above = nodes_above_scan(text, "count#")
+            assert "Join" in above[0] and not any("Exchange" in n for n in above[1:])
+        finally:
+            blocks.drop()
+    finally:
+        spark.conf.unset("spark.contactweave.broadcastBytes")
+
+
 def test_nothing_left_to_balance(spark, genome, tmp_path):
     pixels = pixels_of(spark, [(0, 6, 1)])
     assert bal.iterative_weights(pixels, genome, 10) is None
