@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import operator
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from ..plans.ordering import global_rank
-from ..plans.storage import AlternatingTable, materialize
+from ..plans.storage import materialize, new_scratch_path
 
 MAX_MISMATCH = 3
 MODES = ("greedy", "any_earlier")
@@ -80,10 +87,10 @@ def dedup_pairs(
     on the same contigs and strands lies within the tolerance at both ends.
     ``any_earlier`` drops it if any earlier pair does.
 
-    The greedy scan runs in order over the pairs that have a conflict, one
-    range of them a task.  Where a range starts within the tolerance of the one
-    before, it is scanned again with what that one kept, until nothing
-    changes: rounds count the ranges that a chain of decisions crosses.
+    The greedy scan streams through ranges of the sorted pairs, one range a
+    task.  Where a range starts within the tolerance of the one before, it is
+    scanned again with what that one kept; only ranges for which that changed
+    take part in a further round.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -93,89 +100,140 @@ def dedup_pairs(
     if max_mismatch == 0:
         return places.select(*pairs.columns)
     places = materialize(places, "places")
-    conflicts = near_earlier(places, max_mismatch)
     if mode == "any_earlier":
-        dropped = conflicts.select("ord").distinct()
+        dropped = near_earlier(places, max_mismatch).select("ord").distinct()
     else:
-        dropped = _greedy_drops(places, conflicts, max_mismatch)
+        dropped = _greedy_drops(places, max_mismatch)
     return places.join(dropped, "ord", "left_anti").select(*pairs.columns)
 
 
-_SCAN = "part int, kind string, ord bigint, tig1 string, tig2 string, strand1 string, strand2 string, pos1 bigint, pos2 bigint"
+_RANGE = [("part", pa.int32()), ("own", pa.bool_())] + [(k, pa.string()) for k in _KEYS]
+_RANGE += [("pos1", pa.int64()), ("pos2", pa.int64()), ("ord", pa.int64()), ("dropped", pa.bool_())]
+_RANGE_DDL = "part int, own boolean, tig1 string, tig2 string, strand1 string, strand2 string, pos1 bigint, pos2 bigint, ord bigint, dropped boolean"
+_WINDOW_LEAST = 1_024
+
+
+class _Window:
+    """Kept pairs of one group that a pair at the current place can still conflict with.
+
+    Cells are one tolerance wide in pos2.  Of two kept pairs in a cell the
+    earlier one is out of reach, so a cell holds one.
+    """
+
+    def __init__(self, n: int):
+        self.n, self.most = n, _WINDOW_LEAST
+        self.cells: dict[int, tuple[int, int]] = {}
+
+    def hit(self, pos1: int, pos2: int) -> bool:
+        cell, n = pos2 // (self.n + 1), self.n
+        for c in (cell - 1, cell, cell + 1):
+            k = self.cells.get(c)
+            if k and pos1 - k[0] <= n and -n <= pos2 - k[1] <= n:
+                return True
+        return False
+
+    def keep(self, pos1: int, pos2: int) -> None:
+        self.cells[pos2 // (self.n + 1)] = pos1, pos2
+        if len(self.cells) > self.most:
+            self.cells = {c: k for c, k in self.cells.items() if pos1 - k[0] <= self.n}
+            self.most = max(_WINDOW_LEAST, 2 * len(self.cells))
 
 
-def _scan(table: pa.Table, n: int) -> pa.Table:
-    """Scan one range after the pairs kept just before it.
+def scan_ranges(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with ``dropped``, and behind each range what it kept within ``n`` of its last place.
 
-    Returns the ``ord`` of dropped pairs, and as ``carry`` the kept pairs that
-    lie within ``n`` of the range's last place, which the next range needs.
+    Rows that are not ``own`` are what the range before kept; they come first.
+    Pairs with no other in reach are kept without being looked at one by one,
+    and only the window of the others is held.
     """
-    rows = table.to_pylist()
-    before = [r for r in rows if r["kind"] == "carry"]
-    own = sorted((r for r in rows if r["kind"] == "own"), key=lambda r: (*(r[k] for k in _KEYS), r["pos1"], r["pos2"], r["ord"]))
-    group = None
-    size = n + 1  # of grid cells: no two kept pairs of one group share a cell
-
-    def near(r: dict):
-        a, b = r["pos1"] // size, r["pos2"] // size
-        for x in (a - 1, a):
-            for y in (b - 1, b, b + 1):
-                yield from cells.get((x, y), ())
-
-    def keep(r: dict) -> None:
-        cells.setdefault((r["pos1"] // size, r["pos2"] // size), []).append(r)
-
-    out: list[dict] = []
-    kept: list[dict] = []
-    cells: dict[tuple[int, int], list[dict]] = {}
-    for r in own:
-        key = tuple(r[k] for k in _KEYS)
-        if key != group:
-            group, cells, kept = key, {}, []
-            for c in before:
-                if tuple(c[k] for k in _KEYS) == key:
-                    keep(c)
-                    kept.append(c)
-        hit = any(0 <= r["pos1"] - k["pos1"] <= n and abs(r["pos2"] - k["pos2"]) <= n for k in near(r))
-        if hit:
-            out.append(r | {"kind": "drop"})
-        else:
-            keep(r)
-            kept.append(r)
-    if own:
-        end = own[-1]["pos1"]
-        out += [r | {"kind": "carry", "part": own[-1]["part"]} for r in kept if end - r["pos1"] <= n]
-    return pa.Table.from_pylist(out, schema=table.schema)
-
-
-def _greedy_drops(places: DataFrame, conflicts: DataFrame, n: int) -> DataFrame:
-    """``ord`` of the pairs a sorted scan drops; only pairs with a conflict are scanned."""
+    window, last = _Window(n), None
+
+    def carry() -> pa.RecordBatch:
+        part, keys, end = last
+        rows = [(part, False, *keys, *k, None, False) for k in sorted(window.cells.values()) if end - k[0] <= n]
+        columns = zip(*rows) if rows else [[] for _ in _RANGE]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _RANGE)], [c for c, _ in _RANGE])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts = batch.column("part").to_numpy()
+        for at, end in itertools.pairwise([0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]):
+            rows = batch.slice(at, end - at)
+            part, keys = int(parts[at]), tuple(rows.column(k)[0].as_py() for k in _KEYS)
+            if last and last[0] != part:
+                yield carry()
+                window, last = _Window(n), None
+            pos1, pos2, own = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("pos1", "pos2", "own"))
+            fresh = np.ones(len(pos1), bool)
+            fresh[0] = last is None or last[1] != keys or pos1[0] - last[2] > n
+            near = pos1[1:] - pos1[:-1] <= n
+            for k in _KEYS:
+                column = rows.column(k)
+                near &= pc.equal(column.slice(1), column.slice(0, len(near))).to_numpy(zero_copy_only=False)
+            fresh[1:] = ~near
+            alone = fresh.copy()
+            alone[:-1] &= fresh[1:]
+            alone[-1] = False  # what follows is not known
+            dropped = np.zeros(len(pos1), bool)
+            for i in np.flatnonzero(~alone).tolist():
+                a, b = int(pos1[i]), int(pos2[i])
+                if fresh[i]:
+                    window = _Window(n)
+                if own[i] and window.hit(a, b):
+                    dropped[i] = True
+                else:
+                    window.keep(a, b)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:9], pa.array(dropped)], [c for c, _ in _RANGE]).filter(pa.array(own))
+            last = part, tuple(rows.column(k)[len(pos1) - 1].as_py() for k in _KEYS), int(pos1[-1])
+    if last:
+        yield carry()
+
+
+def _greedy_drops(places: DataFrame, n: int) -> DataFrame:
+    """``ord`` of the pairs a sorted scan drops; pairs with a null place conflict with nothing."""
     spark = places.sparkSession
-    touched = conflicts.select(F.explode(F.array("ord", "earlier")).alias("ord")).distinct()
+    names = [c for c, _ in _RANGE]
     order = [*_KEYS, "pos1", "pos2", "ord"]
-    ranges = materialize(
-        places.join(touched, "ord", "left_semi")
-        .select("ord", *_KEYS, "pos1", "pos2")
-        .repartitionByRange(*order)
-        .withColumn("part", F.spark_partition_id())
-        .withColumn("kind", F.lit("own")),
-        "ranges",
+
+    def scanned(rows: DataFrame) -> DataFrame:
+        """Stored by range, so that a range can be read alone."""
+        path = new_scratch_path(spark, "ranges")
+        rows.mapInArrow(lambda batches: scan_ranges(batches, n), _RANGE_DDL).write.partitionBy("part").parquet(path)
+        return spark.read.schema(_RANGE_DDL).parquet(path).select(*names)
+
+    dealt = places.dropna(subset=_PLACE).select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    first = scanned(dealt.select(F.spark_partition_id().alias("part"), F.lit(True).alias("own"), *order, F.lit(False).alias("dropped")))
+    # a short row for each range
+    starts = sorted(
+        first.where("own").groupBy("part").agg(F.min(F.struct(*_KEYS, "pos1")).alias("s")).select("part", "s.*").collect()
     )
-    # ranges that hold rows, each with the one before it
-    previous = Window.orderBy("part")
-    follows = (
-        ranges.groupBy("part").agg(F.count(F.lit(1)).alias("_n")).select(F.col("part").alias("_next"), F.lag("part").over(previous).alias("_before"))
-    )  # one row per range
-    follows = materialize(follows, "follows")
-    names = [c.split()[0] for c in _SCAN.split(", ")]
-    state, done = AlternatingTable(spark, "scan"), None
-    result = state.replace(ranges.select(*names).groupBy("part").applyInArrow(lambda t: _scan(t, n), _SCAN))
+    if not starts:
+        return first.where("dropped").select("ord")
+    follows = spark.createDataFrame(
+        [(b.part, *a[1:], a.part) for b, a in itertools.pairwise(starts)],
+        "before int, first1 string, first2 string, first3 string, first4 string, start bigint, next int",
+    )
+    same = [F.col(k) == F.col(f"first{i + 1}") for i, k in enumerate(_KEYS)]
+    tables, latest, used = [first], {r.part: 0 for r in starts}, {}
+
+    def newest(k: int) -> list[int]:
+        return [p for p, v in latest.items() if v == k]
+
     while True:
-        carried = result.where("kind = 'carry'")
-        mark = carried.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*names).cast("decimal(38,0)"))).first()
-        if mark == done:
-            return result.where("kind = 'drop'").select("ord")
-        done = mark
-        moved = carried.join(F.broadcast(follows), F.col("part") == F.col("_before")).withColumn("part", F.col("_next")).select(*names)
-        again = ranges.select(*names).unionByName(moved)
-        result = state.replace(again.groupBy("part").applyInArrow(lambda t: _scan(t, n), _SCAN))
+        state = None
+        for k, table in enumerate(tables):
+            if newest(k):
+                held = table.where(F.col("part").isin(newest(k)))
+                state = held if state is None else state.unionByName(held)
+        moved = state.where("not own").join(F.broadcast(follows), (F.col("part") == F.col("before")) & (F.col("start") - F.col("pos1") <= n) & functools.reduce(operator.and_, same))
+        moved = materialize(moved.select(F.col("next").alias("part"), "own", *order, "dropped"), "carried")
+        digest = F.sum(F.xxhash64(*_KEYS, "pos1", "pos2").cast("decimal(38,0)"))
+        asked = {r.part: (r.n, r.d) for r in moved.groupBy("part").agg(F.count(F.lit(1)).alias("n"), digest.alias("d")).collect()}
+        changed = [p for p in latest if asked.get(p) != used.get(p)]
+        if not changed:
+            return state.where("dropped").select("ord")
+        used = asked
+        again = state.where("own").where(F.col("part").isin(changed)).unionByName(moved.where(F.col("part").isin(changed)))
+        tables.append(scanned(again.repartition("part").sortWithinPartitions("part", "own", *order)))
+        latest |= {p: len(tables) - 1 for p in changed}

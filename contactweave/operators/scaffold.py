@@ -111,12 +111,13 @@ def _mutual_and_best(cells: DataFrame) -> DataFrame:
             return table.take(two_best(*(table.column(c).to_numpy() for c in ("i", "tig_j", "w"))))
 
         def best(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            yield from table.set_column(7, "mutual", pa.array(np.zeros(len(table), bool))).to_batches()
+            no = pa.chunked_array([pa.array(np.zeros(len(table), bool))])
+            yield from pa.Table.from_arrays([*table.columns[:7], no], names=table.column_names).to_batches()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            yield batch.filter(batch.column("mutual"))
+            yield pa.RecordBatch.from_arrays(batch.columns, batch.schema.names).filter(batch.column("mutual"))
             parts.append(batch)
             held += batch.num_rows
             if held > kept + _HELD:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
@@ -108,11 +109,55 @@ def test_any_small_input(spark, places):
 
 def test_a_long_chain_takes_a_few_rounds(spark, monkeypatch):
     rounds = []
-    replace = dd.AlternatingTable.replace
-    monkeypatch.setattr(dd.AlternatingTable, "replace", lambda self, df: rounds.append(1) or replace(self, df))
+    real = dd.new_scratch_path
+    monkeypatch.setattr(dd, "new_scratch_path", lambda s, label: rounds.append(label) or real(s, label))
     rows = [(f"r{i}", "a", i, "b", i, "+", "+") for i in range(400)]
     assert names(dd.dedup_pairs(df_of(spark, rows), 3)) == scan(rows, 3, True)
-    assert len(rounds) <= 12
+    assert rounds.count("ranges") <= 12
+
+
+def test_pairs_out_of_reach_take_one_round(spark, monkeypatch):
+    rounds = []
+    real = dd.new_scratch_path
+    monkeypatch.setattr(dd, "new_scratch_path", lambda s, label: rounds.append(label) or real(s, label))
+    rows = [(f"r{i}", "a", 10 * i, "b", i % 7, "+", "+") for i in range(400)]
+    assert len(names(dd.dedup_pairs(df_of(spark, rows), 3))) == 400
+    assert rounds.count("ranges") == 1
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_scan_holds_the_window_alone(size):
+    rng = random.Random(size)
+    keys = [("a", "b", "+", "+"), ("a", "c", "+", "-")]
+    places = sorted({(p, rng.choice(keys), rng.randint(0, 400), rng.randint(0, 30)) for p in (0, 1, 4) for _ in range(700)})
+    rows = [(p, True, *k, a, b, i, False) for i, (p, k, a, b) in enumerate(places)]
+    held = []
+    real = dd._Window.keep
+
+    def keep(self, a, b):
+        real(self, a, b)
+        held.append(len(self.cells))
+
+    dd._Window.keep, least = keep, dd._WINDOW_LEAST
+    dd._WINDOW_LEAST = 4
+    try:
+        table = pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), dd._RANGE)], [n for n, _ in dd._RANGE])
+        out = pa.Table.from_batches(dd.scan_ranges(iter(table.to_batches(max_chunksize=size)), 2)).to_pylist()
+    finally:
+        dd._Window.keep, dd._WINDOW_LEAST = real, least
+    kept, want = [], set()
+    for p, k, a, b in places:
+        if any(q == (p, k) and a - c <= 2 and abs(b - d) <= 2 for q, c, d in kept):
+            want.add((p, k, a, b))
+        else:
+            kept.append(((p, k), a, b))
+    place = lambda r: (r["part"], tuple(r[k] for k in dd._KEYS), r["pos1"], r["pos2"])
+    assert {place(r) for r in out if r["dropped"]} == want
+    assert sum(r["own"] for r in out) == len(rows)
+    ends = {p: max(x for x in places if x[0] == p) for p in (0, 1, 4)}
+    carried = sorted(place(r) for r in out if not r["own"])
+    assert carried == sorted((p, k, a, b) for (p, k), a, b in kept if ends[p][1] == k and ends[p][2] - a <= 2)
+    assert max(held) <= 30
 
 
 def test_chains_cross_ranges(spark):
