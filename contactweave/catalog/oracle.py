@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..sources.stats_report import LINES
 from .queries import MASK_RES, RES, SOURCE_NODE, ZOOM_RES
 
 _LENGTH = "cast(50000 + ((s_suppkey*7919) % 40)*5000 as bigint)"
@@ -492,6 +493,16 @@ ORACLE["conversion_stats"] = _with(
         }.items()
     ),
 )
+ORACLE["conversion_stats_observed"] = ORACLE["conversion_stats"]
+ORACLE["conversion_report"] = (
+    "select unnest(string_split("
+    + " || chr(10) || ".join(
+        f"'{label.strip(chr(10))}'" if key is None else f"'{label.strip(chr(10))} ' || \"{key}\""
+        for label, key in LINES
+    )
+    + f", chr(10))) as value from ({ORACLE['conversion_stats']}) s"
+    + " union all select '' from range({}) e(n)".format(sum(label.startswith("\n") for label, _ in LINES))
+)
 ORACLE["adjacent_reads"] = _with(
     ["alignments"],
     [
@@ -677,6 +688,7 @@ ORACLE["seq_codes"] = _with(
     "select name, case when seq is not null then array_to_string(list_transform(string_split(seq, ''),"
     " lambda c: cast(strpos('=ACMGRSVTWYHKDBN', c) - 1 as varchar)), ',') end as codes from segments",
 )
+ORACLE["seq_text"] = _with(["segments"], [], "select name, coalesce(seq, '*') as text from segments")
 ORACLE["seq_base_at"] = _with(["segments"], [], "select name, substr(seq, 3, 1) as base from segments")
 ORACLE["cigar_long_pairs"] = """
 with cig as (select concat('s', s_suppkey) as name, cast(3 + s_suppkey % 4 as bigint) as m from supplier),
@@ -696,6 +708,8 @@ _PLAIN = "read_name, tig1, pos1, tig2, pos2, strand1, strand2"
 ORACLE["pairs_file_roundtrip"] = _with(["alignments"], _EMIT, f"select {_PLAIN} from emitted")
 ORACLE["pairs_file_sorted"] = ORACLE["pairs_sorted_rank"]
 ORACLE["pairs_file_dedup"] = f"select {_PLAIN} from ({ORACLE['dedup_greedy']}) x"
+ORACLE["dedup_names_file"] = f"select read_name from ({ORACLE['dedup_greedy']}) x"
+ORACLE["dumped_weights"] = f"select weight from ({ORACLE['weights_len']}) x"
 ORACLE["lengths_file"] = ORACLE["contig_order"]
 ORACLE["alignments_from_flags"] = _with(
     ["alignments"],

@@ -21,9 +21,11 @@ from ..operators.matrix import Matrix
 from ..plans.storage import materialize, new_scratch_path
 from ..plans.zoom_order import checked_zoom_plan
 from ..sources.gfa import Gfa
+from ..sources.matrix_store import dump_weights
 from ..sources.pairs import read_lengths, read_pairs, write_pairs
 from ..sources.sam import flag_columns
 from ..sources.sample_tables import SampleTables, sample_tables
+from ..sources.stats_report import write_stats
 
 RES = 10_000
 MASK_RES = 2_000
@@ -337,6 +339,27 @@ def conversion_stats(d):
     return cv.conversion_stats(cv.route_reads(d.alignments()))
 
 
+def _converted(d) -> tuple[str, DataFrame]:
+    """Folder of the written pairs, and the counters seen while they were written."""
+    routed, seen = cv.counted(cv.route_reads(d.alignments()))
+    path = new_scratch_path(d.spark, "pairs-file")
+    write_pairs(cv.emitted_pairs(routed, d.references(), d.n_suppliers), path)
+    return path, cv.observed_stats(d.spark, seen)
+
+
+@query
+def conversion_stats_observed(d):
+    return _converted(d)[1]
+
+
+@query
+def conversion_report(d):
+    """The text report on a conversion, line by line."""
+    path = new_scratch_path(d.spark, "report")
+    write_stats(_converted(d)[1], path)
+    return d.spark.read.text(path)
+
+
 @query
 def adjacent_reads(d):
     """Reads by runs of one name in file order, with their size."""
@@ -531,6 +554,12 @@ def seq_base_at(d):
     return d.segments().select("name", sq.base_at(F.col("seq"), 2).alias("base"))
 
 
+@query
+def seq_text(d):
+    seq = F.when(F.col("seq").isNull(), "").otherwise(F.col("seq"))
+    return d.segments().select("name", sq.sequence_text(seq).alias("text"))
+
+
 @query
 def cigar_long_pairs(d):
     """Aligned bases of overlaps with hundreds of operations and a long skip, summed up by overlap."""
@@ -577,6 +606,22 @@ def pairs_file_dedup(d):
     return dd.dedup_pairs(second, 3).drop("ord")
 
 
+@query
+def dedup_names_file(d):
+    """The names-only output of duplicate removal, read back."""
+    path = new_scratch_path(d.spark, "names")
+    write_pairs(dd.dedup_pairs(d.pairs(named=True), 3), path, names_only=True)
+    return d.spark.read.text(path).withColumnRenamed("value", "read_name")
+
+
+@query
+def dumped_weights(d):
+    """Weights as written for a look at a balancing run, as numbers again."""
+    path = new_scratch_path(d.spark, "weights-text")
+    dump_weights(d.matrix(RES).weights(RES), path)
+    return d.spark.read.text(path).select(F.col("value").cast("double").alias("weight"))
+
+
 @query
 def lengths_file(d):
     path = new_scratch_path(d.spark, "lengths-file")

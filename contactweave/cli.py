@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators import convert as cv, dedup as dd
 from .operators.contacts import unplaced_pairs
 from .operators.matrix import Matrix
-from .plans.storage import materialize
 from .sources.bam import read_bam
 from .sources.pairs import read_lengths, read_pairs, write_pairs
 from .sources.sam import longest_name, read_sam
@@ -33,10 +32,10 @@ def convert(spark, args) -> None:
         args.max_molecule_size,
         adjacent=args.adjacent,
     )
-    routed = materialize(routed, "reads")  # read twice: pairs and counters
+    routed, seen = cv.counted(routed)
     pairs = cv.emitted_pairs(routed, references, n_references, longest_name=longest_name(references))
     write_pairs(pairs, args.pairs)
-    write_stats(cv.conversion_stats(routed), args.stats)
+    write_stats(cv.observed_stats(spark, seen), args.stats)
 
 
 def sort(spark, args) -> None:

@@ -9,7 +9,7 @@ gathered in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from ..plans.lookups import lookup
 from ..plans.ordering import global_rank, prefix_sum
@@ -263,8 +263,8 @@ def emitted_pairs(
     )
 
 
-def conversion_stats(routed: DataFrame) -> DataFrame:
-    """One row of counters over all reads.
+def _counters() -> list[Column]:
+    """Counters over all reads.
 
     Two placed contigs are the same exactly if their ids are; a placeholder
     row has two empty names and counts as a contact within one contig.
@@ -277,7 +277,7 @@ def conversion_stats(routed: DataFrame) -> DataFrame:
     m1, m2 = F.col("p1_mapped"), F.col("p2_mapped")
     z1, z2 = F.col("p1_mapq") == 0, F.col("p2_mapq") == 0
     inside = lambda name: F.when(F.col("paired"), F.col(name)).otherwise(0)
-    return routed.agg(
+    return [
         flag(F.col("paired"), "reads"),
         total(F.col("n1") + F.col("n2"), "alignments"),
         flag(emitted, "pairs"),
@@ -296,4 +296,21 @@ def conversion_stats(routed: DataFrame) -> DataFrame:
             flag(emitted & (F.col("shape") == s), f"pairs_{n}")
             for s, n in (("UU", "unique"), ("UD", "simple"), ("DD", "complex"))
         ],
-    )
+    ]
+
+
+def conversion_stats(routed: DataFrame) -> DataFrame:
+    """One row of counters over all reads."""
+    return routed.agg(*_counters())
+
+
+def counted(routed: DataFrame) -> tuple[DataFrame, Observation]:
+    """``routed`` as it is, and its counters once an action has gone over it: pairs and counters take one pass."""
+    seen = Observation()
+    return routed.observe(seen, *_counters()), seen
+
+
+def observed_stats(spark: SparkSession, seen: Observation) -> DataFrame:
+    """The row ``conversion_stats`` gives, from an observation whose action has ended."""
+    names = ", ".join(f"{name} bigint" for name in seen.get)
+    return spark.createDataFrame([tuple(seen.get.values())], names)
