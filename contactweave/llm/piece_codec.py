@@ -88,7 +88,7 @@ class PieceModel:
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.unknown = next(i for i, k in enumerate(self.kinds) if k == kinds.UNKNOWN)
         self.begin, self.end = self.pieces.index("<s>"), self.pieces.index("</s>")
-        self._words: dict[str, bytes] = {}
+        self._words: dict[str, tuple[bytes, bytes]] = {}
         # what decoding puts for an id; None for bytes that need their neighbours
         self._shown = [
             None if k == kinds.BYTE and self.bytes_of[i] > 0x7F or k == kinds.UNKNOWN
@@ -125,17 +125,18 @@ class PieceModel:
                 out.append(c)
                 source.append(at)
             at += n
+        end = len(data)
         if self.squeeze:
             kept = [k for k, c in enumerate(out) if c != " " or k and out[k - 1] != " "]
             while kept and out[kept[0]] == " ":
                 kept.pop(0)
             while kept and out[kept[-1]] == " ":
-                kept.pop()
+                end = source[kept.pop()]  # what is left out belongs to no piece
             out, source = [out[k] for k in kept], [source[k] for k in kept]
         if out and self.dummy_prefix:
             out.insert(0, SPACE)
             source.insert(0, source[0])
-        return "".join(out).replace(" ", SPACE), [*source, len(data)]
+        return "".join(out).replace(" ", SPACE), [*source, end]
 
     def _merge(self, segment: str) -> list[str]:
         """Best-scored neighbours are joined first, the leftmost of equals."""
@@ -185,16 +186,23 @@ class PieceModel:
             return [self.ids[piece]]
         return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
 
-    def _segment(self, segment: str) -> bytes:
-        """Ids of a segment as little-endian bytes."""
-        ids = [i for p in self._merge(segment) for i in self._ids_of(p)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """Ids of each whole text with those for begin and end.
-
-        Texts with single spaces are cut at them in compiled code, and each
-        distinct word is merged once; others are normalised one by one.
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        """Ids of a word with the space before it, and the start and end of each in bytes from that space on."""
+        source = np.cumsum([0, 1, *(len(c.encode()) for c in word)]).tolist()
+        ids, spans, at = [], [], 0
+        for p in self._merge(SPACE + word):
+            own = self._ids_of(p)
+            ids += own
+            spans += [source[at], source[at + len(p)]] * len(own)
+            at += len(p)
+        return struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(spans)}q", *spans)
+
+    def aligned(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each whole text: its ids with those for begin and end, and a row of start and end for all but these two.
+
+        Texts with single spaces are cut at them in compiled code and each
+        distinct word is merged and aligned once; where the word stands moves
+        its spans.  Other texts are normalised and aligned one by one.
         """
         if len(self._words) > _CACHE:
             self._words.clear()
@@ -203,24 +211,38 @@ class PieceModel:
         codes, offsets = encoded.indices.to_numpy(), split.offsets.to_numpy()
         direct = self.dummy_prefix and not self.squeeze and not self.map._units
         each, words = [], self._words
-        for w in encoded.dictionary.to_pylist():
+        distinct = encoded.dictionary.to_pylist()
+        for w in distinct:
             got = words.get(w)
             if got is None:
-                got = words[w] = self._segment(SPACE + w) if SPACE not in w else b""
+                got = words[w] = self._word(w) if SPACE not in w else (b"", b"")
             each.append(got)
-        lengths = np.array([len(x) // 4 for x in each], np.int64)
+        lengths = np.array([len(x) // 4 for x, _ in each], np.int64)
         starts = np.cumsum(lengths) - lengths
-        ids = np.frombuffer(b"".join(each), "<u4")
+        ids = np.frombuffer(b"".join(x for x, _ in each), "<u4")
+        spans = np.frombuffer(b"".join(x for _, x in each), "<i8").reshape(-1, 2)
+        wide = pc.binary_length(encoded.dictionary).to_numpy().astype(np.int64) + 1  # with the space before
         ends = [np.array([i], "<u4") for i in (self.begin, self.end)]
         for k, text in enumerate(texts.to_pylist()):
             if direct and text and text[0] != " " and "  " not in text and SPACE not in text:
                 own = codes[offsets[k] : offsets[k + 1]]
                 n = lengths[own]
                 stop = np.cumsum(n)
-                inner = ids[np.repeat(starts[own] - stop + n, n) + np.arange(stop[-1])]
+                take = np.repeat(starts[own] - stop + n, n) + np.arange(stop[-1])
+                inner = ids[take]
+                # the first word has no space of its own: what stood there starts at 0
+                place = np.cumsum(wide[own]) - wide[own] - 1
+                found = np.maximum(spans[take] + np.repeat(place, n)[:, None], 0)
             else:
-                inner = np.frombuffer(b"".join(map(self._segment, _SEGMENT.findall(self.normalize(text)[0]))), "<u4")
-            yield np.concatenate((ends[0], inner, ends[1]))
+                rows = self.spans(text)
+                inner = np.array([r[0] for r in rows], "<u4")
+                found = np.array([r[2:] for r in rows], np.int64).reshape(-1, 2)
+            yield np.concatenate((ends[0], inner, ends[1])), found
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each whole text with those for begin and end."""
+        for ids, _ in self.aligned(texts):
+            yield ids
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all(pa.array([text], pa.string()))).tolist()
@@ -317,23 +339,28 @@ def piece_spans(docs: DataFrame, model: str) -> DataFrame:
 
 
 def round_trips(docs: DataFrame, model: str) -> DataFrame:
-    """Number and digest of every text's ids, and digest of the text decoded from them.
+    """Number and digest of every text's ids, digest of the text decoded from them, and of the ids' spans.
 
-    A null or empty text has the begin and end ids alone and decodes to the
-    empty string.  Every row gives one row, whatever its doc_id.
+    spans_sha256 is of start and end of each piece in bytes of the original
+    text, as little-endian 64-bit numbers.  A null or empty text has the begin
+    and end ids alone and decodes to the empty string.  Every row gives one
+    row, whatever its doc_id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _model(model)
         for part in slices(batches, 2_000):
-            counts, sums, texts = [], [], []
-            for ids in coder.encode_all(part.column(1)):
+            counts, sums, texts, places = [], [], [], []
+            for ids, spans in coder.aligned(part.column(1)):
                 counts.append(len(ids))
                 sums.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 texts.append(hashlib.sha256(coder.decode(ids.tolist()).encode()).hexdigest())
+                places.append(hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest())
+            digests = [pa.array(x, pa.string()) for x in (sums, texts, places)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [part.column(0), pa.array(counts, pa.int64()), *digests],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"],
             )
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
+    return _rows(docs).mapInArrow(run, kind)
