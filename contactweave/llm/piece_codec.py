@@ -187,22 +187,24 @@ class PieceModel:
         return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
 
     def _word(self, word: str) -> tuple[bytes, bytes]:
-        """Ids of a word with the space before it, and the start and end of each in bytes from that space on."""
-        source = np.cumsum([0, 1, *(len(c.encode()) for c in word)]).tolist()
-        ids, spans, at = [], [], 0
+        """Ids of a word with the space before it, and how many bytes of the text each stands for.
+
+        The second is empty where ids share a character, which lengths cannot tell.
+        """
+        ids, lengths = [], []
         for p in self._merge(SPACE + word):
-            own = self._ids_of(p)
-            ids += own
-            spans += [source[at], source[at + len(p)]] * len(own)
-            at += len(p)
-        return struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(spans)}q", *spans)
+            ids += self._ids_of(p)
+            lengths.append(len(p) if word.isascii() else len(p.encode()) - 2 * p.count(SPACE))
+        shared = len(ids) != len(lengths)
+        return struct.pack(f"<{len(ids)}I", *ids), b"" if shared else struct.pack(f"<{len(ids)}I", *lengths)
 
     def aligned(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each whole text: its ids with those for begin and end, and a row of start and end for all but these two.
 
         Texts with single spaces are cut at them in compiled code and each
-        distinct word is merged and aligned once; where the word stands moves
-        its spans.  Other texts are normalised and aligned one by one.
+        distinct word is merged and aligned once; pieces follow each other, so
+        their lengths add up to their places.  Other texts, and those with a
+        character of several byte pieces, are normalised and aligned one by one.
         """
         if len(self._words) > _CACHE:
             self._words.clear()
@@ -220,23 +222,24 @@ class PieceModel:
         lengths = np.array([len(x) // 4 for x, _ in each], np.int64)
         starts = np.cumsum(lengths) - lengths
         ids = np.frombuffer(b"".join(x for x, _ in each), "<u4")
-        spans = np.frombuffer(b"".join(x for _, x in each), "<i8").reshape(-1, 2)
-        wide = pc.binary_length(encoded.dictionary).to_numpy().astype(np.int64) + 1  # with the space before
+        wide = np.frombuffer(b"".join(y or x for x, y in each), "<u4")
+        shared = np.array([len(x) != len(y) for x, y in each], bool)
         ends = [np.array([i], "<u4") for i in (self.begin, self.end)]
         for k, text in enumerate(texts.to_pylist()):
-            if direct and text and text[0] != " " and "  " not in text and SPACE not in text:
-                own = codes[offsets[k] : offsets[k + 1]]
+            own = codes[offsets[k] : offsets[k + 1]]
+            if direct and text and text[0] != " " and "  " not in text and SPACE not in text and not shared[own].any():
                 n = lengths[own]
                 stop = np.cumsum(n)
                 take = np.repeat(starts[own] - stop + n, n) + np.arange(stop[-1])
                 inner = ids[take]
-                # the first word has no space of its own: what stood there starts at 0
-                place = np.cumsum(wide[own]) - wide[own] - 1
-                found = np.maximum(spans[take] + np.repeat(place, n)[:, None], 0)
+                found = np.empty((len(take), 2), "<i8")
+                # the first word has no space of its own in the text
+                found[:, 1] = np.cumsum(wide[take], dtype=np.int64) - 1
+                found[0, 0], found[1:, 0] = 0, found[:-1, 1]
             else:
                 rows = self.spans(text)
                 inner = np.array([r[0] for r in rows], "<u4")
-                found = np.array([r[2:] for r in rows], np.int64).reshape(-1, 2)
+                found = np.array([r[2:] for r in rows], "<i8").reshape(-1, 2)
             yield np.concatenate((ends[0], inner, ends[1])), found
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -355,7 +358,7 @@ def round_trips(docs: DataFrame, model: str) -> DataFrame:
                 counts.append(len(ids))
                 sums.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 texts.append(hashlib.sha256(coder.decode(ids.tolist()).encode()).hexdigest())
-                places.append(hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest())
+                places.append(hashlib.sha256(spans).hexdigest())
             digests = [pa.array(x, pa.string()) for x in (sums, texts, places)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(counts, pa.int64()), *digests],
