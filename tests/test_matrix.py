@@ -450,3 +450,17 @@ def test_nothing_left_to_balance(spark, genome, tmp_path):
     assert matrix.balance([10], "LEN") == [10]
     dump_weights(matrix.weights(10), str(tmp_path / "dump"))
     assert [r.value for r in spark.read.text(str(tmp_path / "dump")).collect()] == ["0.1"] * 7
+
+
+def test_dense_rectangle_moves_only_stored_cells(spark):
+    """Over several strips, with copies, cells outside, on strip ends and without a finite value."""
+    strip, nan = rg._STRIP, float("nan")
+    rows = [(3, 5, 1.5), (3, 5, 1.5), (3, 6, nan), (4, strip + 4, 2.0), (4, strip + 5, 3.0), (5, 2 * strip, float("inf"))]
+    rows += [(2, 7, 9.0), (6, 7, 9.0), (3, 4, 9.0), (4, 2 * strip + 7, 9.0), (5, None, 1.0), (None, 7, 1.0), (5, 2 * strip + 6, 4.0), (5, 8, None)]
+    cells = spark.createDataFrame(rows, "i long, j long, value double")
+    dense = rg.dense_rectangle(cells, 3, 6, 5, 2 * strip + 7)
+    assert dense.schema.simpleString() == "struct<i:bigint,j:bigint,value:double>"
+    held = {(3, 5): 1.5, (4, strip + 4): 2.0, (4, strip + 5): 3.0, (5, 2 * strip + 6): 4.0}
+    want = sorted([(i, j, held.get((i, j), 0.0)) for i in range(3, 6) for j in range(5, 2 * strip + 7)] + [(3, 5, 1.5)])
+    assert sorted(map(tuple, dense.collect())) == want
+    assert "Join" not in dense._jdf.queryExecution().executedPlan().toString()
