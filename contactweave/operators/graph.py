@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.lookups import lookup
 from ..plans.storage import AlternatingTable, materialize
 
+_SHALLOW = 12  # rounds of a search before nodes are taken out of the graph
+_LEAST_SHARE = 20  # a level that takes out less than one node in so many is the last
+
 
 def node_name(name: str | Column, orient: str | Column) -> Column:
     return F.concat(F.col(name) if isinstance(name, str) else name, orient if isinstance(orient, Column) else F.lit(orient))
@@ -83,7 +86,8 @@ def bfs_distances(
     reach each round, so a path of a million nodes takes about twenty.  The
     search then goes over the branching nodes with path lengths as weights,
     one round for each branching on the way, and the paths' inner nodes get
-    their distances at the end.  With ``jump_complement_at_sink`` a node
+    their distances at the end.  A search that is not over after a few rounds
+    takes out branching nodes too, so rounds grow with the logarithm of depth.  With ``jump_complement_at_sink`` a node
     without outgoing edges goes on from its other strand at distance one more.
 
     With ``include_source`` off the source is listed only if a cycle leads back
@@ -169,15 +173,80 @@ def _contracted(steps: DataFrame, inner: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def _weighted_search(hops: DataFrame, source: str) -> DataFrame:
-    """Least distance from ``source`` over weighted hops; only improved nodes go on in a round."""
+    """Least distance from ``source`` over weighted hops: node, distance.
+
+    A shallow search ends in a few rounds.  For a deep one, nodes are taken
+    out of the graph level by level with shortcuts in their place, what is
+    left is searched, and the levels get their distances in reverse order.
+    """
+    best, over = _search_rounds(hops, source, _SHALLOW)
+    if over:
+        return best
+    core, levels = _taken_out(hops, source)
+    best, _ = _search_rounds(core, source)
+    for into in reversed(levels):
+        start = best.select(F.col("node").alias("_node"), "distance")
+        found = into.join(start, F.col("src") == F.col("_node")).groupBy(F.col("dst").alias("node"))
+        best = materialize(best.unionByName(found.agg(F.min(F.col("distance") + F.col("weight")).alias("distance"))), "best")
+    return best
+
+
+def _taken_out(hops: DataFrame, source: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Hops between the nodes that stay, and by level the hops into the nodes taken out.
+
+    A node may go if the shortcuts through it are no more than its own hops,
+    so the graph never grows.  Of neighbouring ones only that with the
+    smallest hash goes, so a level's hops come from nodes that stay for it.
+    Distances between the remaining nodes are those of the whole graph.
+    """
+    levels: list[DataFrame] = []
+    hops = materialize(hops.where("src != dst"), "hops")
+    while True:
+        degrees = (
+            hops.select(F.col("dst").alias("node"), F.lit(1).alias("a"), F.lit(0).alias("b"))
+            .unionByName(hops.select(F.col("src").alias("node"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+            .groupBy("node")
+            .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        )
+        light = (F.col("a") * F.col("b") <= F.col("a") + F.col("b")) & (F.col("node") != source)
+        degrees = materialize(degrees.select("node", light.alias("light")), "degrees")
+        may = degrees.where("light").select("node")
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(levels)), F.col(c)), F.col(c))
+        both = hops.join(may.select(F.col("node").alias("src")), "src", "left_semi").join(may.select(F.col("node").alias("dst")), "dst", "left_semi")
+        later = both.select(F.when(rank("src") > rank("dst"), F.col("src")).otherwise(F.col("dst")).alias("node"))
+        gone = materialize(may.join(later, "node", "left_anti"), "gone")
+        n_gone = gone.count()
+        if not n_gone or n_gone * _LEAST_SHARE < degrees.count():
+            return hops, levels
+        marked = hops.join(gone.select(F.col("node").alias("_from")), F.col("src") == F.col("_from"), "left")
+        marked = marked.join(gone.select(F.col("node").alias("_into")), F.col("dst") == F.col("_into"), "left")
+        marked = materialize(marked, "marked")
+        into = marked.where("_into is not null").select("src", "dst", "weight")
+        onward = marked.where("_from is not null").select("_from", F.col("dst").alias("_to"), F.col("weight").alias("_more"))
+        short = (
+            into.join(onward, F.col("dst") == F.col("_from"))
+            .where("src != _to")
+            .select("src", F.col("_to").alias("dst"), (F.col("weight") + F.col("_more")).alias("weight"))
+        )
+        rest = marked.where("_into is null and _from is null").select("src", "dst", "weight")
+        kept = rest.unionByName(short).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+        levels.append(into)
+        hops = materialize(kept, "hops")
+
+
+def _search_rounds(hops: DataFrame, source: str, most: int | None = None) -> tuple[DataFrame, bool]:
+    """Distances after at most ``most`` rounds and whether they are final; only improved nodes go on in a round."""
     spark = hops.sparkSession
     schema = "node string, distance bigint"
     best_table, front_table = AlternatingTable(spark, "best"), AlternatingTable(spark, "front")
     front = front_table.replace(spark.createDataFrame([(source, 0)], schema))
     best = best_table.replace(front)
     widest = hops.agg(F.max(F.octet_length("src"))).first()[0] or 1
-    size = 1
+    size, done = 1, 0
     while size:
+        if done == most:
+            return best, False
+        done += 1
         start = front.select(F.col("node").alias("_node"), "distance")
         found = lookup(hops, start, {"src": "_node"}, size, string_bytes=widest)
         found = found.groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("distance"))
@@ -187,7 +256,7 @@ def _weighted_search(hops: DataFrame, source: str) -> DataFrame:
         size = front.count()
         if size:
             best = best_table.replace(best.unionByName(front).groupBy("node").agg(F.min("distance").alias("distance")))
-    return best
+    return best, True
 
 
 def reachable(

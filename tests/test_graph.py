@@ -163,3 +163,28 @@ def test_floats_are_shown_as_plain_decimals(spark):
         "f:10000000", "f:0.0001", "f:12345678.5", "f:-0.0025", "f:3", "f:-1500000000000", "f:0.000000000125", "f:0",
         "f:123456789012", "f:10000000000000000000000",
     ]
+
+
+def test_a_deep_branching_graph_takes_a_few_rounds(spark, monkeypatch):
+    """Every node of a chain has a way round with a dead end, so no path is without a branching; a far shortcut too."""
+    rows, n = [], 200
+    for i in range(n):
+        rows += [(f"n{i}+", f"n{i + 1}+"), (f"n{i}+", f"m{i}+"), (f"m{i}+", f"n{i + 1}+"), (f"m{i}+", f"e{i}+")]
+    rows += [("n20+", "n90+"), ("n150+", "n3+"), ("z+", "n0+"), ("n5+", "n5+")]
+    calls = []
+    plain = gr.lookup
+    monkeypatch.setattr(gr, "lookup", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    got = gr.bfs_distances(edges, "n0+").collect()
+    steps = {}
+    for a, b in rows:
+        steps.setdefault(a, []).append(b)
+    want, queue = {"n0+": 0}, deque(["n0+"])
+    while queue:
+        at = queue.popleft()
+        for b in steps.get(at, ()):
+            if b not in want:
+                want[b] = want[at] + 1
+                queue.append(b)
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+    assert len(calls) < 50
