@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from contactweave.operators import scaffold as sc
@@ -104,3 +105,27 @@ def test_random_matrices_match_the_search(spark, tmp_path, seed):
 def test_longest_contig(spark):
     genome = Genome.from_lengths(lengths_of(spark, [("b", 9), ("a", 9), ("c", 3)]))
     assert tuple(sc.longest_contig(genome).first()) == ("a", 9)
+
+
+def test_cells_of_many_bins_are_passed_on_before_they_pile_up():
+    """What a task holds of cells of ever new bins stays within a few batches, whatever their number."""
+
+    class Cells:
+        def mapInArrow(self, run, _):
+            return run
+
+    taken = 0
+
+    def batches():
+        nonlocal taken
+        for at in range(0, 1_200_000, 10_000):
+            i = pa.array(range(at, at + 10_000), pa.int64())
+            no, w = pa.array([False] * 10_000), pa.array([1.0] * 10_000)
+            taken += 10_000
+            yield pa.RecordBatch.from_arrays([i, i, i, i, w, no, no, no], "i j tig_i tig_j w is_first is_last mutual".split())
+
+    given = most = 0
+    for batch in sc._mutual_and_best(Cells())(batches()):
+        most = max(most, taken - given)
+        given += batch.num_rows
+    assert given == 1_200_000 and most <= 300_000
