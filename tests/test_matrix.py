@@ -464,3 +464,21 @@ def test_dense_rectangle_moves_only_stored_cells(spark):
     want = sorted([(i, j, held.get((i, j), 0.0)) for i in range(3, 6) for j in range(5, 2 * strip + 7)] + [(3, 5, 1.5)])
     assert sorted(map(tuple, dense.collect())) == want
     assert "Join" not in dense._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pyramid_sums_levels_behind_one_shuffle_of_pixels(spark, monkeypatch):
+    """Levels are made from dealt pixels, so a task's sums follow its share of the pixels."""
+    monkeypatch.setattr(ct, "_TASK_PIXELS", 100)
+    lengths = spark.createDataFrame([("a", 950, 0), ("b", 10, 1), ("c", 1_203, 2), ("d", 0, 3)], "tig_name string, length long, ord long")
+    genome = Genome.from_lengths(lengths)
+    rng = random.Random(5)
+    n = genome.n_bins(10)
+    cells = {tuple(sorted((rng.randrange(n), rng.randrange(n)))): rng.randrange(1, 9) for _ in range(3_000)}
+    pixels = ct.locate(spark.createDataFrame([(*k, v) for k, v in cells.items()], "bin1_id long, bin2_id long, count long"), genome, 10)
+    dealt = ct.pyramid(pixels, genome, 10, [20, 30, 60], len(cells))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    shuffles = [at for at in re.finditer("Exchange hashpartitioning", plan)]
+    assert len(shuffles) == 1 and plan.index("Generate") < shuffles[0].start()
+    plain = ct.pyramid(pixels, genome, 10, [20, 30, 60])
+    assert dealt.columns == plain.columns
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
