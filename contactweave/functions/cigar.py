@@ -152,13 +152,16 @@ def aligned_pairs(df: DataFrame, cigar: str, ref_start: str | None = None) -> Da
     first = F.sequence(F.lit(0).cast("bigint"), F.col("_op.len") - 1, F.lit(_CHUNK).cast("bigint"))
     chunks = ops.withColumn("_from", F.explode(first))
     last = F.least(F.col("_from") + _CHUNK, F.col("_op.len")) - 1
-    bases = chunks.withColumn("_k", F.explode(F.sequence(F.col("_from"), last)))
     op = F.col("_op.op")
-    return (
-        bases.withColumn("query_pos", F.when(is_in(op, CONSUMES_QUERY), F.col("_op.q") + F.col("_k")))
-        .withColumn("ref_pos", F.when(is_in(op, CONSUMES_REF), F.col("_op.r") + F.col("_k")))
-        .drop("_op", "_from", "_k")
+    # what an operation consumes is looked up once a chunk; null on the other side stays null
+    placed = chunks.select(
+        *df.columns,
+        F.when(is_in(op, CONSUMES_QUERY), F.col("_op.q")).alias("_q"),
+        F.when(is_in(op, CONSUMES_REF), F.col("_op.r")).alias("_r"),
+        F.sequence(F.col("_from"), last).alias("_places"),
     )
+    bases = placed.select(*df.columns, "_q", "_r", F.explode("_places").alias("_k"))
+    return bases.select(*df.columns, (F.col("_q") + F.col("_k")).alias("query_pos"), (F.col("_r") + F.col("_k")).alias("ref_pos"))
 
 
 def matching_pairs(df: DataFrame, cigar: str, ref_start: str | None = None) -> DataFrame:

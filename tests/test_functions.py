@@ -120,3 +120,16 @@ def test_a_long_skip_is_spread_out(spark):
     assert pairs.count() == 200_006
     both = pairs.where("query_pos is not null and ref_pos is not null").select("query_pos", "ref_pos").collect()
     assert sorted(map(tuple, both)) == [(0, 0), (1, 1), (2, 200_002), (3, 200_003), (4, 200_004)]
+
+
+def test_aligned_bases_are_placed_without_a_look_at_their_operation(spark):
+    """What an operation consumes is settled before its bases are spread out, also with a null start."""
+    df = spark.createDataFrame([("a", "2S3M1D", 5), ("b", "2M", None), ("c", "*", 1)], "name string, text string, start long")
+    pairs = cg.aligned_pairs(df.select("name", "start", cg.parse_cigar("text").alias("ops")), "ops", "start").drop("ops")
+    assert pairs.columns == ["name", "start", "query_pos", "ref_pos"]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert " IN" not in plan[: plan.index("Generate")]
+    got = sorted((r.name, r.query_pos, r.ref_pos) for r in pairs.where("name = 'a'").collect() if r.query_pos is not None)
+    assert got == [("a", 0, None), ("a", 1, None), ("a", 2, 5), ("a", 3, 6), ("a", 4, 7)]
+    assert [(r.query_pos, r.ref_pos) for r in pairs.where("name = 'a' and query_pos is null").collect()] == [(None, 8)]
+    assert sorted((r.query_pos, r.ref_pos) for r in pairs.where("name = 'b'").collect()) == [(0, None), (1, None)]
