@@ -137,3 +137,14 @@ def test_small_and_large_ranks_agree_and_stay(spark):
     assert sorted(map(tuple, ordering.global_rank(df, ["a", "b"], "r", 200).collect())) == sorted(map(tuple, want.collect()))
     for n_rows in (None, 0):
         assert ordering.exact_median(spark.createDataFrame([], "x double"), "x", None, "m", n_rows).collect() == [(None,)]
+
+
+def test_a_rank_stores_only_the_columns_asked_for(spark, monkeypatch):
+    from contactweave.plans import ordering
+
+    df = spark.createDataFrame([(3, "x", 1), (1, "y", 2), (1, "z", 1)], "a long, b string, c long")
+    for small in (ordering.SMALL, -1):
+        monkeypatch.setattr(ordering, "SMALL", small)
+        ranked = ordering.global_rank(df, ["a", "c"], "at", 3, keep=["b"])
+        assert ranked.columns == ["b", "at"]
+        assert sorted(map(tuple, ranked.collect())) == [("x", 2), ("y", 1), ("z", 0)]
