@@ -50,18 +50,24 @@ class Words:
         return np.array([xxhash.xxh3_64_intdigest(w) for w in self.distinct], np.uint64)
 
 
-def factorize(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of a string array, in compiled code; a null text has none.  ``lower`` turns A-Z into a-z."""
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Offsets, codes and distinct words as in ``Words``, the words still as an Arrow array."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     encoded = split.values.dictionary_encode()
     codes, offsets = encoded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
-    distinct = encoded.dictionary.to_pylist()
-    if "" in distinct:
-        real = codes != distinct.index("")
+    empty = pc.index(encoded.dictionary, "").as_py()
+    if empty >= 0:
+        real = codes != empty
         offsets = np.concatenate(([0], np.cumsum(real)))[offsets]
         codes = codes[real]
-    return Words(offsets, codes, distinct)
+    return offsets, codes, encoded.dictionary
+
+
+def factorize(texts: pa.Array, lower: bool = False) -> Words:
+    """Words of a string array, in compiled code; a null text has none.  ``lower`` turns A-Z into a-z."""
+    offsets, codes, distinct = split_words(texts, lower)
+    return Words(offsets, codes, distinct.to_numpy(zero_copy_only=False).tolist())  # to_pylist is many times slower
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int, text_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

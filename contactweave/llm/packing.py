@@ -10,7 +10,6 @@ then numbered within their length by Spark and find their place in a run.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,15 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from contactweave.llm.common import factorize, give_back, slices
+from contactweave.llm.common import give_back, slices, split_words
 from contactweave.plans.storage import materialize
 
 CAPACITY = 2048
 END_ID = 0
-_CACHE_BYTES = 10 << 20  # of each of a task's two caches
-_ENTRY_BYTES = 200  # what a dict and its objects take besides their content
+_CACHE_BYTES = 20 << 20  # of a task's cache
+_ENTRY_BYTES = 160  # what a dict and its objects take besides their content
 _SALTS = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,16 +39,18 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Token ids of white-space separated words, as little-endian bytes, cached.
+    """Token ids of texts, as little-endian bytes.
 
     The tokenizer cuts at white space before it merges, so a text's ids are
     its words' ids in a row.  Latin-1 words, whose lower-casing and cutting
-    need no context, go straight to the merge model; all others go through
-    the whole tokenizer.
+    need no context, are cut into letters, digits and signs in compiled code,
+    and each distinct part of a batch goes straight to the merge model; all
+    other words go through the whole tokenizer.  Parts are cached: words, with
+    their signs and capitals, seldom come back in another batch.
     """
 
-    _PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+")
-    _CUT = re.compile(
+    _PLAIN = "^[\x21-\x7e\xa1-\xac\xae-\xff]+$"
+    _CUT = (
         "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+"
         "|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+"
     )
@@ -61,61 +63,68 @@ class WordIds:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._bytes = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
-        self._known = _Filled(self._word)
-        self._parts = _Filled(self._part)
-
-    def _part(self, part: str) -> bytes:
-        letters = part if part.isascii() else "".join(map(self._LETTERS.__getitem__, part.encode()))
-        ids = self._bytes
-        return b"".join([ids[t.id] for t in self._model.tokenize(letters)])
-
-    def _word(self, word: str) -> bytes:
-        if "<|" not in word and self._PLAIN.fullmatch(word):
-            low = word.lower()
-            if low.isascii() and low.isalpha():
-                return self._parts[low]
-            return b"".join([self._parts[x] for x in self._CUT.findall(low)])
-        ids = self._bytes
-        return b"".join([ids[i] for i in self._tokenizer.encode(word, add_special_tokens=False).ids])
+        self._parts: dict[str, bytes] = {"": b""}
+        self._held = 0
+
+    def _parts_ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts; what is cached is dropped when it grows past its limit."""
+        made = [*map(self._parts.get, parts)]
+        tokenize, ids, letter = self._model.tokenize, self._bytes, self._LETTERS.__getitem__
+        fresh = {}
+        for at in [k for k, x in enumerate(made) if x is None]:
+            part = parts[at]
+            letters = part if part.isascii() else "".join(map(letter, part.encode()))
+            made[at] = fresh[part] = b"".join([ids[t.id] for t in tokenize(letters)])
+        size = sum(map(len, fresh)) + sum(map(len, fresh.values())) + _ENTRY_BYTES * len(fresh)
+        if self._held + size > _CACHE_BYTES:
+            self.forget()
+        if size <= _CACHE_BYTES:
+            self._parts.update(fresh)
+            self._held += size
+        return made
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all words in a row."""
+        plain = pc.and_(pc.match_substring_regex(words, self._PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        low = pc.utf8_lower(words.filter(plain))
+        # a blank behind every part leaves an empty one at each word's end
+        cut = pc.split_pattern(pc.replace_substring_regex(low, self._CUT, "\\0 "), " ")
+        parts = cut.values.dictionary_encode()
+        made = self._parts_ids(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        codes, is_plain = parts.indices.to_numpy(), plain.to_numpy(zero_copy_only=False)
+        n_parts = np.ones(len(words), np.int64)
+        n_parts[is_plain] = np.diff(cut.offsets.to_numpy())
+        first = np.cumsum(n_parts) - n_parts
+        every = np.empty(int(n_parts.sum()), np.int64)
+        alone = np.zeros(len(every), bool)
+        alone[first[~is_plain]] = True
+        every[~alone] = codes
+        every[alone] = len(made) + np.arange(int(alone.sum()))
+        for word in words.filter(pc.invert(plain)).to_numpy(zero_copy_only=False):
+            made.append(np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
+        lengths = np.array([len(x) // 4 for x in made], np.int64)
+        ids = np.frombuffer(b"".join(made), "<u4")
+        before = np.concatenate(([0], np.cumsum(lengths[every])))
+        return before[first + n_parts] - before[first], _gathered(np.cumsum(lengths) - lengths, lengths, ids, every)
 
     def forget(self) -> None:
         """Drop what is cached."""
-        self._known.clear()
-        self._parts.clear()
+        self._parts, self._held = {"": b""}, 0
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text."""
-        found = factorize(texts)
-        each = [self._known[w] for w in found.distinct]
-        lengths = np.array([len(x) // 4 for x in each], np.int64)
+        offsets, codes, distinct = split_words(texts)
+        lengths, ids = self._words(distinct)
         starts = np.cumsum(lengths) - lengths
-        ids = np.frombuffer(b"".join(each), "<u4")
-        for a, b in zip(found.offsets[:-1], found.offsets[1:]):
-            own = found.codes[a:b]
-            n = lengths[own]
-            ends = np.cumsum(n)
-            at = np.repeat(starts[own] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-            yield ids[at].tobytes()
-
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            yield _gathered(starts, lengths, ids, codes[a:b]).tobytes()
 
-class _Filled(dict):
-    """A dict that makes what it lacks, and starts anew past ``most`` bytes."""
-
-    def __init__(self, make, most: int = _CACHE_BYTES):
-        super().__init__()
-        self._make, self._most, self._held = make, most, 0
-
-    def clear(self):
-        super().clear()
-        self._held = 0
 
-    def __missing__(self, key):
-        value = self._make(key)
-        self._held += len(key) + len(value) + _ENTRY_BYTES
-        if self._held > self._most:
-            self.clear()
-        self[key] = value
-        return value
+def _gathered(starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The ids of the words or parts ``own`` in a row."""
+    n = lengths[own]
+    ends = np.cumsum(n)
+    return ids[np.repeat(starts[own] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 _ENCODERS: dict[str, WordIds] = {}

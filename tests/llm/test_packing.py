@@ -90,6 +90,24 @@ def test_word_ids_equal_the_tokenizer():
         assert list(struct.unpack(f"<{len(got) // 4}I", got)) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_parts_of_words_are_merged_once():
+    class Counting:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, part):
+            self.calls += 1
+            return self.model.tokenize(part)
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = ["q" + "".join(letters[n // 26**k % 26] for k in range(4)) for n in range(80_000)]
+    words = packing.WordIds(TOKENIZER)
+    words._model = Counting(words._model)
+    plain, shown = (b"".join(words.encode(pa.array([" ".join(w)]))) for w in (stems, [x.upper() + "!" for x in stems]))
+    assert words._model.calls == len(stems) + 1
+    assert len(shown) == len(plain) + 4 * len(stems)
+
+
 def check(packed, docs, capacity):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     want = Counter()
