@@ -13,7 +13,7 @@ from contactweave.errors import ContactWeaveError, MatrixIndexError, NotBalanced
 from contactweave.operators import balance as bal, contacts as ct, genome as gn, region as rg
 from contactweave.operators.genome import Genome
 from contactweave.operators.matrix import Matrix
-from contactweave.plans import ordering, tiles as tl
+from contactweave.plans import lookups, ordering, storage, tiles as tl
 from contactweave.schemas import PAIRS
 from contactweave.sources.matrix_store import dump_weights
 
@@ -440,6 +440,40 @@ def test_a_round_moves_biases_and_no_contacts(spark, large):
         spark.conf.unset("spark.contactweave.broadcastBytes")
 
 
+def test_sums_of_a_round_are_made_where_the_contacts_are(spark):
+    blocks = bal.BlockedContacts(pixels_of(spark, random_matrix(64, 0.5, 6)), 64)
+    try:
+        sums = blocks.sums(spark.range(64).selectExpr("id as bin_id", "1.0D + id as bias"))
+        plan = sums._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hashpartitioning\((bin_id|_bin)#", plan)
+    finally:
+        blocks.drop()
+
+
+def test_weights_by_block_leave_pixels_where_they_are(spark, monkeypatch):
+    rows = [*random_matrix(64, 0.5, 8), (3, 64, 1), (3, 900, 1)]  # two bins have no weight
+    pixels = storage.materialize(pixels_of(spark, rows), "pixels")
+    weights = spark.range(64).selectExpr("id as bin_id", "if(id = 5, double('nan'), 1.0D / (1 + id)) as weight")
+    monkeypatch.setattr(lookups, "FEW_KEYS", -1)
+    spark.conf.set("spark.contactweave.broadcastBytes", str(8 * 64))  # too little for rows of weights
+    try:
+        value = ct.balanced_pixels(pixels, weights, 64)
+        text = value._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert not any("Exchange" in n for n in nodes_above_scan(text, "count#")[1:])
+        got = {(r.bin1_id, r.bin2_id): r.value for r in value.collect()}
+        cells = {(r.i, r.j): r.value for r in rg.balanced_rectangle(pixels.where("bin2_id < 64"), weights, 64, 3, 40, 10, 64).collect()}
+    finally:
+        spark.conf.unset("spark.contactweave.broadcastBytes")
+    at = lambda k: np.nan if k == 5 else 1.0 / (1 + k)
+    want = {(i, j): c * at(i) * at(j) for i, j, c in rows if j < 64}
+    assert got.keys() == want.keys()
+    np.testing.assert_allclose([got[k] for k in want], list(want.values()))
+    both = {**want, **{(j, i): v for (i, j), v in want.items()}}
+    inside = {k: v for k, v in both.items() if 3 <= k[0] < 40 and 10 <= k[1] < 64}
+    assert cells.keys() == inside.keys()
+    np.testing.assert_allclose([cells[k] for k in inside], list(inside.values()))
+
+
 def test_nothing_left_to_balance(spark, genome, tmp_path):
     pixels = pixels_of(spark, [(0, 6, 1)])
     assert bal.iterative_weights(pixels, genome, 10) is None

@@ -71,6 +71,15 @@ def test_copies_are_spread_over_partitions(spark):
     assert len(ranked.inputFiles()) > 4
 
 
+def test_median_of_small_groups_needs_no_global_order(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SMALL", 10)
+    monkeypatch.setattr(ordering, "global_rank", None)
+    rows = [(g, float(g * k)) for g in range(20) for k in range(1 + g % 6)]
+    df = spark.createDataFrame(rows, "g bigint, x double")
+    got = {r.g: r.m for r in ordering.exact_median(df, "x", "g", "m", len(rows), 20, n_in_group=6).collect()}
+    assert got == {g: statistics.median(x for h, x in rows if h == g) for g in range(20)}
+
+
 @pytest.mark.parametrize("n_rows", [None, 10])
 def test_exact_median(spark, n_rows):
     assert ordering.exact_median(
