@@ -3,12 +3,14 @@
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from contactweave.operators import scaffold as sc
 from contactweave.operators.genome import Genome
 from contactweave.operators.matrix import Matrix
+from contactweave.plans import lookups
 
 
 def lengths_of(spark, rows):
@@ -129,3 +131,75 @@ def test_cells_of_many_bins_are_passed_on_before_they_pile_up():
         most = max(most, taken - given)
         given += batch.num_rows
     assert given == 1_200_000 and most <= 300_000
+
+
+NAMES = "i j tig_i tig_j w is_first is_last mutual".split()
+
+
+def both_ways(pixels):
+    """Cells of (bin, bin, strength) with three bins a contig, all of them candidates."""
+    cells = [(i, j, i // 3, j // 3, w, True, True, True) for a, b, w in pixels for i, j in ((a, b), (b, a))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*cells)], NAMES)
+
+
+def kept_of(batches):
+    rows = [tuple(r.values()) for b in sc._thinned(batches) for r in b.to_pylist()]
+    return {r[:2] for r in rows if r[7]}, [r for r in rows if not r[7]]
+
+
+def test_outdone_candidates_do_not_leave_their_task():
+    mutual, best = kept_of([both_ways([(0, 3, 1.0), (0, 6, 1.0), (0, 9, 1.0), (12, 15, 2.0), (12, 0, 1.0)])])
+    assert mutual == {(12, 15), (15, 12)}
+    assert {(r[0], r[3], r[4]) for r in best if r[0] == 0} == {(0, 1, 1.0), (0, 2, 1.0)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_thinning_keeps_all_that_scores(monkeypatch, seed):
+    """Whatever a task holds at a time, no winning candidate and no bin's two best partners get lost."""
+    rng = random.Random(seed)
+    pixels = [(a, b, float(rng.randint(1, 4))) for a in range(60) for b in range(a + 1, 60) if a // 3 != b // 3 and rng.random() < 0.1]
+    rng.shuffle(pixels)
+    monkeypatch.setattr(sc, "_HELD", 30)
+    mutual, best = kept_of([both_ways(pixels[k : k + 7]) for k in range(0, len(pixels), 7)])
+    partners = {}
+    for a, b, w in pixels:
+        for i, j in ((a, b), (b, a)):
+            held = partners.setdefault(i, {})
+            held[j // 3] = max(held.get(j // 3, 0.0), w)
+    for a, b, w in pixels:
+        rest = [v for i in (a, b) for t, v in partners[i].items() if t not in (a // 3, b // 3)]
+        if w > max(rest, default=0.0):
+            assert {(a, b), (b, a)} <= mutual
+    assert len(mutual) < 1.5 * len(pixels)  # of two cells a pixel
+    at, tig, w = (np.array([r[c] for r in best]) for c in (0, 3, 4))
+    first, second = sc.two_best(at, tig, w)
+    for i, held in partners.items():
+        ranked = sorted((-v, t) for t, v in held.items())[:2]
+        assert [(-w[k], tig[k]) for k in (*first, *second) if at[k] == i] == ranked
+
+
+@pytest.mark.parametrize("lacking", [False, True])
+def test_facts_are_looked_up_as_arrays_where_rows_do_not_fit(spark, tmp_path, monkeypatch, lacking):
+    rng = random.Random(5)
+    tigs = [(f"t{i}", 90_000 if i < 3 else 250_000) for i in range(10)]
+    n = 3 + 7 * 3
+    pixels = [(i, j, rng.randint(1, 9)) for i in range(n) for j in range(i, n) if rng.random() < 0.4]
+    matrix = make(spark, str(tmp_path / "m"), tigs, pixels, [1.0 + b / 100 for b in range(n)])
+    weights = matrix.weights(100_000).where("bin_id != 7") if lacking else matrix.weights(100_000)
+    facts = sc.bin_facts(matrix.bins(100_000), matrix.genome, weights)
+    plain, tiled = matrix.pixels(100_000), matrix.tiled_pixels(100_000)
+
+    def found(pixels):
+        best = sc.materialize(sc.trans_max(pixels, facts, n), "best")
+        ends = sc.best_neighbors(pixels, facts, best, n)
+        return sorted(map(str, best.collect())), sorted(map(str, ends.collect()))
+
+    whole = found(tiled)
+    assert len(whole[0]) == n - lacking and whole[1] and found(plain) == whole
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 1)
+    assert found(tiled) == whole and found(plain) == whole
+    if not lacking:
+        monkeypatch.setattr(lookups, "BROADCAST_BYTES", n * 16)  # rows take 56 bytes and more
+        monkeypatch.setattr(lookups, "_shuffled", None)
+        assert sorted(map(str, sc.trans_max(tiled, facts, n).collect())) == whole[0]
+        assert sorted(map(str, sc.trans_max(plain, facts, n).collect())) == whole[0]
