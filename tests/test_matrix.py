@@ -516,3 +516,16 @@ def test_pyramid_sums_levels_behind_one_shuffle_of_pixels(spark, monkeypatch):
     plain = ct.pyramid(pixels, genome, 10, [20, 30, 60])
     assert dealt.columns == plain.columns
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_marginals_broadcast_no_bins(spark):
+    """Bins are made from a row for each contig, which looks small to the planner however many bins that gives."""
+    genome = Genome.from_lengths(lengths_of(spark, [("A", 200_000), ("B", 300_000), ("C", 0)]))
+    rows = [(0, 5, 2), (0, 7, 1), (4, 5, 9), (6, 40_000, 3), (7, 60_000, 1), (2, 90, 0)]  # near, outside and empty pixels as well
+    margs = bal.marginals(pixels_of(spark, rows), genome.bins(10))
+    assert margs.columns == ["bin_id", "tig_id", "nnz", "total"]
+    held = margs.where("total > 0")
+    assert triples(held.select("bin_id", "nnz", "total")) == [(0, 2, 3), (5, 1, 2), (6, 1, 3), (7, 2, 2), (40_000, 1, 3)]
+    assert "Join" not in held._jdf.queryExecution().executedPlan().toString()
+    assert margs.count() == genome.n_bins(10) == 50_000
+    assert triples(margs.groupBy("tig_id").count()) == [(1, 20_000), (2, 30_000)]

@@ -113,6 +113,16 @@ def test_lookup_salts_past_the_budget(spark, how):
     assert "strategy=broadcast" not in explained
 
 
+@pytest.mark.parametrize("heavy", [20, 1 << 40])
+def test_a_table_past_the_budget_is_not_broadcast_for_looking_small(spark, monkeypatch, heavy):
+    monkeypatch.setattr(lookups, "HEAVY_ROWS", heavy)
+    facts = spark.range(300).selectExpr("id % 3 as k", "id as v")
+    dim = spark.range(1).selectExpr("explode(sequence(0, 5000)) as k", "'x' as name")
+    large = lookups.lookup(facts, dim, {"k": "k"}, 1 << 40)
+    assert large.count() == 300
+    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     stored = storage.materialize(spark.range(3).toDF("x"), "t")
     assert stored.count() == 3
