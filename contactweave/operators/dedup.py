@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.ordering import global_rank
 from ..plans.storage import materialize, new_scratch_path
@@ -21,7 +21,7 @@ ORDER = ["tig1", "tig2", "pos1", "pos2", "ord"]
 
 _PLACE = ["tig1", "tig2", "strand1", "strand2", "pos1", "pos2"]
 _KEYS = ["tig1", "tig2", "strand1", "strand2"]
-_CELL = 32  # least cell width; most pairs then meet one or two cells
+_CELL = 128  # least cell width; with the usual tolerance a place in 14 goes to a second cell
 
 
 def sort_pairs(pairs: DataFrame) -> DataFrame:
@@ -46,36 +46,33 @@ def distinct_places(pairs: DataFrame) -> DataFrame:
     )
 
 
-def near_earlier(places: DataFrame, max_mismatch: int) -> DataFrame:
-    """Conflicts between places: ``ord`` of a pair, ``earlier`` of one sorted before it.
+def with_earlier(places: DataFrame, max_mismatch: int) -> DataFrame:
+    """Places with ``earlier``: what the places sorted before each that it conflicts with are called by ``ord``.
 
     Both lie on the same contigs and strands and within ``max_mismatch`` at
-    each position.  Places are put on a grid and meet in cells.  After copies
-    are gone a cell holds at most its number of grid points, whatever the data.
+    each position; a place with a null conflicts with nothing.  Places are dealt
+    by the cells of a grid, those near an edge to the next cells as well, so one
+    shuffle brings together all that can conflict, and a place leaves it whole.
+    After copies are gone a cell holds at most its number of grid points,
+    whatever the data.
     """
-    n, cell = max_mismatch, max(_CELL, max_mismatch + 1)
-    keys = ["tig1", "tig2", "strand1", "strand2"]
-    cell1, cell2 = F.expr(f"floor(pos1 / {cell})"), F.expr(f"floor(pos2 / {cell})")
-    home = places.select(
-        *keys,
-        F.col("pos1").alias("_p1"),
-        F.col("pos2").alias("_p2"),
-        F.col("ord").alias("earlier"),
-        cell1.alias("_c1"),
-        cell2.alias("_c2"),
-    )
-    probe = (
-        places.select(*keys, "pos1", "pos2", "ord")
-        .withColumn("_c1", F.explode(F.expr(f"sequence(floor((pos1 - {n}) / {cell}), floor(pos1 / {cell}))")))
-        .withColumn("_c2", F.explode(F.expr(f"sequence(floor((pos2 - {n}) / {cell}), floor((pos2 + {n}) / {cell}))")))
-    )
-    d1, d2 = F.col("pos1") - F.col("_p1"), F.col("pos2") - F.col("_p2")
-    sorted_before = (d1 > 0) | ((d1 == 0) & (d2 > 0))
-    return (
-        probe.join(home, [*keys, "_c1", "_c2"])
-        .where(sorted_before & (d1 <= n) & (F.abs(d2) <= n))
-        .select("ord", "earlier")
-    )
+    n, cell = max_mismatch, max(_CELL, 4 * max_mismatch)
+    at = lambda x: f"floor(({x}) / {cell})"
+    cells1 = F.expr(f"array_distinct(array({at('pos1')}, {at(f'pos1 + {n}')}))")
+    cells2 = F.expr(f"array_distinct(array({at('pos2')}, {at(f'pos2 - {n}')}, {at(f'pos2 + {n}')}))")
+    dealt = places.withColumn("_c1", F.explode(cells1)).withColumn("_c2", F.explode(cells2))
+    reach = Window.partitionBy(*_KEYS, "_c1", "_c2").orderBy("pos1").rangeBetween(-n, 0)
+    held = dealt.withColumn("_held", F.collect_list(F.struct("pos1", "pos2", "ord")).over(reach))
+    held = held.where(f"{at('pos1')} <=> _c1 and {at('pos2')} <=> _c2")  # each place once, in its own cell
+    whole = functools.reduce(operator.and_, [F.col(k).isNotNull() for k in _PLACE])
+    conflicts = F.expr(f"filter(_held, x -> abs(pos2 - x.pos2) <= {n} and (x.pos1 < pos1 or x.pos2 < pos2))")
+    earlier = F.when(whole, F.transform(conflicts, lambda x: x["ord"])).otherwise(F.array().cast("array<bigint>"))
+    return held.select(*places.columns, earlier.alias("earlier"))
+
+
+def near_earlier(places: DataFrame, max_mismatch: int) -> DataFrame:
+    """Conflicts between places: ``ord`` of a pair, ``earlier`` of one sorted before it."""
+    return with_earlier(places, max_mismatch).select("ord", F.explode("earlier").alias("earlier"))
 
 
 def dedup_pairs(
@@ -99,11 +96,10 @@ def dedup_pairs(
     places = distinct_places(pairs)
     if max_mismatch == 0:
         return places.select(*pairs.columns)
-    places = materialize(places, "places")
     if mode == "any_earlier":
-        dropped = near_earlier(places, max_mismatch).select("ord").distinct()
-    else:
-        dropped = _greedy_drops(places, max_mismatch)
+        return with_earlier(places, max_mismatch).where(F.size("earlier") == 0).select(*pairs.columns)
+    places = materialize(places, "places")
+    dropped = _greedy_drops(places, max_mismatch)
     return places.join(dropped, "ord", "left_anti").select(*pairs.columns)
 
 

@@ -86,6 +86,32 @@ def test_copies_of_one_place_keep_the_first(spark):
     assert cells.count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 3, 40])
+def test_conflicts_meet_over_the_edges_of_cells(spark, n):
+    """Places around the corners of cells, below zero as well, with copies; those with a null conflict with nothing."""
+    rng, cell = random.Random(n), max(dd._CELL, 4 * n)
+    near = lambda: rng.choice([-cell, 0, cell, 2 * cell]) + rng.randint(-n - 1, n + 1)
+    rows = [(f"r{i}", rng.choice("AB"), near(), "B", near(), rng.choice("+-"), "+") for i in range(400)]
+    odd = [("n1", "A", None, "B", 0, "+", "+"), ("n2", "A", None, "B", 1, "+", "+"), ("n3", None, 0, "B", 0, "+", "+"), ("n4", None, 1, "B", 1, "+", "+")]
+    odd += [("n5", "A", None, "B", 0, "+", "+"), ("n6", "A", 0, "B", None, "+", "+"), ("n7", "A", 1, "B", None, "+", "+"), ("n8", "A", 0, "B", 0, None, "+")]
+    got = dd.dedup_pairs(df_of(spark, rows + odd), n, "any_earlier")
+    assert names(got) == sorted(scan(rows, n, False) + ["n1", "n2", "n3", "n4", "n6", "n7", "n8"])
+    places = dd.distinct_places(df_of(spark, rows + odd)).collect()
+    want = {
+        (a.ord, b.ord)
+        for a in places for b in places
+        if None not in (*a[:6], *b[:6]) and a[:4] == b[:4] and 0 <= a.pos1 - b.pos1 <= n and abs(a.pos2 - b.pos2) <= n and (b.pos1, b.pos2) < (a.pos1, a.pos2)
+    }
+    found = dd.near_earlier(dd.distinct_places(df_of(spark, rows + odd)), n).collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_any_earlier_shuffles_pairs_by_place_and_by_cell_alone(spark):
+    kept = dd.dedup_pairs(df_of(spark, crowded(2, 300, 60)), 3, "any_earlier")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
 def test_positions_below_zero(spark):
     rows = [("a", "A", -1, "A", -1, "+", "+"), ("b", "A", 1, "A", -4, "+", "+"), ("c", "A", 3, "A", 2, "+", "+")]
     assert names(dd.dedup_pairs(df_of(spark, rows))) == scan(rows, 3, True)
