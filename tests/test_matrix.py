@@ -529,3 +529,20 @@ def test_marginals_broadcast_no_bins(spark):
     assert "Join" not in held._jdf.queryExecution().executedPlan().toString()
     assert margs.count() == genome.n_bins(10) == 50_000
     assert triples(margs.groupBy("tig_id").count()) == [(1, 20_000), (2, 30_000)]
+
+
+def test_dense_rectangle_makes_short_runs_behind_a_shuffle_of_blocks(spark, tmp_path):
+    """Neither a row nor a strip has a marker of its own in the shuffle, and what is written repeats few columns."""
+    n_rows, n_columns = 500, 3 * rg._STRIP + 100
+    held = {(7, 11): 2.0, (7, 11 + rg._RUN): 3.0, (8, 10 + rg._RUN): 4.0, (499, n_columns + 9): 5.0}
+    cells = spark.createDataFrame([(*k, v) for k, v in held.items()], "i long, j long, value double")
+    dense = rg.dense_rectangle(cells, 0, n_rows, 10, 10 + n_columns)
+    plan = dense._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Window") < plan.index("Generate explode(sequence(i#") < plan.index("Exchange")
+    dense.write.parquet(str(tmp_path / "dense"))
+    size = sum(f.stat().st_size for f in (tmp_path / "dense").glob("*.parquet"))
+    assert size < 0.5 * n_rows * n_columns  # bytes; far more where a row is written from end to end
+    stored = spark.read.parquet(str(tmp_path / "dense"))
+    assert stored.distinct().count() == stored.count() == n_rows * n_columns
+    assert {(r.i, r.j): r.value for r in stored.where("value != 0").collect()} == held
+    assert tuple(stored.agg(F.min("i"), F.max("i"), F.min("j"), F.max("j")).first()) == (0, n_rows - 1, 10, 9 + n_columns)
